@@ -22,13 +22,18 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfspark.session import ship_package
+
 #: What origins send and buckets answer. kind tells several exchanges apart.
 PACKED = "origin int, kind int, bucket int, packed binary"
 _PACKED = pa.schema([("origin", pa.int32()), ("kind", pa.int32()), ("bucket", pa.int32()), ("packed", pa.binary())])
 
+#: Stands for a null doc_id inside the exchanges: larger than every other.
+NO_ID = (1 << 63) - 1
+
 ORIGIN_BYTES = 12 << 20
 BUCKET_HASHES = 3 << 20
 
@@ -50,18 +55,28 @@ class Plan:
     """How many origins and buckets a table of texts gets, from its total size."""
 
     def __init__(self, docs: DataFrame, text: str = "text", per_word: int = 6):
+        ship_package(docs.sparkSession)
         total = docs.agg(F.sum(F.octet_length(text)).alias("b")).first()["b"] or 0
         self.origins = max(1, -(-total // ORIGIN_BYTES))
         self.buckets = max(1, -(-total // per_word // BUCKET_HASHES))
 
 
 def by_origin(docs: DataFrame, plan: Plan, text: str = "text") -> DataFrame:
-    """(origin, doc_id, text) of all rows; other columns do not travel."""
+    """(origin, doc_id, text) of all rows; other columns do not travel. A null doc_id becomes NO_ID, see :func:`with_null_ids`."""
+    doc_id = F.col("doc_id").cast("long")
     return docs.select(
-        F.pmod(F.xxhash64("doc_id"), F.lit(plan.origins)).cast("int").alias("origin"), F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")
+        origin_of(doc_id, plan.origins, F.when(doc_id.isNull(), F.col(text))).alias("origin"), F.coalesce(doc_id, F.lit(NO_ID)).alias("doc_id"), F.col(text).alias("text")
     )
 
 
+def origin_of(doc_id: Column, origins: int, also: Column | None = None) -> Column:
+    return F.pmod(F.xxhash64(doc_id, F.lit(None).cast("string") if also is None else also), F.lit(origins)).cast("int")
+
+
+def with_null_ids(df: DataFrame) -> DataFrame:
+    return df.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
+
+
 def ordered(table: pa.Table) -> pa.Table:
     """Rows of an origin in an order that depends on their values alone."""
     table = table.select(["doc_id", "text"])
@@ -153,5 +168,5 @@ def alone(docs: DataFrame, fn: Callable[[int, pa.Table], pa.Table], schema: str)
 
 def pa_schema(ddl: str) -> pa.Schema:
     """The Arrow schema of a flat DDL string of the types used here."""
-    kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
+    kinds = {"array<long>": pa.list_(pa.int64()), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
     return pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in ddl.split(", "))])

@@ -8,8 +8,8 @@ smallest doc_id that holds it.
 
 Edge cases: a null or empty text has no words, keeps the empty text; a document
 shorter than the window loses nothing; of repeated rows with one doc_id none
-loses a word to another (only a *smaller* doc_id counts); other columns of the
-input are ignored; an empty table gives an empty result.
+loses a word to another (only a *smaller* doc_id counts); a null doc_id counts as
+larger than every other; other columns of the input are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -178,4 +178,4 @@ def remove_repeated_spans(docs: DataFrame, window_words: int = 13, start_words:
     else:
         sent = X.with_side(texts, side, send_last, X.PACKED)
     replies = X.answer(sent, len(lengths), _smaller)
-    return X.with_side(texts, side.unionByName(replies), finish, SCHEMA)
+    return X.with_null_ids(X.with_side(texts, side.unionByName(replies), finish, SCHEMA))
