@@ -61,11 +61,11 @@ class Plan:
         self.buckets = max(1, -(-total // per_word // BUCKET_HASHES))
 
 
-def by_origin(docs: DataFrame, plan: Plan, text: str = "text") -> DataFrame:
-    """(origin, doc_id, text) of all rows; other columns do not travel. A null doc_id becomes NO_ID, see :func:`with_null_ids`."""
+def by_origin(docs: DataFrame, plan: Plan, text: str = "text", *more: str) -> DataFrame:
+    """(origin, doc_id, text, more) of all rows; other columns do not travel. A null doc_id becomes NO_ID, see :func:`with_null_ids`."""
     doc_id = F.col("doc_id").cast("long")
     return docs.select(
-        origin_of(doc_id, plan.origins, F.when(doc_id.isNull(), F.col(text))).alias("origin"), F.coalesce(doc_id, F.lit(NO_ID)).alias("doc_id"), F.col(text).alias("text")
+        origin_of(doc_id, plan.origins, F.when(doc_id.isNull(), F.col(text))).alias("origin"), F.coalesce(doc_id, F.lit(NO_ID)).alias("doc_id"), F.col(text).alias("text"), *more
     )
 
 
@@ -79,7 +79,7 @@ def with_null_ids(df: DataFrame) -> DataFrame:
 
 def ordered(table: pa.Table) -> pa.Table:
     """Rows of an origin in an order that depends on their values alone."""
-    table = table.select(["doc_id", "text"])
+    table = table.drop_columns(["origin"])
     order = pc.sort_indices(table, sort_keys=[("doc_id", "ascending"), ("text", "ascending")]) if _repeats(table) else pc.sort_indices(table["doc_id"])
     return table.take(order)
 
