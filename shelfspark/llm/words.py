@@ -12,6 +12,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 _SEGMENT = 1 << 20
@@ -144,7 +145,7 @@ def in_blocks(table: pa.Table, column: str, most_bytes: int = 4 << 20):
     """Row ranges of ``table`` holding about ``most_bytes`` of text each (a longer text stands alone)."""
     if not table.num_rows:
         return
-    sizes = pa.compute.binary_length(table[column]).fill_null(0).to_numpy(zero_copy_only=False)
+    sizes = pc.binary_length(table[column]).fill_null(0).to_numpy()
     block = np.cumsum(sizes, dtype=np.int64) // most_bytes
     cuts = np.flatnonzero(np.diff(block)) + 1
     for lo, hi in zip([0, *cuts], [*cuts, table.num_rows], strict=True):
