@@ -12,10 +12,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+SHARDS = [f"shard-{i:02d}" for i in range(16)]
+#: A prime of more than a hundred slots for each shard.
+SLOTS = 2039
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import assign_shards
+
+    return assign_shards(_read(spark, sf_dir, "documents").select("doc_id"), SHARDS, slots=SLOTS)
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import judged_urls
+
+    return judged_urls(_read(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import sampled_copies
+
+    out = sampled_copies(_read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import judged
 
@@ -62,7 +87,10 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sharding": op1_sharding,
+    "op2_url_filter": op2_url_filter,
     "op3_quality_rules": op3_quality_rules,
+    "op4_mixing": op4_mixing,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_decontamination": op7_decontamination,
@@ -107,4 +135,52 @@ t AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAS
 SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)""",
+    "op1_sharding": f"""
+WITH RECURSIVE s AS (SELECT k, 'shard-' || lpad(CAST(k AS VARCHAR), 2, '0') AS shard FROM range({len(SHARDS)}) t(k)),
+p AS (SELECT list(('0x' || substr(md5('offset:' || shard), 1, 15))::BIGINT % {SLOTS} ORDER BY k) AS o, list(('0x' || substr(md5('skip:' || shard), 1, 15))::BIGINT % {SLOTS - 1} + 1 ORDER BY k) AS d FROM s),
+f AS (SELECT 0 AS turn, list_transform(range({SLOTS}), lambda x: -1) AS own, -1::BIGINT AS slot UNION ALL
+      SELECT turn + 1, list_transform(own, lambda v, i: if(i - 1 = c, turn % {len(SHARDS)}, v)), c FROM (
+        SELECT turn, own, list_filter(list_transform(range({SLOTS}), lambda j: (o[turn % {len(SHARDS)} + 1] + j * d[turn % {len(SHARDS)} + 1]) % {SLOTS}), lambda q: own[q + 1] = -1)[1] AS c FROM f, p WHERE turn < {SLOTS})),
+t AS (SELECT slot, (turn - 1) % {len(SHARDS)} AS k FROM f WHERE turn > 0)
+SELECT doc_id, CAST(t.slot AS INTEGER) AS slot, shard FROM documents
+JOIN t ON t.slot = ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::BIGINT % {SLOTS} JOIN s USING (k)""",
+    "op4_mixing": f"""
+WITH d AS (SELECT doc_id, CASE WHEN source IS NULL THEN 'n' ELSE 'b' || source END AS key, CAST(len({_WORDS}) AS BIGINT) AS size FROM documents),
+s AS (SELECT key, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS documents FROM d GROUP BY key),
+w AS (SELECT *, CAST([5, 2, 1][(row_number() OVER (ORDER BY key) - 1) % 3 + 1] AS DOUBLE) AS weight, source_size * 2.0::DOUBLE AS cap FROM s),
+l AS (SELECT *, ((SELECT sum(source_size) FROM s) * 1.5::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / weight, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+        / sum(weight) OVER (ORDER BY cap / weight, key ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+t AS (SELECT key, source_size, documents, CASE WHEN cap <= level * weight THEN cap
+        ELSE (SELECT arg_min(level, (cap / weight, key)) FROM l WHERE cap > level * weight) * weight END AS target FROM l),
+p AS (SELECT d.*, source_size, target, ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::BIGINT % CAST(ceil(documents / 4096) AS BIGINT) AS block FROM d JOIN t USING (key)),
+r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY block, CASE WHEN block % 2 = 0 THEN size ELSE -size END, doc_id) AS rank,
+        CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate, ('0x' || substr(md5('0:' || key), 1, 12))::BIGINT / 281474976710656::DOUBLE AS u FROM p)
+SELECT doc_id, size, source_size, target, CAST(size * (floor(rate * rank + u) - floor(rate * (rank - 1) + u)) AS BIGINT) AS taken FROM r""",
+    "op2_url_filter": r"""
+WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+b AS (SELECT *, CASE WHEN ('.' || host) LIKE '%.www.example.com' AND path LIKE '/en/%' THEN 'www.example.com/en/'
+    WHEN ('.' || host) LIKE '%.example.com' AND path LIKE '/en/%' THEN 'example.com/en/' WHEN ('.' || host) LIKE '%.net' AND path LIKE '/es/%' THEN 'net/es/'
+    WHEN ('.' || host) LIKE '%.net' AND path LIKE '/fr/%' THEN 'net/fr/' WHEN ('.' || host) LIKE '%.com' AND path LIKE '/%' THEN 'com/' END AS rule FROM h),
+g AS (SELECT page_id, host, path, rule, list_transform([2, 3, 4], lambda k: coalesce(string_split(path, '/')[k], '')) AS seg FROM b),
+x AS (SELECT page_id, host, path, rule, list_transform(seg, lambda v: CASE WHEN regexp_full_match(v, '[0-9]+') THEN '{n}' WHEN regexp_full_match(v, '[0-9]+\.[A-Za-z0-9]+') THEN '{n}.' || string_split(v, '.')[-1]
+    WHEN regexp_full_match(v, '[0-9a-f-]{8,}') THEN '{id}' WHEN regexp_matches(v, '[0-9]') AND length(v) >= 6 THEN '{v}' ELSE v END) AS s FROM g),
+y AS (SELECT page_id, host, path, rule, s[1] AS s1, s[2] AS s2, s[3] AS s3, rule IS NOT NULL AS lab, coalesce(rule IN ('example.com/en/', 'net/es/', 'net/fr/'), false) AS blk FROM x),
+g0 AS (SELECT avg(blk::INT) AS share FROM y WHERE lab),
+l0 AS (SELECT *, count(*) OVER (PARTITION BY host) AS n0, count_if(lab) OVER (PARTITION BY host) AS el, count_if(blk) OVER (PARTITION BY host) AS eb FROM y),
+a1 AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY host, s1) < greatest(5.0, n0 * 0.02) THEN '*' ELSE s1 END AS t1 FROM l0),
+b1 AS (SELECT *, count(*) OVER (PARTITION BY host, t1) AS n1, count_if(lab) OVER (PARTITION BY host, t1) AS cl, count_if(blk) OVER (PARTITION BY host, t1) AS cb FROM a1),
+l1 AS (SELECT * EXCLUDE (el, eb, cl, cb), CASE WHEN m THEN el ELSE cl END AS el, CASE WHEN m THEN eb ELSE cb END AS eb
+    FROM (SELECT *, cl > 0 AND el > 0 AND abs(cb / cl - eb / el) <= 1.96 * sqrt(eb / el * (1 - eb / el) / cl) AS m FROM b1)),
+a2 AS (SELECT * EXCLUDE (m), CASE WHEN count(*) OVER (PARTITION BY host, t1, s2) < greatest(5.0, n1 * 0.02) THEN '*' ELSE s2 END AS t2 FROM l1),
+b2 AS (SELECT *, count(*) OVER (PARTITION BY host, t1, t2) AS n2, count_if(lab) OVER (PARTITION BY host, t1, t2) AS cl, count_if(blk) OVER (PARTITION BY host, t1, t2) AS cb FROM a2),
+l2 AS (SELECT * EXCLUDE (el, eb, cl, cb), CASE WHEN m THEN el ELSE cl END AS el, CASE WHEN m THEN eb ELSE cb END AS eb
+    FROM (SELECT *, cl > 0 AND el > 0 AND abs(cb / cl - eb / el) <= 1.96 * sqrt(eb / el * (1 - eb / el) / cl) AS m FROM b2)),
+a3 AS (SELECT * EXCLUDE (m), CASE WHEN count(*) OVER (PARTITION BY host, t1, t2, s3) < greatest(5.0, n2 * 0.02) THEN '*' ELSE s3 END AS t3 FROM l2),
+b3 AS (SELECT *, count_if(lab) OVER (PARTITION BY host, t1, t2, t3) AS cl, count_if(blk) OVER (PARTITION BY host, t1, t2, t3) AS cb FROM a3),
+l3 AS (SELECT * EXCLUDE (el, eb, cl, cb), CASE WHEN m THEN el ELSE cl END AS el, CASE WHEN m THEN eb ELSE cb END AS eb
+    FROM (SELECT *, cl > 0 AND el > 0 AND abs(cb / cl - eb / el) <= 1.96 * sqrt(eb / el * (1 - eb / el) / cl) AS m FROM b3))
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/en/', 'net/es/', 'net/fr/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+    WHEN el >= 5 AND (eb + 2.0 * coalesce((SELECT share FROM g0), 0)) / (el + 2.0) >= 0.8 THEN 'block' ELSE 'allow' END AS verdict,
+    concat_ws('/', host, t1, t2, t3) AS template FROM l3""",
 }
