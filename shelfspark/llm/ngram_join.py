@@ -5,8 +5,8 @@ global order, rare ones first (by the number of documents that hold them, counte
 over all texts in scales of two).  Two sets with an overlap of at least T share at
 least l of the first ``n - T + l`` shingles, for every l.  Each document picks the
 l at which the postings that it would meet, and the candidates that would remain,
-cost least; a pair must share as many prefix shingles as the smaller of its two l
-before its sets are compared.
+cost least; a pair that meets at its first shared shingle must then share as many
+prefix shingles as the smaller of its two l before its sets are compared.
 
 Equal texts are one class from the start.  A frequent prefix shingle is not
 expanded into all pairs of its holders: they are first compared with one pivot
@@ -131,8 +131,12 @@ def _overlap(percent: int, n: str, m: str) -> str:
 
 
 def _fits(percent: int, x: str, y: str) -> str:
-    """SQL: sizes, and shared prefix shingle's places, allow the overlap."""
-    most = f"least({x}.pos, {y}.pos) + 1 + least({x}.n - {x}.pos, {y}.n - {y}.pos) - 1"
+    """SQL: sizes, and a shared prefix shingle's places, allow the overlap.
+
+    Before that shingle at most the shingles that some other document holds can match (the
+    first ``skip`` of a set are its own), after it at most the shorter rest.
+    """
+    most = f"least({x}.pos - {x}.skip, {y}.pos - {y}.skip) + least({x}.n - {x}.pos, {y}.n - {y}.pos)"
     return f"100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n) and {most} >= {_overlap(percent, f'{x}.n', f'{y}.n')}"
 
 
@@ -178,6 +182,27 @@ def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
+def _open_pairs(token: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b), a < b, of different components that share a prefix shingle early enough.
+
+    At each shingle the members of its largest component meet only the others.
+    """
+    main = token.groupBy("token", "comp").count().groupBy("token").agg(F.max(F.struct("count", "comp")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("token", F.col("m.comp").alias("main"))
+    open_ = X.cut(token.join(main, "token").select("token", "doc_id", "n", "skip", "pos", "comp", "main"))
+    x, y = open_.where("comp <> main").alias("x"), open_.alias("y")
+    # The first match of a linked pair leaves room for the whole overlap in both.
+    first = f"least(x.n - x.pos, y.n - y.pos) >= {_overlap(percent, 'x.n', 'y.n')}"
+    near = x.join(y, F.expr(f"x.token = y.token and x.comp <> y.comp and (y.comp = y.main or y.doc_id < x.doc_id) and {first} and {_fits(percent, 'x', 'y')}"))
+    return near.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
+
+
+def _enough_shared(pairs: DataFrame, able: DataFrame) -> DataFrame:
+    """The pairs that share as many shingles of their prefixes as the smaller of their l."""
+    of = lambda s: able.select(F.col("doc_id").alias(s), F.col("ell").alias(f"ell_{s}"), F.col("tokens").alias(f"tokens_{s}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
+    return both.where("size(array_intersect(tokens_a, tokens_b)) >= least(ell_a, ell_b)").select("a", "b").distinct()
+
+
 def copies_of(docs: DataFrame) -> DataFrame:
     """(doc_id, first): the least doc_id with the same text; documents without words stand alone."""
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(X.NO_ID)).alias("doc_id"), F.when(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.sha2("text", 256)).alias("digest"))
@@ -196,30 +221,19 @@ def ngram_jaccard_components(docs: DataFrame, shingle_words: int = 5, percent: i
     able = found.where(F.size("tokens") > 0)
     plan = X.Plan(able)
     texts = X.by_origin(able, plan)
-    token = able.select("doc_id", "n", "ell", "skip", F.posexplode("tokens").alias("at", "token")).select("token", "doc_id", "n", "ell", (F.col("skip") + F.col("at")).alias("pos"))
+    # Postings: the prefix for l = 1, which holds the first match of every linked pair.
+    token = able.select("doc_id", "n", "skip", F.posexplode("tokens").alias("at", "token")).select("token", "doc_id", "n", "skip", (F.col("skip") + F.col("at")).alias("pos")).where(f"pos <= n - ceil({percent} * n / 100)")
 
     # Round 1: every holder of a shingle with the holder in which it comes first.
-    pivot = token.groupBy("token").agg(F.min(F.struct("pos", "doc_id", "n")).alias("p"), F.count("*").alias("holders")).where("holders > 1").select("token", "p.*")
+    pivot = token.groupBy("token").agg(F.min(F.struct("pos", "doc_id", "n", "skip")).alias("p"), F.count("*").alias("holders")).where("holders > 1").select("token", "p.*")
     tried = X.cut(token.alias("y").join(pivot.alias("x"), "token").where(f"x.doc_id <> y.doc_id and {_fits(percent, 'x', 'y')}").select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct())
-    links = X.cut(_verified(texts, plan.origins, tried, shingle_words, percent))
+    links = X.cut(_verified(texts, plan.origins, _enough_shared(tried, able), shingle_words, percent))
     comp = X.cut(components(links, "a", "b"))
 
-    # Round 2: pairs that are still in different components.  At each shingle the largest component
-    # is met by the others only.
-    placed = token.join(comp, "doc_id", "left").withColumn("comp", F.coalesce("component_id", "doc_id"))
-    main = placed.groupBy("token", "comp").count().groupBy("token").agg(F.max(F.struct("count", "comp")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("token", F.col("m.comp").alias("main"))
-    open_ = X.cut(placed.join(main, "token").select("token", "doc_id", "n", "ell", "pos", "comp", "main"))
-    x, y = open_.where("comp <> main").alias("x"), open_.alias("y")
-    near = x.join(y, F.expr(f"x.token = y.token and x.comp <> y.comp and (y.comp = y.main or y.doc_id < x.doc_id) and {_fits(percent, 'x', 'y')}"))
-    pair = near.select(*(F.expr(f"if(x.doc_id < y.doc_id, x.{c}, y.{c})").alias(f"{c}_a") for c in ("doc_id", "n", "pos", "ell")), *(F.expr(f"if(x.doc_id < y.doc_id, y.{c}, x.{c})").alias(f"{c}_b") for c in ("doc_id", "n", "pos", "ell")))
-    kept = (
-        pair.groupBy(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"))
-        .agg(F.count("*").alias("shared"), *(F.min(f"{c}_{s}").alias(f"{c}_{s}") for c in ("n", "pos", "ell") for s in "ab"))
-        .where(f"shared >= least(ell_a, ell_b) and least(n_a - pos_a, n_b - pos_b) >= {_overlap(percent, 'n_a', 'n_b')}")
-        .select("a", "b")
-    )
+    # Round 2: pairs that are still in different components.
+    kept = _open_pairs(token.join(comp, "doc_id", "left").withColumn("comp", F.coalesce("component_id", "doc_id")), percent)
     done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = _verified(texts, plan.origins, X.cut(kept.join(done, ["a", "b"], "left_anti")), shingle_words, percent)
+    more = _verified(texts, plan.origins, X.cut(_enough_shared(kept.join(done, ["a", "b"], "left_anti"), able)), shingle_words, percent)
     comp = components(links.unionByName(more), "a", "b")
 
     size = found.groupBy(F.col("doc_id").alias("first")).agg(F.max("n").alias("n"))
