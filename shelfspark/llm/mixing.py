@@ -60,9 +60,12 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("size", size).withColumn("key", key)
 
 
-def sampled_copies(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), budget: float = 1.5, most_copies: float = 2.0, seed: int = 0, *keep: str) -> DataFrame:
+def sampled_copies(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), budget: float = 1.5, most_copies: float = 2.0, seed: int = 0) -> DataFrame:
     """Per document: doc_id, size, source_size, target (its source's) and copies."""
-    sizes = cut(_keyed(docs).select("doc_id", "key", "size", *keep))
+    return _sampled(cut(_keyed(docs).select("doc_id", "key", "size")), weights, budget, most_copies, seed)
+
+
+def _sampled(sizes: DataFrame, weights: tuple[int, ...], budget: float, most_copies: float, seed: int) -> DataFrame:
     sources = cut(source_targets(sizes, weights, budget, most_copies))
     placed = sizes.join(sources, "key").withColumn("block", F.pmod(key_number(F.col("doc_id")), F.ceil(F.col("documents") / BLOCK_ROWS)))
     counts = placed.groupBy("key", "block").agg(F.count("*").alias("rows"))
@@ -74,12 +77,12 @@ def sampled_copies(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), budget
     offset = _uniform(F.concat(F.lit(f"{seed}:"), "key"))
     ranked = placed.join(starts, ["key", "block"]).withColumn("rank", rank).withColumn("rate", rate).withColumn("offset", offset)
     copies = F.floor(F.col("rate") * F.col("rank") + F.col("offset")) - F.floor(F.col("rate") * (F.col("rank") - 1) + F.col("offset"))
-    return ranked.select("doc_id", "size", "source_size", "target", copies.cast("long").alias("copies"), *keep)
+    return ranked.select("doc_id", "size", "source_size", "target", copies.cast("long").alias("copies"))
 
 
-def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with every row as often as the mix takes it."""
-    columns = [c for c in docs.columns]
-    rows = docs.withColumn("_row", F.struct(*columns)).select("doc_id", "text", "source", "_row")
-    taken = sampled_copies(rows, how.get("weights", (5, 2, 1)), how.get("budget", 1.5), how.get("most_copies", 2.0), how.get("seed", 0), "_row")
-    return taken.where("copies > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), budget: float = 1.5, most_copies: float = 2.0, seed: int = 0) -> DataFrame:
+    """``docs`` with every row as often as the mix takes it. Rows of one doc_id are one document and are taken alike."""
+    sizes = _keyed(docs).groupBy("doc_id").agg(F.min("key").alias("key"), F.sum("size").alias("size"))
+    taken = _sampled(cut(sizes), weights, budget, most_copies, seed).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("copies").alias("_copies"))
+    rows = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_id"]))
+    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy")).drop("_copy")
