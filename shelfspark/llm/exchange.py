@@ -16,16 +16,16 @@ executor) packs the same hashes in the same order.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.session import ship_package
+from shelfspark.sources.snapshot import cut, shared_path  # noqa: F401
 
 #: What origins send and buckets answer. kind tells several exchanges apart.
 PACKED = "origin int, kind int, bucket int, packed binary"
@@ -38,19 +38,6 @@ ORIGIN_BYTES = 12 << 20
 BUCKET_HASHES = 3 << 20
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A fresh path in the folder that driver and executors share (spark.checkpoint.dir)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp/shelfspark-checkpoints"
-    return f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read again: it is computed once and survives lost executors."""
-    path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 class Plan:
     """How many origins and buckets a table of texts gets, from its total size."""
 

@@ -131,7 +131,7 @@ def count_tokens(docs: DataFrame, source: str, cache: str | None = None) -> Data
     ``cache`` is a path that driver and executors share; by default a fresh one in
     spark.checkpoint.dir, so nothing is reused.
     """
-    cache = cache or X.shared_folder(docs.sparkSession)
+    cache = cache or X.shared_path(docs.sparkSession)
     encode_misses(docs, source, cache)
     counts = read_cache(docs.sparkSession, cache).where(F.col("tokenizer") == tokenizer_digest(source)).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     return X.with_null_ids(_digested(docs).select("doc_id", "digest", "n_bytes").join(counts, "digest").select("doc_id", "n_bytes", "n_tokens"))
