@@ -11,14 +11,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.functions.media import EXCLUDED, excluded_component, full_path, record_number
+from shelfspark.functions.media import EXCLUDED, ROOT, excluded_component, full_path, lookup_frn, record_number
 from shelfspark.sources.snapshot import cut
 
 OK, EXCLUDED_DIR, ORPHANED, CYCLE, TOO_DEEP = "ok", "excluded", "orphaned", "cycle", "too_deep"
 
 
 def resolve_directories(records: DataFrame, letter: str, skip_dot: bool = True, excluded: list[str] = EXCLUDED, max_depth: int = 128) -> DataFrame:
-    """(frn, path, outcome, depth) of every directory; path is null unless the outcome is ok.
+    """(frn, path, outcome, depth) of every directory, the root always among them; path is null unless the outcome is ok.
 
     The root is the record with number 5 or a directory that is its own parent; depth
     counts from the root.  A chain that does not reach the root is orphaned (a parent is
@@ -56,25 +56,23 @@ def resolve_directories(records: DataFrame, letter: str, skip_dot: bool = True,
         reach *= 2
     outcome = F.when(F.col("lost"), ORPHANED).when(F.col("up").isNotNull(), CYCLE).when(F.col("depth") > max_depth, TOO_DEEP).when(F.col("bad"), EXCLUDED_DIR).otherwise(OK)
     placed = state.select("frn", outcome.alias("outcome"), "path", "depth").withColumn("path", F.when(F.col("outcome") == OK, F.concat(F.lit(f"{letter}:\\"), "path")))
-    return roots.select("frn", F.lit(OK).alias("outcome"), F.lit(f"{letter}:").alias("path"), F.lit(0).cast("long").alias("depth")).unionByName(placed)
+    top = roots.select(lookup_frn(F.col("frn")).alias("frn")).unionByName(records.sparkSession.range(ROOT, ROOT + 1).toDF("frn")).distinct()
+    return top.select("frn", F.lit(OK).alias("outcome"), F.lit(f"{letter}:").alias("path"), F.lit(0).cast("long").alias("depth")).unionByName(placed)
 
 
-def resolve_files(records: DataFrame, directories: DataFrame, letter: str) -> DataFrame:
+def resolve_files(records: DataFrame, directories: DataFrame) -> DataFrame:
     """(frn, name, kind, dir_frn, dir, path, outcome) of every media file; path is null unless ok."""
     media = records.where("not is_dir and kind is not null")
-    known = directories.select(F.col("frn").alias("parent_frn"), F.col("outcome").alias("o"), F.col("path").alias("p"))
-    rows = media.join(known, "parent_frn", "left")
-    root = record_number(F.col("parent_frn")) == 5
-    folder = F.coalesce("p", F.when(root, f"{letter}:"))
-    outcome = F.coalesce("o", F.when(root, OK), F.lit(ORPHANED))
-    return rows.select("frn", "name", "kind", F.col("parent_frn").alias("dir_frn"), folder.alias("dir"), full_path(folder, F.col("name")).alias("path"), outcome.alias("outcome"))
+    known = directories.select(F.col("frn").alias("dir_frn"), F.col("outcome").alias("o"), F.col("path").alias("dir"))
+    rows = media.withColumn("dir_frn", lookup_frn(F.col("parent_frn"))).join(known, "dir_frn", "left")
+    return rows.select("frn", "name", "kind", "dir_frn", "dir", full_path(F.col("dir"), F.col("name")).alias("path"), F.coalesce("o", F.lit(ORPHANED)).alias("outcome"))
 
 
 def used_directories(files: DataFrame, directories: DataFrame) -> DataFrame:
     """(frn, path) of the directories on the way to any resolved file."""
     parts = files.where("outcome = 'ok'").select("dir").distinct().select(F.split("dir", "\\\\").alias("p"))
     on_way = parts.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("p")), lambda k: F.array_join(F.slice("p", F.lit(1), k), "\\"))).alias("path")).distinct()
-    return directories.where("outcome = 'ok'").join(on_way, "path", "left_semi").select("frn", "path")
+    return directories.where("outcome = 'ok'").join(on_way, "path", "left_semi").groupBy("path").agg(F.max("frn").alias("frn")).select("frn", "path")
 
 
 def outcome_counts(files: DataFrame) -> DataFrame:

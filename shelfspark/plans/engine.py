@@ -40,7 +40,7 @@ class Engine:
         files, dirs, outcomes = None, None, {}
         for letter, rows in records.items():
             resolved = resolve_directories(rows, letter)
-            found = resolve_files(rows, resolved, letter)
+            found = resolve_files(rows, resolved)
             outcomes[letter] = {r["outcome"]: r["n"] for r in found.groupBy("outcome").agg(F.count("*").alias("n")).collect()}
             used = used_directories(found, resolved).withColumn("volume", F.lit(letter))
             placed = found.where("outcome = 'ok'").select(F.lit(letter).alias("volume"), "frn", "name", "kind", "dir", "path")

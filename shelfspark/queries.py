@@ -251,7 +251,7 @@ o AS (SELECT frn FROM d WHERE parent = 9 UNION ALL SELECT d.frn FROM d JOIN o ON
 t AS (SELECT d.frn, CASE WHEN o.frn IS NOT NULL THEN 'orphaned' WHEN r.frn IS NULL THEN 'cycle' WHEN bad THEN 'excluded' ELSE 'ok' END AS outcome, path FROM d LEFT JOIN r ON d.frn = r.frn LEFT JOIN o ON d.frn = o.frn)"""
 
 
-@query("tree_paths", _TREE + " SELECT frn, outcome, CASE WHEN outcome = 'ok' THEN path END AS path FROM t")
+@query("tree_paths", _TREE + " SELECT frn, outcome, CASE WHEN outcome = 'ok' THEN path END AS path FROM t UNION ALL SELECT 5, 'ok', 'C:'")
 def tree_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.resolve_directories(_tree_records(spark, sf_dir), "C").select("frn", "outcome", "path")
 
@@ -259,13 +259,13 @@ def tree_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("tree_files", _TREE + r" SELECT p_partkey + 10000000 AS frn, outcome, CASE WHEN outcome = 'ok' THEN path || '\' || p_name || '.mp4' END AS path FROM part JOIN t ON t.frn = p_partkey + 1000")
 def tree_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = _tree_records(spark, sf_dir)
-    return tree.resolve_files(records, tree.resolve_directories(records, "C"), "C").select("frn", "outcome", "path")
+    return tree.resolve_files(records, tree.resolve_directories(records, "C")).select("frn", "outcome", "path")
 
 
 @query("tree_outcomes", _TREE + " SELECT outcome, count(*) AS files FROM part JOIN t ON t.frn = p_partkey + 1000 GROUP BY outcome")
 def tree_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = _tree_records(spark, sf_dir)
-    return tree.outcome_counts(tree.resolve_files(records, tree.resolve_directories(records, "C"), "C"))
+    return tree.outcome_counts(tree.resolve_files(records, tree.resolve_directories(records, "C")))
 
 
 @query("subtree_prefix", _TREE + r" SELECT frn, path FROM t WHERE outcome = 'ok' AND starts_with(lower(path) || '\', 'c:\n1\n3\')")
