@@ -1,7 +1,7 @@
 """Operator 10: removal of lines that repeat or nearly repeat an earlier line.
 
-Method: exact set-similarity join.  A line is the set of its pairs of neighbouring
-lower-cased words; two lines match at a Jaccard similarity of ``percent`` / 100.  Each
+Method: exact set-similarity join.  A line is the set of its (unordered) pairs of
+neighbouring lower-cased words; two lines match at a Jaccard similarity of ``percent`` / 100.  Each
 line orders its pairs by rarity - by how frequent both words are over all documents,
 then by hash - and only the first ``n - ceil(t * n) + 1`` of them, its prefix, can hold
 the first pair that it shares with a match.  Lines that meet there must have lengths in
@@ -35,39 +35,41 @@ CELLS = 1 << 15
 SPACE = r"[ \t\x0B\f\r]"
 
 
-def _eligible(line: Column, least_words: int) -> Column:
-    return line.rlike(rf"^{SPACE}*(?:[^ \t\x0B\f\r]+{SPACE}+){{{least_words - 1}}}[^ \t\x0B\f\r]")
+def _normal(line: Column) -> Column:
+    """Lower-cased, with single spaces between words and none around; lines that are so already skip the regular expression."""
+    plain = ~line.rlike(rf"^ | $|  |[\t\x0B\f\r]")
+    return F.lower(F.when(plain, line).otherwise(F.trim(F.regexp_replace(line, rf"{SPACE}+", " "))))
 
 
-def _words(line: Column) -> Column:
-    """Lower-cased words; all white space within a line counts as one space."""
-    return F.split(F.trim(F.regexp_replace(F.lower(line), rf"{SPACE}+", " ")), " ")
+def _eligible(line: Column, least_words: int) -> Column:
+    return line.rlike(rf"^{SPACE}*(?:[^ \t\x0B\f\r]+{SPACE}+){{{least_words - 1}}}[^ \t\x0B\f\r]")
 
 
 def _lines(docs: DataFrame, least_words: int) -> DataFrame:
-    """(doc_id, line_no, line) of the lines that take part."""
+    """(doc_id, line_no, line) of the lines that take part, normalised."""
     doc_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id")
-    return docs.select(doc_id, F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(_eligible(F.col("line"), least_words))
+    lines = docs.select(doc_id, F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(_eligible(F.col("line"), least_words))
+    return lines.select("doc_id", "line_no", _normal(F.col("line")).alias("line"))
 
 
-def _frequencies(lines: DataFrame) -> Column:
+def _frequencies(docs: DataFrame) -> Column:
     """An array literal: the logarithm of each cell's number of words, in eighths."""
-    cell = F.transform(_words(F.col("line")), lambda w: F.pmod(F.xxhash64(w), F.lit(CELLS)).cast("int"))
-    counts = dict(lines.select(F.explode(cell).alias("cell")).groupBy("cell").count().collect())  # CELLS rows at most
+    words = docs.select(F.explode(F.split(F.lower("text"), " ")).alias("w"))
+    counts = dict(words.groupBy(F.pmod(F.xxhash64("w"), F.lit(CELLS)).cast("int").alias("cell")).count().collect())  # CELLS rows at most
     scales = ",".join(str(round(8 * math.log2(1 + counts.get(c, 0)))) for c in range(CELLS))
     return F.split(F.lit(scales), ",").cast("array<int>")
 
 
 def _tokens(line: Column, scales: Column) -> Column:
-    """Distinct word pairs as sorted longs: rarity in the upper bits, then the pair's hash."""
-    mask = F.lit((1 << 52) - 1)
-    coded = F.transform(_words(line), lambda w: F.xxhash64(w))
-    pair = F.zip_with(
-        F.slice(coded, 1, F.size(coded) - 1),
-        F.slice(coded, 2, F.size(coded) - 1),
-        lambda a, b: F.shiftleft(F.get(scales, F.pmod(a, F.lit(CELLS)).cast("int")).cast("long") + F.get(scales, F.pmod(b, F.lit(CELLS)).cast("int")), 52).bitwiseOR(F.xxhash64(a, b).bitwiseAND(mask)),
-    )
-    return F.sort_array(F.array_distinct(pair))
+    """Distinct pairs of neighbouring words as sorted longs: rarity in the upper bits, then the pair's hash.
+
+    A word is its scale times 2**52 plus 51 bits of hash, a pair the sum of its words; all
+    elements are declared not null, so that arrays of longs are sorted as such.
+    """
+    hashed = F.transform(F.split(line, " "), lambda w: F.xxhash64(w))
+    coded = F.transform(hashed, lambda h: F.shiftleft(F.coalesce(F.get(scales, F.pmod(h, F.lit(CELLS)).cast("int")), F.lit(0)).cast("long"), 52).bitwiseOR(h.bitwiseAND(F.lit((1 << 51) - 1))))
+    pairs = F.zip_with(F.slice(coded, 1, F.size(coded) - 1), F.slice(coded, 2, F.size(coded) - 1), lambda a, b: F.coalesce(a + b, F.lit(0).cast("long")))
+    return F.sort_array(F.array_distinct(pairs))
 
 
 def _first_matches(x: str, y: str, percent: int) -> str:
@@ -86,19 +88,23 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def first_lines(docs: DataFrame, percent: int = 80, least_words: int = 5) -> DataFrame:
     """(doc_id, line_no) of the lines that stay, of those with at least ``least_words`` words."""
+    scales = _frequencies(docs)
     lines = _lines(docs, least_words)
-    scales = _frequencies(lines)
-    words = _words(F.col("line"))
-    distinct = lines.groupBy(F.xxhash64(words).alias("h"), F.xxhash64(F.lit(1), words).alias("g")).agg(F.min(F.struct("doc_id", "line_no", "line")).alias("first"))
-    distinct = cut(distinct.select("first.*"))
+    classes = lines.groupBy(F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g")).agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
+    firsts = cut(classes.select("first.*"))
 
-    sets = distinct.select("doc_id", "line_no", _tokens(F.col("line"), scales).alias("tokens"))
+    # One plan, in which Spark shuffles the lines once and the prefixes once, and reuses both.
+    sets = lines.join(firsts, ["doc_id", "line_no"], "left_semi").select("doc_id", "line_no", _tokens(F.col("line"), scales).alias("tokens"))
     n = F.size("tokens")
     prefix = sets.select("doc_id", "line_no", n.alias("n"), F.posexplode(F.slice("tokens", 1, (n - F.ceil(n * percent / 100) + 1).cast("int"))).alias("pos", "token"))
     held = Window.partitionBy("token")
     met = prefix.withColumn("holders", F.count("*").over(held)).withColumn("p", F.min(F.struct("doc_id", "line_no", "n", "pos")).over(held))
-    met = cut(met.where("holders > 1").drop("holders"))
-    sets = cut(sets.join(met.select("doc_id", "line_no").distinct(), ["doc_id", "line_no"]))
+    met = met.where("holders > 1").select("doc_id", "line_no", "n", "pos", "token", "p")
+    wanted = met.select("doc_id", "line_no").distinct()
+    texts = lines.join(wanted, ["doc_id", "line_no"], "left_semi")
+    both = cut(met.unionByName(texts, allowMissingColumns=True))
+    met = both.where("line is null").drop("line")
+    sets = cut(both.where("line is not null").select("doc_id", "line_no", _tokens(F.col("line"), scales).alias("tokens")))
 
     later = "(y.doc_id > x.doc_id or y.doc_id = x.doc_id and y.line_no > x.line_no)"
     ends = [F.col("y.doc_id").alias("doc_id"), F.col("y.line_no").alias("line_no"), F.col("x.doc_id").alias("x_doc"), F.col("x.line_no").alias("x_line")]
@@ -108,7 +114,7 @@ def first_lines(docs: DataFrame, percent: int = 80, least_words: int = 5) -> Dat
     open_ = met.join(gone, ["doc_id", "line_no"], "left_anti").alias("y")
     others = open_.join(met.where("doc_id <> p.doc_id or line_no <> p.line_no").alias("x"), F.expr(f"y.token = x.token and {later} and {_first_matches('x', 'y', percent)}"))
     gone = gone.unionByName(_verified(cut(others.select(*ends).distinct()), sets, percent))
-    return distinct.select("doc_id", "line_no").join(gone.distinct(), ["doc_id", "line_no"], "left_anti")
+    return firsts.join(gone.distinct(), ["doc_id", "line_no"], "left_anti")
 
 
 def removed_lines(docs: DataFrame, percent: int = 80, least_words: int = 5) -> DataFrame:

@@ -196,7 +196,7 @@ WITH l AS (SELECT doc_id, i - 1 AS i, line FROM (SELECT doc_id, unnest(string_sp
 w AS (SELECT doc_id, i, regexp_extract_all(lower(line), '[^ \t\x0B\f\r]+') AS ws FROM l),
 e AS (SELECT doc_id, i, array_to_string(ws, ' ') AS k, ws FROM w WHERE len(ws) >= 5),
 d AS (SELECT k, ws, doc_id, i FROM e QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, i) = 1),
-b AS (SELECT DISTINCT doc_id, i, ws[j] || ' ' || ws[j + 1] AS g FROM (SELECT *, unnest(range(1, len(ws))) AS j FROM d)),
+b AS (SELECT DISTINCT doc_id, i, least(ws[j], ws[j + 1]) || ' ' || greatest(ws[j], ws[j + 1]) AS g FROM (SELECT *, unnest(range(1, len(ws))) AS j FROM d)),
 n AS (SELECT doc_id, i, count(*) AS n FROM b GROUP BY ALL),
 c AS (SELECT g FROM b GROUP BY g HAVING count(*) > 1),
 m AS (SELECT b.*, n FROM b SEMI JOIN c USING (g) JOIN n USING (doc_id, i)),

@@ -3,7 +3,7 @@
 Directory chains are resolved by pointer doubling: every directory holds a pointer to
 an ancestor and the path in between; each round joins the table with itself and
 doubles the distance.  A chain of d directories takes log2(d) rounds instead of d, and
-a cycle is what still points at a directory after the longest possible chain.
+cycles are what is left when a round settles nothing more.
 """
 
 from __future__ import annotations
@@ -31,17 +31,12 @@ def resolve_directories(records: DataFrame, letter: str, skip_dot: bool = True,
     up = under.join(roots.select(F.col("frn").alias("parent_frn"), F.lit(True).alias("at_root")), "parent_frn", "left")
     top = F.col("at_root").isNotNull() | (record_number(F.col("parent_frn")) == 5)
     state = cut(up.select("frn", F.when(~top, F.col("parent_frn")).alias("up"), F.col("name").alias("path"), F.lit(1).cast("long").alias("depth"), excluded_component(F.col("name"), skip_dot, excluded).alias("bad"), F.lit(False).alias("lost")))
-    reach, paths = 1, True
-    total = None
+    reach, left = 1, None
     while True:
-        open_ = state.where("up is not null and not lost")
-        if open_.isEmpty():
-            break
-        if reach > 2 * max_depth:
-            paths = False  # only tells chains that are too deep from cycles
-            total = total or state.count()
-            if reach > total:
-                break
+        before, left = left, state.where("up is not null and not lost").count()
+        if left in (0, before):
+            break  # as long as any chain has an end, each round settles some directory: what is left are cycles
+        paths = reach <= 2 * max_depth  # longer chains are too deep to need one
         above = state.select(F.col("frn").alias("up"), F.col("up").alias("a_up"), F.col("path").alias("a_path"), F.col("depth").alias("a_depth"), F.col("bad").alias("a_bad"), F.col("lost").alias("a_lost"))
         joined = state.join(above, "up", "left")
         moved = F.col("up").isNotNull() & F.col("a_depth").isNotNull()
