@@ -1,25 +1,8 @@
-"""Operator 10: removal of lines that repeat or nearly repeat an earlier line.
-
-Method: exact set-similarity join.  A line is the set of its (unordered) pairs of
-neighbouring lower-cased words; two lines match at a Jaccard similarity of ``percent`` / 100.  Each
-line orders its pairs by rarity - by how frequent both words are over all documents,
-then by hash - and only the first ``n - ceil(t * n) + 1`` of them, its prefix, can hold
-the first pair that it shares with a match.  Lines that meet there must have lengths in
-proportion and enough pairs left after the meeting (positional filter); what remains is
-verified exactly.  A line is removed if any earlier line (by doc_id, then by number)
-matches, whether or not that one is removed itself.
-
-Equal lines (same words) are one from the start, so a frequent line is one row.  At
-each pair the lines first meet the earliest holder only; lines that it removes need no
-further partner, and just the others meet all earlier holders.
-
-Word frequencies are kept as a table of ``CELLS`` sums (a word's cell is its hash), of
-fixed size at any corpus size; it sets the order, never the result.
-
-Edge cases: lines with fewer than ``least_words`` words are kept; null texts have no
-lines; a null doc_id comes after all others; rows with one doc_id count as one document
-(lines of one number: the smaller line stands for both); other columns are ignored; an
-empty table gives no rows.
+"""The join of ``line_dedup`` with DataFrame functions alone, for comparison.
+
+It differs in the order of pairs: a pair's rarity is how frequent both of its words are
+over all documents.  Word frequencies are kept as a table of ``CELLS`` sums (a word's
+cell is its hash), of fixed size at any corpus size; the order never changes the result.
 """
 
 from __future__ import annotations
@@ -29,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .exchange import NO_ID, cut, with_null_ids
+from .exchange import NO_ID, cut
 
 CELLS = 1 << 15
 SPACE = r"[ \t\x0B\f\r]"
@@ -115,20 +98,3 @@ def first_lines(docs: DataFrame, percent: int = 80, least_words: int = 5) -> Dat
     others = open_.join(met.where("doc_id <> p.doc_id or line_no <> p.line_no").alias("x"), F.expr(f"y.token = x.token and {later} and {_first_matches('x', 'y', percent)}"))
     gone = gone.unionByName(_verified(cut(others.select(*ends).distinct()), sets, percent))
     return firsts.join(gone.distinct(), ["doc_id", "line_no"], "left_anti")
-
-
-def removed_lines(docs: DataFrame, percent: int = 80, least_words: int = 5) -> DataFrame:
-    """Per document: doc_id, n_lines, and removed, the numbers (from 0) of the lines that go."""
-    stay = cut(first_lines(docs, percent, least_words)).groupBy("doc_id").agg(F.collect_list("line_no").alias("stay"))
-    line = F.split(F.coalesce("text", F.lit("")), "\n")
-    able = F.filter(F.transform(line, lambda s, i: F.when(_eligible(s, least_words), i)), lambda i: i.isNotNull())
-    all_ = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.when(F.col("text").isNull(), 0).otherwise(F.size(line)).cast("long").alias("n_lines"), able.alias("able"))
-    out = all_.join(stay, "doc_id", "left").select("doc_id", "n_lines", F.array_except("able", F.coalesce("stay", F.array().cast("array<int>"))).alias("removed"))
-    return with_null_ids(out)
-
-
-def without_repeated_lines(docs: DataFrame, percent: int = 80, least_words: int = 5) -> DataFrame:
-    """Per document: doc_id and its text without the removed lines."""
-    gone = removed_lines(docs.where("doc_id is not null"), percent, least_words).select("doc_id", "removed").dropDuplicates(["doc_id"])
-    kept = F.filter(F.split("text", "\n"), lambda s, i: ~F.array_contains("removed", i))
-    return docs.select("doc_id", "text").join(gone, "doc_id", "left").select("doc_id", F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"))

@@ -7,7 +7,7 @@ from itertools import combinations
 
 import pytest
 
-from shelfspark.llm import exchange
+from shelfspark.llm import exchange, line_dedup, line_dedup_native
 from shelfspark.llm.components import components
 from shelfspark.llm.line_dedup import removed_lines, without_repeated_lines
 from shelfspark.llm.ngram_join import ngram_jaccard_components, prefix
@@ -160,7 +160,8 @@ def lines_gone(rows, percent, least):
     return gone
 
 
-def test_repeated_lines(spark):
+@pytest.mark.parametrize("first_lines", [line_dedup.first_lines, line_dedup_native.first_lines])
+def test_repeated_lines(spark, small_blocks, first_lines):
     rng = random.Random(2)
     words = [f"w{i}" for i in range(60)]
     common = [[rng.choice(words) for _ in range(rng.randrange(6, 30))] for _ in range(12)]
@@ -174,7 +175,7 @@ def test_repeated_lines(spark):
             lines.append(" ".join(w) if rng.random() < 0.9 else " " + "\t".join(w) + "  ")
         rows.append((d, "\n".join(lines)))
     rows += [(20_000, None), (20_001, ""), (20_002, "short line\nshort line"), (20_003, "\n\n")]
-    got = {r["doc_id"]: (r["n_lines"], r["removed"]) for r in removed_lines(spark.createDataFrame(rows, DOCS)).collect()}
+    got = {r["doc_id"]: (r["n_lines"], r["removed"]) for r in removed_lines(spark.createDataFrame(rows, DOCS), first_lines=first_lines).collect()}
     gone = lines_gone(rows, 80, 5)
     assert got == {d: (len(t.split("\n")) if t is not None else 0, gone[d]) for d, t in rows} and sum(map(len, gone.values())) > 40
     texts = {r["doc_id"]: r["text"] for r in without_repeated_lines(spark.createDataFrame(rows, DOCS)).collect()}
