@@ -126,6 +126,12 @@ def with_paths(hits: DataFrame, dirs: DataFrame) -> DataFrame:
     return out.withColumn("path", full_path(F.col("dir"), F.col("name"))).orderBy(F.desc("key"), "idx")
 
 
+def page(hits: DataFrame, first: int, rows: int, overscan: int = 3) -> DataFrame:
+    """The hits of a window of a list, with a few before and after it."""
+    start = max(first - overscan, 0)
+    return hits.orderBy(F.desc("key"), "idx").offset(start).limit(first + rows + overscan - start)
+
+
 def best_partial(rows: DataFrame) -> DataFrame:
     """Of a relaxed pass, the rows that match as many tokens as the best."""
     best = rows.agg(F.max("matched").alias("best_matched"))

@@ -104,6 +104,25 @@ def search_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hits(search.search(files, dirs, "red", options, props).hits)
 
 
+@query("search_page", f"WITH {_score_sql(['gear'], _PARTS)} SELECT idx, name, matched, score, score AS key FROM m WHERE matched = 1 ORDER BY score DESC, idx LIMIT 46 OFFSET 7")
+def search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files, dirs, _ = part_library(spark, sf_dir)
+    return _hits(search.page(search.search(files, dirs, "gear", search.SearchOptions(limit=500)).hits, 10, 40))
+
+
+@query("file_times", "SELECT event_id, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS unix, strftime(ts, '%Y-%m-%d %Hh') AS hour FROM events")
+def file_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ticks = F.unix_micros(F.col("ts").cast("timestamp")) * 10 + media.EPOCH_TICKS
+    return _read(spark, sf_dir, "events").select("event_id", media.filetime_to_unix(ticks).alias("unix"), media.filetime_hour(ticks).alias("hour"))
+
+
+@query("describe_changes", "SELECT event_id, CASE WHEN event_type = 'error' THEN 'D: gone' ELSE 'D: present ' || CASE WHEN event_type = 'view' THEN 'directory ' ELSE 'file ' END || event_type END AS what FROM events")
+def describe_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("event_type")
+    what = media.describe_change(F.when(kind == "error", "gone").otherwise("present"), F.lit("D"), kind, kind == "view")
+    return _read(spark, sf_dir, "events").select("event_id", what.alias("what"))
+
+
 # ---- functions -----------------------------------------------------------------------------
 
 

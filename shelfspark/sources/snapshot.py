@@ -24,9 +24,9 @@ POINTERS = "epoch long, schema_version int"
 
 
 def shared_path(spark: SparkSession) -> str:
-    """A fresh path in the folder that driver and executors share (spark.checkpoint.dir)."""
+    """A fresh path in the folder that driver and executors share (spark.checkpoint.dir), below one folder for the application."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp/shelfspark-checkpoints"
-    return f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
