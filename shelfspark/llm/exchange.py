@@ -34,8 +34,8 @@ _PACKED = pa.schema([("origin", pa.int32()), ("kind", pa.int32()), ("bucket", pa
 #: Stands for a null doc_id inside the exchanges: larger than every other.
 NO_ID = (1 << 63) - 1
 
-ORIGIN_BYTES = 12 << 20
-BUCKET_HASHES = 3 << 20
+ORIGIN_BYTES = 8 << 20
+BUCKET_HASHES = 2 << 20
 
 
 class Plan:

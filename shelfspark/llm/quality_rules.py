@@ -30,17 +30,19 @@ from shelfspark.session import ship_package
 
 from . import words as W
 
-STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_digits long, n_marks long"
+STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_digits long, n_marks long, n_pipes long"
 SYMBOLS = W._flags(lambda b: b in b"#*$%&|<>")
 UPPER = W._flags(lambda b: 65 <= b <= 90)
 DIGIT = W._flags(lambda b: 48 <= b <= 57)
 #: Exclamation and question marks.
 MARKS = W._flags(lambda b: b in b"!?")
+PIPES = W._flags(lambda b: b == 0x7C)
 #: What the rules may ask: ratios of the statistics, so that a text's length matters only where it is meant.
 FEATURES = {
     "n_words": "cast(n_words as double)",
     "mean_word": "word_chars / greatest(n_words, 1)",
-    "symbol_share": "n_symbols / greatest(word_chars, 1)",
+    "symbol_share": "(n_symbols - n_pipes) / greatest(word_chars, 1)",
+    "pipe_share": "n_pipes / greatest(word_chars, 1)",
     "dup_line_share": "n_dup_lines / greatest(n_lines, 1)",
     "repeat_share": "n_repeat_words / greatest(n_words, 1)",
     "upper_share": "n_upper / greatest(word_chars, 1)",
@@ -91,6 +93,7 @@ def text_statistics(column) -> dict[str, np.ndarray]:
         "n_upper": chars(UPPER[data]),
         "n_digits": chars(DIGIT[data]),
         "n_marks": chars(MARKS[data]),
+        "n_pipes": chars(PIPES[data]),
     }
 
 
@@ -144,6 +147,12 @@ def _candidates(x: dict[str, np.ndarray], mask: np.ndarray, cuts: int = 32):
             yield Condition(f, False, float(t))
 
 
+def _between(c: Condition, values: np.ndarray) -> Condition:
+    """The condition with its threshold half-way between the values that it parts."""
+    low, high = values[values <= c.threshold], values[values > c.threshold]
+    return Condition(c.feature, c.above, float((low.max() + high.min()) / 2)) if len(low) and len(high) else c
+
+
 def _grow(x, bad, most: int) -> Rule:
     """A conjunction of at most ``most`` conditions, each the one of greatest information gain."""
     rule: Rule = ()
@@ -158,6 +167,7 @@ def _grow(x, bad, most: int) -> Rule:
                 best, gain = c, g
         if best is None:
             break
+        best = _between(best, x[best.feature][inside])
         rule = (*(c for c in rule if (c.feature, c.above) != (best.feature, best.above)), best)  # the narrower threshold implies the wider
         inside &= best.holds(x)
     return rule

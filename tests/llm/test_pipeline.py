@@ -32,7 +32,7 @@ def features(text):
     t = text or ""
     s = {"n_words": n_words, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": dup_lines, "n_repeat_words": repeats}
     s["n_lines"] = sum(bool(re.search(r"[^\x20\x09-\x0D]", line)) for line in t.split("\n"))
-    s |= {"n_upper": len(re.findall("[A-Z]", t)), "n_digits": len(re.findall("[0-9]", t)), "n_marks": len(re.findall("[!?]", t))}
+    s |= {"n_upper": len(re.findall("[A-Z]", t)), "n_digits": len(re.findall("[0-9]", t)), "n_marks": len(re.findall("[!?]", t)), "n_pipes": t.count("|")}
     plain = {f: e.replace("cast(n_words as double)", "float(n_words)").replace("greatest", "max") for f, e in FEATURES.items()}
     return s, {f: eval(e, {"max": max}, dict(s)) for f, e in plain.items()}
 
