@@ -41,28 +41,30 @@ EQUAL, CODES = range(2)
 LINES = "doc_id long, line_no int, n int, skip int, prefix array<long>, tokens array<long>"
 
 
-def _lines_of(table: pa.Table, least_words: int) -> dict[str, np.ndarray]:
-    """Lines with enough words: doc_id, number, digest and check of the words; and all their pairs with the line of each."""
+def _lines_of(table: pa.Table, least_words: int, pairs: bool = True) -> dict[str, np.ndarray]:
+    """Lines with enough words: doc_id, number, digest and check of the words; and, if asked for, all their pairs with the line of each."""
     parts: dict[str, list] = {k: [] for k in ("doc", "no", "digest", "check", "pair", "line")}
     so_far = 0
     for block in W.in_blocks(table, "text"):
         data, bounds = W.text_bytes(block["text"])
-        words, lines = W.split(data, bounds, W.SPACES), W.split(data, bounds, W.NEWLINE)
+        words = W.split(data, bounds, W.SPACES)
         h = W.span_hashes(words)
-        first = np.searchsorted(words.starts, lines.starts)
-        last = np.searchsorted(words.starts, lines.ends)
+        # A line begins with its document or behind a newline; of two that begin at one place the first is empty.
+        newlines = np.flatnonzero(data == 10)
+        begins = np.sort(np.concatenate((bounds[:-1], newlines + 1)))
+        first = np.searchsorted(words.starts, begins)
+        last = np.append(first[1:], len(h))
         able = np.flatnonzero(last - first >= least_words)
-        number = np.cumsum(data == 10)
-        doc = lines.doc[able]
-        at = lines.starts[able]
-        begin = bounds[doc]
+        doc = np.searchsorted(bounds, begins[able], "right") - 1
         parts["doc"].append(block["doc_id"].to_numpy()[doc])
-        parts["no"].append(number[at] - np.where(begin > 0, number[np.maximum(begin - 1, 0)], 0))
+        parts["no"].append(np.searchsorted(newlines, begins[able]) - np.searchsorted(newlines, bounds[doc]))
         up, down = W._power_tables(len(h) + 1)
         total, other = (np.concatenate((np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64))) for x in (h * up[: len(h)], W.mix(h ^ W._ROLL)))
         lo, hi = first[able], last[able]
         parts["digest"].append(W.mix((total[hi] - total[lo]) * down[lo] + (hi - lo).astype(np.uint64)))
         parts["check"].append(((other[hi] - other[lo]) >> np.uint64(32)).astype(np.uint32))
+        if not pairs:
+            continue
         owner = np.full(len(h), -1, np.int64)
         owner[np.repeat(lo - np.concatenate(([0], np.cumsum(hi - lo)[:-1])), hi - lo) + np.arange((hi - lo).sum())] = np.repeat(np.arange(len(able)), hi - lo)
         near = np.flatnonzero((owner[:-1] == owner[1:]) & (owner[:-1] >= 0))
@@ -112,7 +114,7 @@ def _prefixed(docs: DataFrame, percent: int, least_words: int) -> DataFrame:
     texts, b = X.by_origin(docs, plan), plan.buckets
 
     def send_lines(origin, table):
-        x = _lines_of(table, least_words)
+        x = _lines_of(table, least_words, pairs=False)
         f = _local_firsts(x)
         return X.table_of(X.pack(origin, EQUAL, X.bounds(x["digest"][f], b), x["digest"][f], x["check"][f], x["doc"][f], x["no"][f]))
 
@@ -131,7 +133,7 @@ def _prefixed(docs: DataFrame, percent: int, least_words: int) -> DataFrame:
         found, place = np.unique(pairs, return_inverse=True)
         scale = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(p, np.uint8) for p in X.answers(side, CODES))])[place]
         key = (scale.astype(np.uint64) << np.uint64(58)) | (pairs >> np.uint64(6))  # rare first, then by hash
-        order = np.lexsort((key, line))
+        order = _within_lines(key, line)
         key, line = key[order], line[order]
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1])
@@ -139,8 +141,7 @@ def _prefixed(docs: DataFrame, percent: int, least_words: int) -> DataFrame:
         numbers = np.flatnonzero(first)
         at = np.searchsorted(line, numbers)
         n = np.searchsorted(line, numbers, "right") - at
-        skip = np.zeros(len(numbers), np.int64)
-        np.add.at(skip, np.searchsorted(numbers, line[(key >> 58) == 1]), 1)
+        skip = np.bincount(np.searchsorted(numbers, line[(key >> 58) == 1]), minlength=len(numbers))
         length = n - -(-percent * n // 100) + 1
         some = skip < length
         lists = [_slices(key, lo, size, some) for lo, size in ((at + skip, length - skip), (at, n))]
@@ -149,6 +150,19 @@ def _prefixed(docs: DataFrame, percent: int, least_words: int) -> DataFrame:
     return X.cut(X.with_side(texts, equal.unionByName(codes), choose, LINES))
 
 
+def _within_lines(key: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """The order by line, then by key: one sort of line and upper bits of the key, unless those bits tie."""
+    bits = int(line.max()).bit_length() if len(line) else 0
+    both = key >> np.uint64(bits)
+    if bits:
+        both |= line.astype(np.uint64) << np.uint64(64 - bits)
+    order = np.argsort(both)
+    both, sorted_key = both[order], key[order]
+    if ((both[1:] == both[:-1]) & (sorted_key[1:] != sorted_key[:-1])).any():
+        return np.lexsort((key, line))
+    return order
+
+
 def _slices(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, keep: np.ndarray) -> pa.Array:
     """Lists of values; null where not kept."""
     sizes = np.where(keep, sizes, 0)
