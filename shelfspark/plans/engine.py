@@ -53,7 +53,8 @@ class Engine:
         if self.snapshot is not None and not full:
             old_dirs = self.snapshot.dirs.select("volume", "frn", "path")
             old = self.snapshot.files.join(self.snapshot.dirs.select("dir_id", F.col("path").alias("dir")), "dir_id")
-            files, dirs = carry_over(old.select(*files.columns), files), carry_over(old_dirs.select(*dirs.columns), dirs)
+            scanned = self.spark.createDataFrame([(letter,) for letter in records], "volume string")
+            files, dirs = carry_over(old.select(*files.columns), files, scanned), carry_over(old_dirs.select(*dirs.columns), dirs, scanned)
         self.store.publish(*library_rows(files, dirs))
         self.reload()
         return outcomes

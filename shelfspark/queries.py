@@ -339,7 +339,8 @@ def merge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def carry_over_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = _read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_name")
     new = old.where("c_nationkey % 3 = 0 and c_custkey % 2 = 0").withColumn("c_name", F.concat(F.lit("rescanned "), "c_name"))
-    return carry_over(old, new, "c_nationkey").select("c_custkey", "c_nationkey", "c_name")
+    scanned = _read(spark, sf_dir, "nation").where("n_nationkey % 3 = 0").select(F.col("n_nationkey").alias("c_nationkey"))
+    return carry_over(old, new, scanned).select("c_custkey", "c_nationkey", "c_name")
 
 
 # ---- properties ----------------------------------------------------------------------------

@@ -97,6 +97,10 @@ def assign_positions(rows: DataFrame, name: str, order: list[str]) -> DataFrame:
     return parts.join(starts, "_part").withColumn(name, F.col("start") + F.col("_at") - F.col("first")).drop("_part", "_at", "first", "start")
 
 
-def carry_over(old: DataFrame, new: DataFrame, key: str = "volume") -> DataFrame:
-    """``new`` and those rows of ``old`` whose volume was not scanned."""
-    return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new.select(*old.columns))
+def carry_over(old: DataFrame, new: DataFrame, scanned: DataFrame) -> DataFrame:
+    """``new`` and those rows of ``old`` whose volume was not scanned.
+
+    ``scanned`` has the volumes of this scan in one column of the tables; one that was scanned and
+    found empty keeps nothing.
+    """
+    return old.join(scanned.distinct(), scanned.columns, "left_anti").select(*old.columns).unionByName(new.select(*old.columns))

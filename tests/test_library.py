@@ -89,6 +89,8 @@ def test_other_volumes_are_carried_over(engine, spark):
     engine.build({"E": R.scan_records(decoded(spark, usn(7, ROOT, "e.mp4")))})
     assert {r["volume"] for r in engine.paths().collect()} == {"D", "E"}
     assert sorted(r["idx"] for r in engine.paths().collect()) == list(range(engine.status()["files"]))
+    engine.build({"E": R.scan_records(decoded(spark))})  # scanned and found empty: not carried over
+    assert {r["volume"] for r in engine.paths().collect()} == {"D"}
 
 
 def test_properties_and_duplicates(engine, spark):
