@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 from shelfspark.llm import exchange, line_dedup, line_dedup_native
@@ -202,3 +203,11 @@ def test_windows_need_the_same_order_of_words(spark):
     assert [r["n_removed"] for r in remove_repeated_spans(spark.createDataFrame(rows, DOCS)).collect()] == [0, 0]
 
 
+def test_order_within_lines_where_upper_bits_tie():
+    key = np.array([5, 3, 5, 9, 3], np.uint64)
+    line = np.array([1, 1, 1, 0, 2])
+    assert line_dedup._within_lines(key, line).tolist() == [3, 1, 0, 2, 4]
+    far = key << np.uint64(58)
+    order = line_dedup._within_lines(far, line)
+    assert list(zip(line[order], far[order] >> np.uint64(58), strict=True)) == [(0, 9), (1, 3), (1, 5), (1, 5), (2, 3)]
+    assert not len(line_dedup._within_lines(key[:0], line[:0]))
