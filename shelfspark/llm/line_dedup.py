@@ -1,7 +1,8 @@
 """Operator 10: removal of lines that repeat or nearly repeat an earlier line.
 
-Method: exact set-similarity join.  A line is the set of its (unordered) pairs of
-neighbouring lower-cased words; two lines match at a Jaccard similarity of ``percent`` /
+Method: exact set-similarity join.  A line is the set of its lower-cased words
+(``first_lines_by_words``, which the query uses) or of its (unordered) pairs of
+neighbouring words (``first_lines``); two lines match at a Jaccard similarity of ``percent`` /
 100.  Each line orders its pairs by rarity - by the number of lines that hold a pair,
 counted over all documents in scales of two, then by hash - and only the first
 ``n - ceil(t * n) + 1`` of them, its prefix, can hold the first pair that it shares with
@@ -14,6 +15,12 @@ Equal lines (same words) are one from the start, so a frequent line is one row.
 each pair the lines first meet the earliest holder only; lines that it removes need no
 further partner, and just the others meet all earlier holders.
 
+Words are far more frequent than pairs.  Where the first shared word of two lines is one
+of more than ``2 ** RARE`` holders, they must meet at their first three shared words at
+once (all of them, if the overlap is smaller), which stand among the first
+``n - ceil(t * n) + 3``.  Only lines of more than ``LONG`` words meet at a frequent word
+alone.  Keys that one line alone holds are dropped by a packed exchange before the join.
+
 Counting is done on packed hashes (see ``exchange``), in Python tasks; joins, filters
 and verification are DataFrame operations.  ``line_dedup_native`` is the same join with
 DataFrame functions alone; it gives the same rows at several times the cost, which is
@@ -37,12 +44,15 @@ from . import words as W
 from .line_dedup_native import _eligible, _verified
 from .ngram_join import _scales
 
-EQUAL, CODES = range(2)
+EQUAL, CODES, KEYS = range(3)
 LINES = "doc_id long, line_no int, n int, skip int, prefix array<long>, tokens array<long>"
+WORD_LINES = "doc_id long, line_no int, n int, prefix array<long>, pos array<long>, tokens array<long>"
+#: The highest scale of a word at which lines meet alone, and the most words of a line that meets at three at once.
+RARE, LONG = 5, 32
 
 
-def _lines_of(table: pa.Table, least_words: int, pairs: bool = True) -> dict[str, np.ndarray]:
-    """Lines with enough words: doc_id, number, digest and check of the words; and, if asked for, all their pairs with the line of each."""
+def _lines_of(table: pa.Table, least_words: int, pairs: bool = True, single: bool = False) -> dict[str, np.ndarray]:
+    """Lines with enough words: doc_id, number, digest and check of the words; and, if asked for, all their pairs (or single words) with the line of each."""
     parts: dict[str, list] = {k: [] for k in ("doc", "no", "digest", "check", "pair", "line")}
     so_far = 0
     for block in W.in_blocks(table, "text"):
@@ -67,8 +77,8 @@ def _lines_of(table: pa.Table, least_words: int, pairs: bool = True) -> dict[str
             continue
         owner = np.full(len(h), -1, np.int64)
         owner[np.repeat(lo - np.concatenate(([0], np.cumsum(hi - lo)[:-1])), hi - lo) + np.arange((hi - lo).sum())] = np.repeat(np.arange(len(able)), hi - lo)
-        near = np.flatnonzero((owner[:-1] == owner[1:]) & (owner[:-1] >= 0))
-        parts["pair"].append(W.mix(h[near] + h[near + 1]))
+        near = np.flatnonzero(owner >= 0) if single else np.flatnonzero((owner[:-1] == owner[1:]) & (owner[:-1] >= 0))
+        parts["pair"].append(h[near] if single else W.mix(h[near] + h[near + 1]))
         parts["line"].append(owner[near] + so_far)
         so_far += len(able)
     kinds = {"doc": np.int64, "no": np.int64, "digest": np.uint64, "check": np.uint32, "pair": np.uint64, "line": np.int64}
@@ -150,6 +160,106 @@ def _prefixed(docs: DataFrame, percent: int, least_words: int) -> DataFrame:
     return X.cut(X.with_side(texts, equal.unionByName(codes), choose, LINES))
 
 
+def _each(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row as many rows as its count: the row's number, and a running number within it."""
+    ends = np.cumsum(counts)
+    return np.repeat(np.arange(len(counts)), counts), np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts)
+
+
+def _word_keys(key: np.ndarray, at: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, place of the first word, key) of all keys at which the lines, of sorted words from ``at`` on, meet a match."""
+    need = -(-percent * n // 100)
+    i, a = _each(n - need + 1)
+    first = key[at[i] + a]
+    scale = first >> np.uint64(58)
+    rare, frequent = (scale > 1) & (scale <= RARE), scale > RARE
+    step = lambda h, more: W.mix(h * W._ROLL + more)
+    out = [(i[rare], a[rare], W.mix(first[rare]))]
+    far = frequent & (100 * n[i] > percent * LONG)
+    out.append((i[far], a[far], step(first[far], np.uint64(4))))
+    short = frequent & (n[i] <= LONG)
+    for together in (1, 2, 3):
+        ok = short & (np.minimum(need[i], 3) <= together) & (n[i] >= together)
+        last = n[i] - np.maximum(need[i], together)
+        ok &= a <= last
+        line, begin, at_word, last, h = i[ok], a[ok], a[ok], last[ok], step(first[ok], np.uint64(together))
+        for k in range(1, together):
+            row, off = _each(last + k - at_word)
+            line, begin, at_word, last, h = line[row], begin[row], at_word[row] + 1 + off, last[row], h[row]
+            h = step(h, key[at[line] + at_word])
+        out.append((line, begin, h))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def _word_prefixed(docs: DataFrame, percent: int, least_words: int) -> DataFrame:
+    """Every first line with its size, and, if another line holds one of its keys, with these keys, their places and its words."""
+    docs = docs.select("doc_id", F.lower("text").alias("text"))
+    plan = X.Plan(docs)
+    texts, b = X.by_origin(docs, plan), plan.buckets
+
+    def send_lines(origin, table):
+        x = _lines_of(table, least_words, pairs=False)
+        f = _local_firsts(x)
+        return X.table_of(X.pack(origin, EQUAL, X.bounds(x["digest"][f], b), x["digest"][f], x["check"][f], x["doc"][f], x["no"][f]))
+
+    equal = X.answer(X.alone(texts, send_lines, X.PACKED), EQUAL, _earliest)
+
+    def send_words(origin, table, side):
+        _, words, _ = _firsts(_lines_of(table, least_words, single=True), side, b)
+        found, counts = np.unique(words, return_counts=True)
+        return X.table_of(X.pack(origin, CODES, X.bounds(found, b), found.astype(np.uint32), np.minimum(counts, 65535).astype(np.uint16)))
+
+    codes = X.answer(X.with_side(texts, equal, send_words, X.PACKED), CODES, _scales)
+
+    def keys_of(table, side):
+        x = _lines_of(table, least_words, single=True)
+        first, words, line = _firsts(x, side, b)
+        found, place = np.unique(words, return_inverse=True)
+        scale = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(p, np.uint8) for p in X.answers(side, CODES))])[place]
+        key = (scale.astype(np.uint64) << np.uint64(58)) | (words >> np.uint64(6))
+        order = _within_lines(key, line)
+        key, line = key[order], line[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1])
+        key, line = key[new], line[new]
+        numbers = np.flatnonzero(first)
+        at = np.searchsorted(line, numbers)
+        n = np.searchsorted(line, numbers, "right") - at
+        return x, numbers, key, at, n, *_word_keys(key, at, n, percent)
+
+    def send_keys(origin, table, side):
+        found, counts = np.unique(keys_of(table, side)[-1], return_counts=True)
+        return X.table_of(X.pack(origin, KEYS, X.bounds(found, b), found.astype(np.uint32), np.minimum(counts, 2).astype(np.uint8)))
+
+    side = equal.unionByName(codes)
+    shared = X.answer(X.with_side(texts, side, send_keys, X.PACKED), KEYS, _shared)
+
+    def choose(origin, table, side):
+        x, numbers, key, at, n, line, pos, keys = keys_of(table, side)
+        found, place = np.unique(keys, return_inverse=True)
+        held = X.bits(X.answers(side, KEYS), X.bounds(found, b))[place]
+        line, pos, keys = line[held], pos[held], keys[held]
+        order = np.argsort(line, kind="stable")
+        size = np.bincount(line, minlength=len(numbers))
+        some, starts = size > 0, np.cumsum(size) - size
+        lists = [_slices(keys[order].view(np.int64), starts, size, some), _slices(pos[order], starts, size, some), _slices(key.view(np.int64), at, n, some)]
+        columns = (x["doc"][numbers], x["no"][numbers], n, *lists)
+        return pa.table([pa.array(c, f.type) if isinstance(c, np.ndarray) else c for c, f in zip(columns, X.pa_schema(WORD_LINES), strict=True)], X.pa_schema(WORD_LINES))
+
+    return X.cut(X.with_side(texts, side.unionByName(shared), choose, WORD_LINES))
+
+
+def _shared(packed: list) -> list[bytes]:
+    """For each origin's keys: does more than one line hold it?"""
+    if not packed:
+        return []
+    parts = [X.unpack(p, np.uint32, np.uint8) for p in packed]
+    _, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    many = (np.bincount(place, weights=np.concatenate([p[1] for p in parts])) > 1)[place]
+    ends = np.cumsum([len(p[0]) for p in parts])
+    return [np.packbits(many[e - len(p[0]) : e]).tobytes() for p, e in zip(parts, ends, strict=True)]
+
+
 def _within_lines(key: np.ndarray, line: np.ndarray) -> np.ndarray:
     """The order by line, then by key: one sort of line and upper bits of the key, unless those bits tie."""
     bits = int(line.max()).bit_length() if len(line) else 0
@@ -181,9 +291,20 @@ def _meets(x: str, y: str, percent: int) -> str:
 def first_lines(docs: DataFrame, percent: int = 80, least_words: int = 5) -> DataFrame:
     """(doc_id, line_no) of the lines that stay, of those with at least ``least_words`` words."""
     lines = _prefixed(docs, percent, least_words)
-    able = lines.where("prefix is not null")
-    sets = able.select("doc_id", "line_no", "tokens")
-    met = able.select("doc_id", "line_no", "n", "skip", F.posexplode("prefix").alias("at", "token")).select("doc_id", "line_no", "n", (F.col("skip") + F.col("at")).alias("pos"), "token")
+    met = lines.select("doc_id", "line_no", "n", "skip", F.posexplode("prefix").alias("at", "token")).select("doc_id", "line_no", "n", (F.col("skip") + F.col("at")).alias("pos"), "token")
+    return _staying(lines, met, percent)
+
+
+def first_lines_by_words(docs: DataFrame, percent: int = 80, least_words: int = 1) -> DataFrame:
+    """As :func:`first_lines`, with a line as the set of its words."""
+    lines = _word_prefixed(docs, percent, least_words)
+    met = lines.select("doc_id", "line_no", "n", F.explode(F.arrays_zip("pos", "prefix")).alias("k")).select("doc_id", "line_no", "n", F.col("k.pos").alias("pos"), F.col("k.prefix").alias("token"))
+    return _staying(lines, met, percent)
+
+
+def _staying(lines: DataFrame, met: DataFrame, percent: int) -> DataFrame:
+    """The lines without those that match an earlier one. ``met``: the tokens at which they meet, and their places."""
+    sets = lines.where("prefix is not null").select("doc_id", "line_no", "tokens")
     earliest = met.groupBy("token").agg(F.min(F.struct("doc_id", "line_no", "n", "pos")).alias("p"), F.count("*").alias("holders")).where("holders > 1").drop("holders")
     met = X.cut(met.join(earliest, "token"))
 
