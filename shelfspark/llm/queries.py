@@ -89,7 +89,7 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import first_lines_by_words, removed_lines
 
-    out = removed_lines(_read(spark, sf_dir, "documents"), percent=80, least_words=5, first_lines=first_lines_by_words)
+    out = removed_lines(_read(spark, sf_dir, "documents"), percent=80, least_words=1, first_lines=first_lines_by_words)
     return out.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed_lines"))
 
 

@@ -61,3 +61,9 @@ def test_query_finds_one_changed_word_in_nine(spark, tmp_path):
     rows = [(1, " ".join(line)), (2, " ".join([*line[:5], "z", *line[6:]]))]
     spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     assert {r["doc_id"]: r["removed_lines"] for r in op10_line_dedup(spark, str(tmp_path)).collect()} == {1: "", 2: "0"}
+
+
+def test_query_removes_repeats_of_short_lines(spark, tmp_path):
+    rows = [(1, "one\ntwo words\n\none"), (2, "Two  words\n\nthree"), (3, "one two three four\nfour three two one")]
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r["doc_id"]: r["removed_lines"] for r in op10_line_dedup(spark, str(tmp_path)).collect()} == {1: "3", 2: "0", 3: "1"}
