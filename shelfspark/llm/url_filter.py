@@ -7,6 +7,9 @@ it; a template is rejected if the smoothed share of blocked pages among its labe
 ones is high and it has enough of them.  Labels are the verdicts of a rule list, which
 also decides directly: the longest rule that fits a URL wins over the tree.
 
+The tree goes on to the deepest path of the data; it has ``LEVELS`` levels at least, and
+a template names deeper ones only where its paths have them.  Two jobs for each level.
+
 Pages are first counted by (host, template); the tree works on these counts, level by
 level with joins on (host, branch), never on one host in one task.
 
@@ -65,22 +68,25 @@ def _totals(rows: DataFrame, keys: list[str], suffix: str) -> DataFrame:
 
 
 def template_verdicts(shapes: DataFrame, least_pages: int = 5, least_share: float = 0.02, z: float = 1.96, smoothing: float = 2.0, least_labelled: int = 5, purity: float = 0.8) -> DataFrame:
-    """(host, s1..s3, template, rejected) from counts of (host, s1..s3): pages, labelled, blocked."""
+    """(host, segments, template, rejected) from counts of (host, segments): pages, labelled, blocked."""
     share = shapes.agg(F.try_divide(F.sum("blocked"), F.sum("labelled")).alias("share")).first()["share"] or 0.0
-    tree = _totals(shapes, ["host"], "0").withColumns({"e_labelled": F.col("labelled_0"), "e_blocked": F.col("blocked_0")})
-    for k in range(1, LEVELS + 1):
-        above = ["host", *(f"t{j}" for j in range(1, k))]
-        tree = _totals(tree, [*above, f"s{k}"], "s")
+    depth = max(LEVELS, shapes.agg(F.max(F.size("segments"))).first()[0] or 0)
+    tree = shapes.withColumn("t", F.array().cast("array<string>"))
+    tree = _totals(tree, ["host"], "0").withColumns({"e_labelled": F.col("labelled_0"), "e_blocked": F.col("blocked_0")})
+    for k in range(1, depth + 1):
+        tree = _totals(tree.withColumn("s", F.coalesce(F.get("segments", F.lit(k - 1)), F.lit(""))), ["host", "t", "s"], "s")
         rare = F.col("pages_s") < F.greatest(F.lit(float(least_pages)), F.col(f"pages_{k - 1}") * F.lit(least_share))
-        tree = tree.withColumn(f"t{k}", F.when(rare, "*").otherwise(F.col(f"s{k}"))).drop("pages_s", "labelled_s", "blocked_s")
-        tree = _totals(tree, [*above, f"t{k}"], str(k))
+        tree = tree.withColumn("t", F.concat("t", F.array(F.when(rare, "*").otherwise(F.col("s"))))).drop("s", "pages_s", "labelled_s", "blocked_s", f"pages_{k - 1}", f"labelled_{k - 1}", f"blocked_{k - 1}")
+        tree = _totals(tree, ["host", "t"], str(k))
         parent, own = F.try_divide("e_blocked", "e_labelled"), F.try_divide(f"blocked_{k}", f"labelled_{k}")
         same = F.abs(own - parent) <= z * F.sqrt(F.try_divide(parent * (1 - parent), F.col(f"labelled_{k}")))
         merged = F.coalesce(same, F.lit(False))  # null where one side has no labelled pages
         tree = tree.withColumns({e: F.when(merged, F.col(e)).otherwise(F.col(f"{e[2:]}_{k}")) for e in ("e_labelled", "e_blocked")})
     smooth = (F.col("e_blocked") + smoothing * share) / (F.col("e_labelled") + smoothing)
     rejected = (F.col("e_labelled") >= least_labelled) & (smooth >= purity)
-    return tree.select("host", "s1", "s2", "s3", F.concat_ws("/", "host", "t1", "t2", "t3").alias("template"), rejected.alias("rejected"))
+    deeper = F.regexp_replace(F.concat_ws("/", F.slice("t", LEVELS + 1, depth)), "/+$", "")
+    template = F.concat(F.concat_ws("/", "host", F.slice("t", 1, LEVELS)), F.when(deeper != "", F.concat(F.lit("/"), deeper)).otherwise(""))
+    return tree.select("host", "segments", template.alias("template"), rejected.alias("rejected"))
 
 
 def judged_urls(pages: DataFrame, rules: list[Rule], **how) -> DataFrame:
@@ -89,12 +95,12 @@ def judged_urls(pages: DataFrame, rules: list[Rule], **how) -> DataFrame:
     host, path = host_and_path(F.col("url"))
     parts = parts.select("page_id", host.alias("host"), path.alias("path"))
     parts = parts.withColumn("fit", fitting_rule(rules, F.col("host"), F.col("path")))
-    piece = F.split("path", "/")
-    parts = parts.withColumns({f"s{k}": segment_shape(F.coalesce(F.get(piece, F.lit(k)), F.lit(""))) for k in range(1, LEVELS + 1)})
+    piece = F.split(F.regexp_replace("path", "/+$", ""), "/")
+    parts = parts.withColumn("segments", F.transform(F.slice(piece, 2, F.greatest(F.size(piece) - 1, F.lit(0))), segment_shape))
     blocks = [i for i, (verdict, _) in enumerate(rules) if verdict == "block"]
     blocked = F.coalesce(F.col("fit").isin(blocks), F.lit(False))
-    shapes = parts.groupBy("host", "s1", "s2", "s3").agg(F.count("*").alias("pages"), F.count("fit").alias("labelled"), F.count_if(blocked).alias("blocked"))
-    out = parts.join(template_verdicts(shapes, **how), ["host", "s1", "s2", "s3"])
+    shapes = parts.groupBy("host", "segments").agg(F.count("*").alias("pages"), F.count("fit").alias("labelled"), F.count_if(blocked).alias("blocked"))
+    out = parts.join(template_verdicts(shapes, **how), ["host", "segments"])
     pick = lambda values: F.get(F.array(*map(F.lit, values)), F.col("fit"))
     verdict = F.coalesce(pick([v for v, _ in rules]), F.when(F.col("rejected"), "block").otherwise("allow"))
     return out.select("page_id", "host", "path", pick([r for _, r in rules]).alias("rule"), verdict.alias("verdict"), "template")
