@@ -89,17 +89,21 @@ def template_verdicts(shapes: DataFrame, least_pages: int = 5, least_share: floa
     return tree.select("host", "segments", template.alias("template"), rejected.alias("rejected"))
 
 
-def judged_urls(pages: DataFrame, rules: list[Rule], **how) -> DataFrame:
-    """Per page: page_id, host, path, rule (null if none fits), verdict and template."""
-    parts = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"))
+def judged_urls(pages: DataFrame, rules: list[Rule], bad: Column | None = None, **how) -> DataFrame:
+    """Per page: page_id, host, path, rule (null if none fits), verdict and template.
+
+    ``bad``: further labels, true or false, of pages that no rule fits; null where unknown.
+    They decide through their template's share only.
+    """
+    parts = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), (F.lit(None) if bad is None else bad).cast("boolean").alias("bad"))
     host, path = host_and_path(F.col("url"))
-    parts = parts.select("page_id", host.alias("host"), path.alias("path"))
+    parts = parts.select("page_id", "bad", host.alias("host"), path.alias("path"))
     parts = parts.withColumn("fit", fitting_rule(rules, F.col("host"), F.col("path")))
     piece = F.split(F.regexp_replace("path", "/+$", ""), "/")
     parts = parts.withColumn("segments", F.transform(F.slice(piece, 2, F.greatest(F.size(piece) - 1, F.lit(0))), segment_shape))
     blocks = [i for i, (verdict, _) in enumerate(rules) if verdict == "block"]
-    blocked = F.coalesce(F.col("fit").isin(blocks), F.lit(False))
-    shapes = parts.groupBy("host", "segments").agg(F.count("*").alias("pages"), F.count("fit").alias("labelled"), F.count_if(blocked).alias("blocked"))
+    label = F.when(F.col("fit").isNotNull(), F.col("fit").isin(blocks)).otherwise(F.col("bad"))
+    shapes = parts.groupBy("host", "segments").agg(F.count("*").alias("pages"), F.count(label).alias("labelled"), F.count_if(F.coalesce(label, F.lit(False))).alias("blocked"))
     out = parts.join(template_verdicts(shapes, **how), ["host", "segments"])
     pick = lambda values: F.get(F.array(*map(F.lit, values)), F.col("fit"))
     verdict = F.coalesce(pick([v for v, _ in rules]), F.when(F.col("rejected"), "block").otherwise("allow"))

@@ -9,3 +9,14 @@ def test_numbers_below_a_deep_folder_share_its_verdict(spark):
     table = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     got = {(r["path"], r["verdict"], r["template"]) for r in judged_urls(table, rules).collect()}
     assert got == {(f"/a/b/c/{w}/{n}", v, f"deep.org/a/b/c/{w}/{{n}}") for w, v in [("bad", "block"), ("good", "allow")] for n in (1, 2)}
+
+
+def test_purity_decides_unlabelled_pages_by_labels_of_their_own(spark):
+    """Templates with 18 of 20, 10 of 20 and 3 of 3 bad labels; each has ten pages without a label or rule."""
+    rows = []
+    for folder, labels in (("spam", [True] * 18 + [False] * 2), ("mixed", [True] * 10 + [False] * 10), ("few", [True] * 3), ("none", [])):
+        rows += [(f"http://h.org/{folder}/{i}", label) for i, label in enumerate([*labels, *[None] * 10])]
+    table = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, bad boolean")
+    got = judged_urls(table, [], bad=table["bad"], z=0.1, purity=0.8).collect()
+    assert all(r["rule"] is None for r in got)
+    assert {(r["path"].split("/")[1], r["verdict"]) for r in got} == {("spam", "block"), ("mixed", "allow"), ("few", "allow"), ("none", "allow")}
