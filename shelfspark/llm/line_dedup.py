@@ -1,336 +1,164 @@
 """Operator 10: removal of lines that repeat or nearly repeat an earlier line.
 
-Method: exact set-similarity join.  A line is the set of its lower-cased words
-(``first_lines_by_words``, which the query uses) or of its (unordered) pairs of
-neighbouring words (``first_lines``); two lines match at a Jaccard similarity of ``percent`` /
-100.  Each line orders its pairs by rarity - by the number of lines that hold a pair,
-counted over all documents in scales of two, then by hash - and only the first
-``n - ceil(t * n) + 1`` of them, its prefix, can hold the first pair that it shares with
-a match.  Lines that meet there must have lengths in proportion and enough pairs left
-after the meeting (positional filter); what remains is verified exactly.  A line is
-removed if any earlier line (by doc_id, then by number) matches, whether or not that one
-is removed itself.
-
-Equal lines (same words) are one from the start, so a frequent line is one row.  At
-each pair the lines first meet the earliest holder only; lines that it removes need no
-further partner, and just the others meet all earlier holders.
-
-Words are far more frequent than pairs.  Where the first shared word of two lines is one
-of more than ``2 ** RARE`` holders, they must meet at their first three shared words at
-once (all of them, if the overlap is smaller), which stand among the first
-``n - ceil(t * n) + 3``.  Only lines of more than ``LONG`` words meet at a frequent word
-alone.  Keys that one line alone holds are dropped by a packed exchange before the join.
-
-Counting is done on packed hashes (see ``exchange``), in Python tasks; joins, filters
-and verification are DataFrame operations.  ``line_dedup_native`` is the same join with
-DataFrame functions alone; it gives the same rows at several times the cost, which is
-why it is not the main path (figures in the README).
+Method: exact set-similarity join.  A line is the set of its lower-cased words; two lines
+match at a Jaccard similarity of ``percent`` / 100.  Each line orders its words by rarity
+and only the first ``n - ceil(t * n) + 1`` of them, its prefix, can hold the first word
+that it shares with a match.  Lines that meet there must have lengths in proportion and
+enough words left after the meeting (positional filter), and their 64-bit signatures must
+differ in no more bits than the sets may differ in words; what remains is verified on the
+words.  A line is removed if any earlier line (by doc_id, then by number) matches,
+whether or not that one is removed itself.
+
+A word is a long: its rarity above 57 bits of hash.  Rarity is the logarithm of the number
+of words in the word's cell of ``CELLS``, counted over all documents; a table of fixed
+size, which only orders the words, so its collisions cost work and never change a result.
+
+Lines of equal sets are one from the start, so a frequent line is one row.  A word of at
+most about ``MANY`` lines is a key at which its lines meet; lines whose first shared word is more frequent
+share a second word too (or need one word only), so they meet at pairs of words, of which the
+prefix has one word more.  At a pair of more than ``MANY`` lines these first meet the earliest
+of them only, and those that it removes need no further partner.  Everything is DataFrame
+operations.
 
 Edge cases: lines with fewer than ``least_words`` words are kept; null texts have no
 lines; a null doc_id comes after all others; rows with one doc_id count as one document
-(lines of one number: the smaller line stands for both); other columns are ignored; an
-empty table gives no rows.
+(lines of one number stand and fall together); a very long text or line is a longer array,
+never cut; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import exchange as X
-from . import words as W
-from .line_dedup_native import _eligible, _verified
-from .ngram_join import _scales
-
-EQUAL, CODES, KEYS = range(3)
-LINES = "doc_id long, line_no int, n int, skip int, prefix array<long>, tokens array<long>"
-WORD_LINES = "doc_id long, line_no int, n int, prefix array<long>, pos array<long>, tokens array<long>"
-#: The highest scale of a word at which lines meet alone, and the most words of a line that meets at three at once.
-RARE, LONG = 5, 32
-
-
-def _lines_of(table: pa.Table, least_words: int, pairs: bool = True, single: bool = False) -> dict[str, np.ndarray]:
-    """Lines with enough words: doc_id, number, digest and check of the words; and, if asked for, all their pairs (or single words) with the line of each."""
-    parts: dict[str, list] = {k: [] for k in ("doc", "no", "digest", "check", "pair", "line")}
-    so_far = 0
-    for block in W.in_blocks(table, "text"):
-        data, bounds = W.text_bytes(block["text"])
-        words = W.split(data, bounds, W.SPACES)
-        h = W.span_hashes(words)
-        # A line begins with its document or behind a newline; of two that begin at one place the first is empty.
-        newlines = np.flatnonzero(data == 10)
-        begins = np.sort(np.concatenate((bounds[:-1], newlines + 1)))
-        first = np.searchsorted(words.starts, begins)
-        last = np.append(first[1:], len(h))
-        able = np.flatnonzero(last - first >= least_words)
-        doc = np.searchsorted(bounds, begins[able], "right") - 1
-        parts["doc"].append(block["doc_id"].to_numpy()[doc])
-        parts["no"].append(np.searchsorted(newlines, begins[able]) - np.searchsorted(newlines, bounds[doc]))
-        up, down = W._power_tables(len(h) + 1)
-        total, other = (np.concatenate((np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64))) for x in (h * up[: len(h)], W.mix(h ^ W._ROLL)))
-        lo, hi = first[able], last[able]
-        parts["digest"].append(W.mix((total[hi] - total[lo]) * down[lo] + (hi - lo).astype(np.uint64)))
-        parts["check"].append(((other[hi] - other[lo]) >> np.uint64(32)).astype(np.uint32))
-        if not pairs:
-            continue
-        owner = np.full(len(h), -1, np.int64)
-        owner[np.repeat(lo - np.concatenate(([0], np.cumsum(hi - lo)[:-1])), hi - lo) + np.arange((hi - lo).sum())] = np.repeat(np.arange(len(able)), hi - lo)
-        near = np.flatnonzero(owner >= 0) if single else np.flatnonzero((owner[:-1] == owner[1:]) & (owner[:-1] >= 0))
-        parts["pair"].append(h[near] if single else W.mix(h[near] + h[near + 1]))
-        parts["line"].append(owner[near] + so_far)
-        so_far += len(able)
-    kinds = {"doc": np.int64, "no": np.int64, "digest": np.uint64, "check": np.uint32, "pair": np.uint64, "line": np.int64}
-    return {k: np.concatenate([np.zeros(0, kinds[k]), *v]).astype(kinds[k]) for k, v in parts.items()}
-
-
-def _local_firsts(x: dict[str, np.ndarray]) -> np.ndarray:
-    """The origin's first line of each digest, in the order of digests."""
-    order = np.lexsort((x["no"], x["doc"], x["check"], x["digest"]))
-    new = np.ones(len(order), bool)
-    new[1:] = (x["digest"][order][1:] != x["digest"][order][:-1]) | (x["check"][order][1:] != x["check"][order][:-1])
-    return order[new]
-
-
-def _earliest(packed: list) -> list[bytes]:
-    """For each origin's first lines: is it the first of all?"""
-    if not packed:
-        return []
-    parts = [X.unpack(p, np.uint64, np.uint32, np.int64, np.int64) for p in packed]
-    digest, check, doc, no = (np.concatenate(c) for c in zip(*parts, strict=True))
-    order = np.lexsort((no, doc, check, digest))
-    new = np.ones(len(order), bool)
-    new[1:] = (digest[order][1:] != digest[order][:-1]) | (check[order][1:] != check[order][:-1])
-    first = np.zeros(len(order), bool)
-    first[order[new]] = True
-    ends = np.cumsum([len(p[0]) for p in parts])
-    return [np.packbits(first[e - len(p[0]) : e]).tobytes() for p, e in zip(parts, ends, strict=True)]
-
-
-def _firsts(x: dict[str, np.ndarray], side: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Which lines are first of all, and the pairs of those lines with their lines."""
-    local = _local_firsts(x)
-    first = np.zeros(len(x["doc"]), bool)
-    first[local[X.bits(X.answers(side, EQUAL), X.bounds(x["digest"][local], buckets))]] = True
-    of_first = first[x["line"]]
-    return first, x["pair"][of_first], x["line"][of_first]
-
-
-def _prefixed(docs: DataFrame, percent: int, least_words: int) -> DataFrame:
-    """Every first line with its size, and, if another line may share its prefix, with prefix and set."""
-    docs = docs.select("doc_id", F.lower("text").alias("text"))
-    plan = X.Plan(docs)
-    texts, b = X.by_origin(docs, plan), plan.buckets
-
-    def send_lines(origin, table):
-        x = _lines_of(table, least_words, pairs=False)
-        f = _local_firsts(x)
-        return X.table_of(X.pack(origin, EQUAL, X.bounds(x["digest"][f], b), x["digest"][f], x["check"][f], x["doc"][f], x["no"][f]))
-
-    equal = X.answer(X.alone(texts, send_lines, X.PACKED), EQUAL, _earliest)
-
-    def send_pairs(origin, table, side):
-        _, pairs, _ = _firsts(_lines_of(table, least_words), side, b)
-        found, counts = np.unique(pairs, return_counts=True)
-        return X.table_of(X.pack(origin, CODES, X.bounds(found, b), found.astype(np.uint32), np.minimum(counts, 65535).astype(np.uint16)))
-
-    codes = X.answer(X.with_side(texts, equal, send_pairs, X.PACKED), CODES, _scales)
-
-    def choose(origin, table, side):
-        x = _lines_of(table, least_words)
-        first, pairs, line = _firsts(x, side, b)
-        found, place = np.unique(pairs, return_inverse=True)
-        scale = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(p, np.uint8) for p in X.answers(side, CODES))])[place]
-        key = (scale.astype(np.uint64) << np.uint64(58)) | (pairs >> np.uint64(6))  # rare first, then by hash
-        order = _within_lines(key, line)
-        key, line = key[order], line[order]
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1])
-        key, line = key[new].view(np.int64), line[new]
-        numbers = np.flatnonzero(first)
-        at = np.searchsorted(line, numbers)
-        n = np.searchsorted(line, numbers, "right") - at
-        skip = np.bincount(np.searchsorted(numbers, line[(key >> 58) == 1]), minlength=len(numbers))
-        length = n - -(-percent * n // 100) + 1
-        some = skip < length
-        lists = [_slices(key, lo, size, some) for lo, size in ((at + skip, length - skip), (at, n))]
-        return pa.table([pa.array(c, f.type) if isinstance(c, np.ndarray) else c for c, f in zip((x["doc"][numbers], x["no"][numbers], n, skip, *lists), X.pa_schema(LINES), strict=True)], X.pa_schema(LINES))
-
-    return X.cut(X.with_side(texts, equal.unionByName(codes), choose, LINES))
-
-
-def _each(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each row as many rows as its count: the row's number, and a running number within it."""
-    ends = np.cumsum(counts)
-    return np.repeat(np.arange(len(counts)), counts), np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts)
-
-
-def _word_keys(key: np.ndarray, at: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(line, place of the first word, key) of all keys at which the lines, of sorted words from ``at`` on, meet a match."""
-    need = -(-percent * n // 100)
-    i, a = _each(n - need + 1)
-    first = key[at[i] + a]
-    scale = first >> np.uint64(58)
-    rare, frequent = (scale > 1) & (scale <= RARE), scale > RARE
-    step = lambda h, more: W.mix(h * W._ROLL + more)
-    out = [(i[rare], a[rare], W.mix(first[rare]))]
-    far = frequent & (100 * n[i] > percent * LONG)
-    out.append((i[far], a[far], step(first[far], np.uint64(4))))
-    short = frequent & (n[i] <= LONG)
-    for together in (1, 2, 3):
-        ok = short & (np.minimum(need[i], 3) <= together) & (n[i] >= together)
-        last = n[i] - np.maximum(need[i], together)
-        ok &= a <= last
-        line, begin, at_word, last, h = i[ok], a[ok], a[ok], last[ok], step(first[ok], np.uint64(together))
-        for k in range(1, together):
-            row, off = _each(last + k - at_word)
-            line, begin, at_word, last, h = line[row], begin[row], at_word[row] + 1 + off, last[row], h[row]
-            h = step(h, key[at[line] + at_word])
-        out.append((line, begin, h))
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
-
-
-def _word_prefixed(docs: DataFrame, percent: int, least_words: int) -> DataFrame:
-    """Every first line with its size, and, if another line holds one of its keys, with these keys, their places and its words."""
-    docs = docs.select("doc_id", F.lower("text").alias("text"))
-    plan = X.Plan(docs)
-    texts, b = X.by_origin(docs, plan), plan.buckets
-
-    def send_lines(origin, table):
-        x = _lines_of(table, least_words, pairs=False)
-        f = _local_firsts(x)
-        return X.table_of(X.pack(origin, EQUAL, X.bounds(x["digest"][f], b), x["digest"][f], x["check"][f], x["doc"][f], x["no"][f]))
-
-    equal = X.answer(X.alone(texts, send_lines, X.PACKED), EQUAL, _earliest)
-
-    def send_words(origin, table, side):
-        _, words, _ = _firsts(_lines_of(table, least_words, single=True), side, b)
-        found, counts = np.unique(words, return_counts=True)
-        return X.table_of(X.pack(origin, CODES, X.bounds(found, b), found.astype(np.uint32), np.minimum(counts, 65535).astype(np.uint16)))
-
-    codes = X.answer(X.with_side(texts, equal, send_words, X.PACKED), CODES, _scales)
-
-    def keys_of(table, side):
-        x = _lines_of(table, least_words, single=True)
-        first, words, line = _firsts(x, side, b)
-        found, place = np.unique(words, return_inverse=True)
-        scale = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(p, np.uint8) for p in X.answers(side, CODES))])[place]
-        key = (scale.astype(np.uint64) << np.uint64(58)) | (words >> np.uint64(6))
-        order = _within_lines(key, line)
-        key, line = key[order], line[order]
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1])
-        key, line = key[new], line[new]
-        numbers = np.flatnonzero(first)
-        at = np.searchsorted(line, numbers)
-        n = np.searchsorted(line, numbers, "right") - at
-        return x, numbers, key, at, n, *_word_keys(key, at, n, percent)
-
-    def send_keys(origin, table, side):
-        found, counts = np.unique(keys_of(table, side)[-1], return_counts=True)
-        return X.table_of(X.pack(origin, KEYS, X.bounds(found, b), found.astype(np.uint32), np.minimum(counts, 2).astype(np.uint8)))
-
-    side = equal.unionByName(codes)
-    shared = X.answer(X.with_side(texts, side, send_keys, X.PACKED), KEYS, _shared)
-
-    def choose(origin, table, side):
-        x, numbers, key, at, n, line, pos, keys = keys_of(table, side)
-        found, place = np.unique(keys, return_inverse=True)
-        held = X.bits(X.answers(side, KEYS), X.bounds(found, b))[place]
-        line, pos, keys = line[held], pos[held], keys[held]
-        order = np.argsort(line, kind="stable")
-        size = np.bincount(line, minlength=len(numbers))
-        some, starts = size > 0, np.cumsum(size) - size
-        lists = [_slices(keys[order].view(np.int64), starts, size, some), _slices(pos[order], starts, size, some), _slices(key.view(np.int64), at, n, some)]
-        columns = (x["doc"][numbers], x["no"][numbers], n, *lists)
-        return pa.table([pa.array(c, f.type) if isinstance(c, np.ndarray) else c for c, f in zip(columns, X.pa_schema(WORD_LINES), strict=True)], X.pa_schema(WORD_LINES))
-
-    return X.cut(X.with_side(texts, side.unionByName(shared), choose, WORD_LINES))
-
-
-def _shared(packed: list) -> list[bytes]:
-    """For each origin's keys: does more than one line hold it?"""
-    if not packed:
-        return []
-    parts = [X.unpack(p, np.uint32, np.uint8) for p in packed]
-    _, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    many = (np.bincount(place, weights=np.concatenate([p[1] for p in parts])) > 1)[place]
-    ends = np.cumsum([len(p[0]) for p in parts])
-    return [np.packbits(many[e - len(p[0]) : e]).tobytes() for p, e in zip(parts, ends, strict=True)]
-
-
-def _within_lines(key: np.ndarray, line: np.ndarray) -> np.ndarray:
-    """The order by line, then by key: one sort of line and upper bits of the key, unless those bits tie."""
-    bits = int(line.max()).bit_length() if len(line) else 0
-    both = key >> np.uint64(bits)
-    if bits:
-        both |= line.astype(np.uint64) << np.uint64(64 - bits)
-    order = np.argsort(both)
-    both, sorted_key = both[order], key[order]
-    if ((both[1:] == both[:-1]) & (sorted_key[1:] != sorted_key[:-1])).any():
-        return np.lexsort((key, line))
-    return order
-
-
-def _slices(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, keep: np.ndarray) -> pa.Array:
-    """Lists of values; null where not kept."""
-    sizes = np.where(keep, sizes, 0)
-    ends = np.cumsum(sizes)
-    flat = values[np.repeat(starts - np.concatenate(([0], ends[:-1])) if len(ends) else starts, sizes) + np.arange(ends[-1] if len(ends) else 0)]
-    offsets = pa.array(np.concatenate(([0], ends)).astype(np.int32), pa.int32(), mask=np.concatenate((~keep, [False])))
-    return pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int64()))
-
-
-def _meets(x: str, y: str, percent: int) -> str:
-    """SQL: lengths are in proportion, and from their first shared pair on, at places x.pos and y.pos, both have room for the overlap."""
-    overlap = f"ceil({percent} * ({x}n + {y}n) / {100 + percent})"
-    return f"100 * least({x}n, {y}n) >= {percent} * greatest({x}n, {y}n) and least({x}n - {x}pos, {y}n - {y}pos) >= {overlap}"
+from .exchange import NO_ID, cut, with_null_ids
 
+CELLS = 1 << 17
+#: Lines, at most, that meet each other at one word, or at a pair of words without meeting the earliest first.
+MANY = 256
+#: A word's scale is STEPS for each doubling of its cell's count.
+STEPS, TOP_SCALE, SHIFT = 3, 62, 57
+SPACE = r"[ \t\x0B\f\r]"
+LINE = ["doc_id", "line_no"]
 
-def first_lines(docs: DataFrame, percent: int = 80, least_words: int = 5) -> DataFrame:
-    """(doc_id, line_no) of the lines that stay, of those with at least ``least_words`` words."""
-    lines = _prefixed(docs, percent, least_words)
-    met = lines.select("doc_id", "line_no", "n", "skip", F.posexplode("prefix").alias("at", "token")).select("doc_id", "line_no", "n", (F.col("skip") + F.col("at")).alias("pos"), "token")
-    return _staying(lines, met, percent)
+
+def _own_id() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id")
+
+
+def _eligible(line: Column, least_words: int) -> Column:
+    return line.rlike(rf"^{SPACE}*(?:[^ \t\x0B\f\r]+{SPACE}+){{{least_words - 1}}}[^ \t\x0B\f\r]")
+
+
+def _scale(count: str) -> str:
+    return f"cast(least(round({STEPS} * log2(1 + {count})), {TOP_SCALE}) as int)"
 
 
-def first_lines_by_words(docs: DataFrame, percent: int = 80, least_words: int = 1) -> DataFrame:
-    """As :func:`first_lines`, with a line as the set of its words."""
-    lines = _word_prefixed(docs, percent, least_words)
-    met = lines.select("doc_id", "line_no", "n", F.explode(F.arrays_zip("pos", "prefix")).alias("k")).select("doc_id", "line_no", "n", F.col("k.pos").alias("pos"), F.col("k.prefix").alias("token"))
-    return _staying(lines, met, percent)
+def rarity(docs: DataFrame) -> Column:
+    """An array literal: the scale of each cell."""
+    words = docs.select(F.explode(F.split(F.lower("text"), " ")).alias("w"))
+    counts = words.groupBy(F.expr(f"cast(xxhash64(w) & {CELLS - 1} as int)").alias("cell")).count()
+    every = docs.sparkSession.range(CELLS).selectExpr("cast(id as int) as cell").join(counts, "cell", "left")
+    scales = every.selectExpr("cell", f"{_scale('coalesce(count, 0)')} as scale").agg(F.expr("array_join(transform(array_sort(collect_list(struct(cell, scale))), c -> cast(c.scale as string)), ',') as scales"))
+    return F.split(F.lit(scales.first()["scales"]), ",").cast("array<long>")
 
 
-def _staying(lines: DataFrame, met: DataFrame, percent: int) -> DataFrame:
-    """The lines without those that match an earlier one. ``met``: the tokens at which they meet, and their places."""
-    sets = lines.where("prefix is not null").select("doc_id", "line_no", "tokens")
-    earliest = met.groupBy("token").agg(F.min(F.struct("doc_id", "line_no", "n", "pos")).alias("p"), F.count("*").alias("holders")).where("holders > 1").drop("holders")
-    met = X.cut(met.join(earliest, "token"))
+def _lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, line_no, line) of all lines, lower-cased, with blanks as their only white space."""
+    odd = r"[\t\x0B\f\r]"
+    text = F.when(F.col("text").rlike(odd), F.regexp_replace("text", odd, " ")).otherwise(F.col("text"))
+    return docs.where("text is not null").select(_own_id(), F.posexplode(F.split(F.lower(text), "\n")).alias("line_no", "line"))
 
+
+def _tokens(lines: DataFrame, scales: Column, least_words: int) -> DataFrame:
+    """(doc_id, line_no, tokens) of lines with enough words: the distinct words as sorted longs, rare ones first."""
+    words = F.array_remove(F.split("line", " "), "")
+    scale = lambda h: F.coalesce(F.get(scales, h.bitwiseAND(F.lit(CELLS - 1)).cast("int")), F.lit(0).cast("long"))
+    coded = F.transform(F.transform(words, lambda w: F.xxhash64(w)), lambda h: F.shiftleft(scale(h), SHIFT).bitwiseOR(F.shiftrightunsigned(h, 64 - SHIFT)))
+    return lines.where(_eligible(F.col("line"), least_words)).select(*LINE, F.sort_array(F.array_distinct(coded)).alias("tokens"))
+
+
+def _prefixed(docs: DataFrame, scales: Column, percent: int, least_words: int) -> DataFrame:
+    """(doc_id, line_no, n, bits, prefix) of the first line of each set of words; the prefix has one word more than one shared word needs."""
+    sets = _tokens(_lines(docs), scales, least_words)
+    n = F.size("tokens")
+    bits = F.expr("aggregate(tokens, 0L, (a, t) -> a | shiftleft(1L, cast(t & 63 as int)))")
+    prefix = F.slice("tokens", F.lit(1), (n - F.ceil(n * percent / 100) + 2).cast("int"))
+    rows = sets.select(F.xxhash64("tokens").alias("h"), F.xxhash64(F.lit(1), "tokens").alias("g"), F.struct(*LINE, n.alias("n"), bits.alias("bits"), prefix.alias("prefix")).alias("row"))
+    return rows.groupBy("h", "g").agg(F.min("row").alias("row")).select("row.*")
+
+
+def _may_match(x: str, y: str, room: str, percent: int) -> str:
+    """SQL: the lengths of x and y are in proportion, both have room for the overlap from this word on, and so few bits differ as words may. ``room``: y's length, or less if it needs no match."""
+    overlap = f"ceil({percent} * ({x}n + {y}n) / {100 + percent})"
+    return f"least({x}n - {x}pos, {room} - {y}pos) >= {overlap} and 100 * least({x}n, {y}n) >= {percent} * greatest({x}n, {y}n) and bit_count({x}bits ^ {y}bits) <= {x}n + {y}n - 2 * {overlap}"
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, scales: Column, percent: int, least_words: int) -> DataFrame:
+    """The later lines (doc_id, line_no) of those pairs that match. Words are read again for the lines of pairs only."""
+    wanted = cut(pairs.select(*LINE).union(pairs.select("x_doc", "x_line")).distinct())
+    texts = docs.select(_own_id(), "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    sets = cut(_tokens(_lines(texts).join(wanted, LINE, "left_semi"), scales, least_words))
+    earlier = sets.select(F.col("doc_id").alias("x_doc"), F.col("line_no").alias("x_line"), F.col("tokens").alias("x_tokens"))
+    both = pairs.join(sets, LINE).join(earlier, ["x_doc", "x_line"])
+    shared = both.withColumn("shared", F.size(F.array_intersect("tokens", "x_tokens")))
+    return shared.where(f"100 * shared >= {percent} * (size(tokens) + size(x_tokens) - shared)").select(*LINE).distinct()
+
+
+def _keys(lines: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, line_no, n, bits, room, pos, key) of rare and of frequent words: where a line meets others, and the place of its first word there."""
+    frequent = f"token >= shiftleft({_scale(str(MANY))} + 1L, {SHIFT})"
+    row = [*LINE, "n", "bits", "room"]
+    at = lines.withColumn("need", F.expr(f"ceil(n * {percent} / 100)"))
+    words = at.select(*row, "need", "prefix", F.posexplode("prefix").alias("pos", "token")).where("pos <= n - need")
+    rare = words.where(f"not {frequent}").select(*row, "pos", F.col("token").alias("key"))
+    alone = words.where(f"{frequent} and need = 1").select(*row, "pos", F.col("token").alias("key"))
+    pairs = words.where(frequent).select(*row, "pos", "token", F.explode(F.expr("slice(prefix, pos + 2, size(prefix))")).alias("second"))
+    return rare, alone.unionByName(pairs.select(*row, "pos", F.xxhash64("token", "second").alias("key")))
+
+
+def _gone_by_earliest(keys: DataFrame, docs: DataFrame, scales: Column, percent: int, least_words: int) -> DataFrame:
+    """The lines (doc_id, line_no) that match the earliest line of a key of more than ``MANY`` lines."""
+    many = cut(keys.groupBy("key").count().where(f"count > {MANY}").select("key"))
+    held = keys.join(many, "key")
+    earliest = held.groupBy("key").agg(F.min(F.struct(*LINE, "n", "pos", "bits")).alias("p"))
     later = "(doc_id > p.doc_id or doc_id = p.doc_id and line_no > p.line_no)"
-    with_first = met.where(f"{later} and {_meets('p.', '', percent)}").select("doc_id", "line_no", F.col("p.doc_id").alias("x_doc"), F.col("p.line_no").alias("x_line")).distinct()
-    gone = X.cut(_verified(with_first, sets, percent))
-    open_ = met.join(gone, ["doc_id", "line_no"], "left_anti").alias("y")
-    x = met.where("doc_id <> p.doc_id or line_no <> p.line_no").alias("x")
-    others = open_.join(x, F.expr(f"y.token = x.token and (y.doc_id > x.doc_id or y.doc_id = x.doc_id and y.line_no > x.line_no) and {_meets('x.', 'y.', percent)}"))
-    pairs = others.select("y.doc_id", "y.line_no", F.col("x.doc_id").alias("x_doc"), F.col("x.line_no").alias("x_line")).distinct()
-    gone = gone.unionByName(_verified(X.cut(pairs), sets, percent))
-    return lines.select("doc_id", "line_no").distinct().join(gone.distinct(), ["doc_id", "line_no"], "left_anti")
+    met = held.join(earliest, "key").where(f"{later} and {_may_match('p.', '', 'room', percent)}")
+    pairs = cut(met.select(*LINE, F.col("p.doc_id").alias("x_doc"), F.col("p.line_no").alias("x_line")).distinct())
+    return pairs.select(*LINE) if pairs.isEmpty() else _verified(pairs, docs, scales, percent, least_words)
 
 
-def removed_lines(docs: DataFrame, percent: int = 80, least_words: int = 5, first_lines=first_lines) -> DataFrame:
+def first_lines(docs: DataFrame, percent: int = 80, least_words: int = 1) -> DataFrame:
+    """(doc_id, line_no) of the lines that stay, of those with at least ``least_words`` words."""
+    docs = docs.select("doc_id", "text")
+    scales = rarity(docs)
+    lines = cut(_prefixed(docs, scales, percent, least_words))
+    _, frequent = _keys(lines.withColumn("room", F.col("n")), percent)
+    gone = cut(_gone_by_earliest(frequent, docs, scales, percent, least_words))
+
+    # Both sides of the join are one exchange: a line that is gone has no room for a match, but may be one.
+    rare, frequent = _keys(lines.join(gone.withColumn("gone", F.lit(True)), LINE, "left").withColumn("room", F.expr("if(gone, 0, n)")), percent)
+    keys = rare.unionByName(frequent)
+    y, x = keys.alias("y"), keys.alias("x")
+    others = y.join(x, F.expr(f"y.key = x.key and (y.doc_id > x.doc_id or y.doc_id = x.doc_id and y.line_no > x.line_no) and {_may_match('x.', 'y.', 'y.room', percent)}"))
+    pairs = cut(others.select("y.doc_id", "y.line_no", F.col("x.doc_id").alias("x_doc"), F.col("x.line_no").alias("x_line")).distinct())
+    gone = gone.unionByName(_verified(pairs, docs, scales, percent, least_words)).distinct()
+    return lines.select(*LINE).distinct().join(gone, LINE, "left_anti")
+
+
+def removed_lines(docs: DataFrame, percent: int = 80, least_words: int = 1) -> DataFrame:
     """Per document: doc_id, n_lines, and removed, the numbers (from 0) of the lines that go."""
-    stay = X.cut(first_lines(docs, percent, least_words)).groupBy("doc_id").agg(F.collect_list("line_no").alias("stay"))
+    stay = first_lines(docs, percent, least_words).groupBy("doc_id").agg(F.collect_list("line_no").alias("stay"))
     line = F.split(F.coalesce("text", F.lit("")), "\n")
     able = F.filter(F.transform(line, lambda s, i: F.when(_eligible(s, least_words), i)), lambda i: i.isNotNull())
-    all_ = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(X.NO_ID)).alias("doc_id"), F.when(F.col("text").isNull(), 0).otherwise(F.size(line)).cast("long").alias("n_lines"), able.alias("able"))
-    out = all_.join(stay, "doc_id", "left").select("doc_id", "n_lines", F.array_except("able", F.coalesce("stay", F.array().cast("array<int>"))).alias("removed"))
-    return X.with_null_ids(out)
+    every = docs.select(_own_id(), F.when(F.col("text").isNull(), 0).otherwise(F.size(line)).cast("long").alias("n_lines"), able.alias("able"))
+    out = every.join(stay, "doc_id", "left").select("doc_id", "n_lines", F.array_except("able", F.coalesce("stay", F.array().cast("array<int>"))).alias("removed"))
+    return with_null_ids(out)
 
 
-def without_repeated_lines(docs: DataFrame, percent: int = 80, least_words: int = 5) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, percent: int = 80, least_words: int = 1) -> DataFrame:
     """Per document: doc_id and its text without the removed lines."""
     gone = removed_lines(docs.where("doc_id is not null"), percent, least_words).select("doc_id", "removed").dropDuplicates(["doc_id"])
-    kept = F.filter(F.split("text", "\n"), lambda s, i: ~F.array_contains("removed", i))
-    return docs.select("doc_id", "text").join(gone, "doc_id", "left").select("doc_id", F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(F.split("text", "\n")) - 1), "removed")
+    text = F.array_join(F.transform(kept, lambda i: F.get(F.split("text", "\n"), i)), "\n")
+    return docs.select("doc_id", "text").join(gone, "doc_id", "left").select("doc_id", F.when(F.col("removed").isNull() | (F.size("removed") == 0), F.col("text")).otherwise(text).alias("text"))

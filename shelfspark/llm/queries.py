@@ -87,9 +87,9 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .line_dedup import first_lines_by_words, removed_lines
+    from .line_dedup import removed_lines
 
-    out = removed_lines(_read(spark, sf_dir, "documents"), percent=80, least_words=1, first_lines=first_lines_by_words)
+    out = removed_lines(_read(spark, sf_dir, "documents"), percent=80, least_words=1)
     return out.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed_lines"))
 
 
@@ -193,17 +193,15 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/en/', 'net/es/
     concat_ws('/', host, t1, t2, t3) AS template FROM l3""",
     "op10_line_dedup": r"""
 WITH l AS (SELECT doc_id, i - 1 AS i, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
-w AS (SELECT doc_id, i, regexp_extract_all(lower(line), '[^ \t\x0B\f\r]+') AS ws FROM l),
-e AS (SELECT doc_id, i, array_to_string(ws, ' ') AS k, ws FROM w WHERE len(ws) >= 5),
-d AS (SELECT k, ws, doc_id, i FROM e QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, i) = 1),
-b AS (SELECT DISTINCT doc_id, i, least(ws[j], ws[j + 1]) || ' ' || greatest(ws[j], ws[j + 1]) AS g FROM (SELECT *, unnest(range(1, len(ws))) AS j FROM d)),
-n AS (SELECT doc_id, i, count(*) AS n FROM b GROUP BY ALL),
-c AS (SELECT g FROM b GROUP BY g HAVING count(*) > 1),
-m AS (SELECT b.*, n FROM b SEMI JOIN c USING (g) JOIN n USING (doc_id, i)),
-p AS (SELECT y.doc_id, y.i, x.doc_id AS xd, x.i AS xi, count(*) AS s, any_value(x.n) AS xn, any_value(y.n) AS yn
-      FROM m y JOIN m x ON x.g = y.g AND (x.doc_id, x.i) < (y.doc_id, y.i) AND 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n) GROUP BY y.doc_id, y.i, x.doc_id, x.i),
-r AS (SELECT DISTINCT doc_id, i FROM p WHERE 100 * s >= 80 * (xn + yn - s)),
-z AS (SELECT doc_id, i FROM e ANTI JOIN (SELECT doc_id, i FROM d ANTI JOIN r USING (doc_id, i)) USING (doc_id, i)),
+e AS (SELECT doc_id, i, list_sort(list_distinct(regexp_extract_all(lower(line), '[^ \t\x0B\f\r]+'))) AS ws FROM l),
+d AS (SELECT * FROM e WHERE len(ws) > 0 QUALIFY row_number() OVER (PARTITION BY ws ORDER BY doc_id, i) = 1),
+t AS (SELECT doc_id, i, len(ws) AS n, unnest(ws) AS g FROM d),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, i ORDER BY f, g) AS k FROM (SELECT *, count(*) OVER (PARTITION BY g) AS f FROM t)),
+p AS (SELECT doc_id, i, n, g FROM o WHERE k <= n - ceil(80 * n / 100) + 1),
+c AS (SELECT DISTINCT y.doc_id, y.i, x.doc_id AS xd, x.i AS xi FROM p y JOIN p x ON x.g = y.g AND (x.doc_id, x.i) < (y.doc_id, y.i) AND 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n)),
+r AS (SELECT DISTINCT c.doc_id, c.i FROM c JOIN d x ON x.doc_id = xd AND x.i = xi JOIN d y ON y.doc_id = c.doc_id AND y.i = c.i
+      WHERE 100 * len(list_intersect(x.ws, y.ws)) >= 80 * (len(x.ws) + len(y.ws) - len(list_intersect(x.ws, y.ws)))),
+z AS (SELECT doc_id, i FROM e ANTI JOIN (SELECT doc_id, i FROM d ANTI JOIN r USING (doc_id, i)) USING (doc_id, i) WHERE len(ws) > 0),
 a AS (SELECT doc_id, count(*) AS n_removed, string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) AS removed_lines FROM z GROUP BY doc_id)
 SELECT doc_id, CAST(coalesce(len(string_split(text, chr(10))), 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(removed_lines, '') AS removed_lines
 FROM documents LEFT JOIN a USING (doc_id)""",

@@ -4,8 +4,8 @@ import random
 
 import pytest
 
-from shelfspark.llm import exchange, line_dedup
-from shelfspark.llm.line_dedup import first_lines_by_words, removed_lines
+from shelfspark.llm import line_dedup
+from shelfspark.llm.line_dedup import removed_lines, without_repeated_lines
 from shelfspark.llm.queries import op10_line_dedup
 
 DOCS = "doc_id long, text string"
@@ -45,15 +45,40 @@ def line_rows(seed):
     return [*rows, (20_000, None), (20_001, ""), (20_002, " \n\n")]
 
 
-@pytest.mark.parametrize(("percent", "least", "rare"), [(80, 5, 2), (80, 1, 1), (50, 1, 1), (80, 1, 30)])
-def test_lines_by_words(spark, monkeypatch, percent, least, rare):
-    monkeypatch.setattr(exchange, "ORIGIN_BYTES", 10_000)
-    monkeypatch.setattr(exchange, "BUCKET_HASHES", 1_000)
-    monkeypatch.setattr(line_dedup, "RARE", rare)
+@pytest.mark.parametrize(("percent", "least", "many", "cells"), [(80, 5, 3, 1 << 10), (80, 1, 0, 1 << 17), (50, 1, 2, 1 << 17), (50, 1, 8, 4), (80, 1, 256, 1 << 17)])
+def test_lines_by_words(spark, monkeypatch, percent, least, many, cells):
+    """``many`` so small that lines meet at pairs of words, and at the earliest line of a pair first."""
+    monkeypatch.setattr(line_dedup, "MANY", many)
+    monkeypatch.setattr(line_dedup, "CELLS", cells)
     rows = line_rows(percent + least)
-    got = removed_lines(spark.createDataFrame(rows, DOCS), percent, least, first_lines_by_words).collect()
+    got = removed_lines(spark.createDataFrame(rows, DOCS), percent, least).collect()
     want = gone_by_words(rows, percent, least)
     assert {(r["doc_id"], i) for r in got for i in r["removed"]} == want and len(want) > 60
+    assert {r["doc_id"]: r["n_lines"] for r in got} == {d: 0 if t is None else t.count("\n") + 1 for d, t in rows}
+
+
+def test_texts_without_repeated_lines(spark):
+    rows = line_rows(3)
+    gone = gone_by_words(rows, 80, 1)
+    texts = {r["doc_id"]: r["text"] for r in without_repeated_lines(spark.createDataFrame(rows, DOCS)).collect()}
+    assert texts == {d: None if t is None else "\n".join(s for i, s in enumerate(t.split("\n")) if (d, i) not in gone) for d, t in rows}
+
+
+def test_odd_tables(spark):
+    """No rows; null ids, which come last; rows of one id; extra columns of the operator's own names; white space of all kinds."""
+    assert removed_lines(spark.createDataFrame([], DOCS)).count() == 0
+    line = "one two three four five six"
+    rows = [(None, line, 1, "a"), (3, f"{line}\n{line}", 2, "b"), (3, "\tsix\x0bFIVE  four\rthree two\fone \n\t", 3, None), (2, "", None, ""), (4, None, 1, "")]
+    table = spark.createDataFrame(rows, DOCS + ", line_no long, removed string")
+    assert sorted((r["doc_id"] or -1, r["n_lines"], r["removed"]) for r in removed_lines(table).collect()) == [(-1, 1, [0]), (2, 1, []), (3, 2, []), (3, 2, [1]), (4, 0, [])]
+
+
+def test_very_long_texts(spark):
+    """A line of 60,000 words, its copy with a tenth of the words changed, and a text of 20,000 lines."""
+    words = [f"w{i}" for i in range(60_000)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:54_000], *(f"x{i}" for i in range(6_000))])), (3, "\n".join(f"line number{i // 2} of{i // 2}" for i in range(20_000)))]
+    got = {r["doc_id"]: r["removed"] for r in removed_lines(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {1: [], 2: [0], 3: list(range(1, 20_000, 2))}
 
 
 def test_query_finds_one_changed_word_in_nine(spark, tmp_path):
