@@ -173,24 +173,25 @@ b AS (SELECT *, CASE WHEN ('.' || host) LIKE '%.www.example.com' AND path LIKE '
 g AS (SELECT page_id, host, path, rule, list_transform([2, 3, 4], lambda k: coalesce(string_split(path, '/')[k], '')) AS seg FROM b),
 x AS (SELECT page_id, host, path, rule, list_transform(seg, lambda v: CASE WHEN regexp_full_match(v, '[0-9]+') THEN '{n}' WHEN regexp_full_match(v, '[0-9]+\.[A-Za-z0-9]+') THEN '{n}.' || string_split(v, '.')[-1]
     WHEN regexp_full_match(v, '[0-9a-f-]{8,}') THEN '{id}' WHEN regexp_matches(v, '[0-9]') AND length(v) >= 6 THEN '{v}' ELSE v END) AS s FROM g),
-y AS (SELECT page_id, host, path, rule, s[1] AS s1, s[2] AS s2, s[3] AS s3, rule IS NOT NULL AS lab, coalesce(rule IN ('example.com/en/', 'net/es/', 'net/fr/'), false) AS blk FROM x),
-g0 AS (SELECT avg(blk::INT) AS share FROM y WHERE lab),
-l0 AS (SELECT *, count(*) OVER (PARTITION BY host) AS n0, count_if(lab) OVER (PARTITION BY host) AS el, count_if(blk) OVER (PARTITION BY host) AS eb FROM y),
-a1 AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY host, s1) < greatest(5.0, n0 * 0.02) THEN '*' ELSE s1 END AS t1 FROM l0),
-b1 AS (SELECT *, count(*) OVER (PARTITION BY host, t1) AS n1, count_if(lab) OVER (PARTITION BY host, t1) AS cl, count_if(blk) OVER (PARTITION BY host, t1) AS cb FROM a1),
-l1 AS (SELECT * EXCLUDE (el, eb, cl, cb), CASE WHEN m THEN el ELSE cl END AS el, CASE WHEN m THEN eb ELSE cb END AS eb
-    FROM (SELECT *, cl > 0 AND el > 0 AND abs(cb / cl - eb / el) <= 1.96 * sqrt(eb / el * (1 - eb / el) / cl) AS m FROM b1)),
-a2 AS (SELECT * EXCLUDE (m), CASE WHEN count(*) OVER (PARTITION BY host, t1, s2) < greatest(5.0, n1 * 0.02) THEN '*' ELSE s2 END AS t2 FROM l1),
-b2 AS (SELECT *, count(*) OVER (PARTITION BY host, t1, t2) AS n2, count_if(lab) OVER (PARTITION BY host, t1, t2) AS cl, count_if(blk) OVER (PARTITION BY host, t1, t2) AS cb FROM a2),
-l2 AS (SELECT * EXCLUDE (el, eb, cl, cb), CASE WHEN m THEN el ELSE cl END AS el, CASE WHEN m THEN eb ELSE cb END AS eb
-    FROM (SELECT *, cl > 0 AND el > 0 AND abs(cb / cl - eb / el) <= 1.96 * sqrt(eb / el * (1 - eb / el) / cl) AS m FROM b2)),
-a3 AS (SELECT * EXCLUDE (m), CASE WHEN count(*) OVER (PARTITION BY host, t1, t2, s3) < greatest(5.0, n2 * 0.02) THEN '*' ELSE s3 END AS t3 FROM l2),
-b3 AS (SELECT *, count_if(lab) OVER (PARTITION BY host, t1, t2, t3) AS cl, count_if(blk) OVER (PARTITION BY host, t1, t2, t3) AS cb FROM a3),
-l3 AS (SELECT * EXCLUDE (el, eb, cl, cb), CASE WHEN m THEN el ELSE cl END AS el, CASE WHEN m THEN eb ELSE cb END AS eb
-    FROM (SELECT *, cl > 0 AND el > 0 AND abs(cb / cl - eb / el) <= 1.96 * sqrt(eb / el * (1 - eb / el) / cl) AS m FROM b3))
+y AS (SELECT page_id, host, path, rule, s[1] AS s1, s[2] AS s2, s[3] AS s3, rule IS NOT NULL AS lab, coalesce(rule IN ('example.com/en/', 'net/es/', 'net/fr/'), false) AS blk, '' AS t FROM x),
+z AS (SELECT avg(blk::INT) AS share FROM y WHERE lab),
+b0 AS (SELECT * FROM y),
+"""
+    + "".join(
+        f"""
+a{k} AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY host, t, s{k}) < greatest(5.0, count(*) OVER (PARTITION BY host, t) * 0.02) THEN '*' ELSE s{k} END AS u FROM b{k - 1}),
+g{k} AS (SELECT host, t, u, count_if(lab) AS l, count_if(blk) AS b, count_if(blk) / count_if(lab) AS r FROM a{k} GROUP BY host, t, u HAVING l > 0),
+j{k} AS (SELECT *, lag(l) OVER w AS pl, lag(b) OVER w AS pb, lag(r) OVER w AS pr FROM g{k} WINDOW w AS (PARTITION BY host, t ORDER BY r, u)),
+i{k} AS (SELECT *, sum(CASE WHEN r - pr <= 1.96::DOUBLE * sqrt((b + pb) / (l + pl) * (1 - (b + pb) / (l + pl)) * (1 / l + 1 / pl)) THEN 0 ELSE 1 END) OVER (PARTITION BY host, t ORDER BY r, u) AS island FROM j{k}),
+m{k} AS (SELECT host, t, u, array_to_string(list_sort(list(u) OVER (PARTITION BY host, t, island)), '|') AS name FROM i{k}),
+b{k} AS (SELECT a.* EXCLUDE (t, u), a.t || '/' || coalesce(name, a.u) AS t FROM a{k} a LEFT JOIN m{k} m ON a.host = m.host AND a.t = m.t AND a.u = m.u),"""
+        for k in (1, 2, 3)
+    )
+    + """
+l AS (SELECT *, count_if(lab) OVER (PARTITION BY host, t) AS el, count_if(blk) OVER (PARTITION BY host, t) AS eb FROM b3)
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/en/', 'net/es/', 'net/fr/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
-    WHEN el >= 5 AND (eb + 2.0 * coalesce((SELECT share FROM g0), 0)) / (el + 2.0) >= 0.8 THEN 'block' ELSE 'allow' END AS verdict,
-    concat_ws('/', host, t1, t2, t3) AS template FROM l3""",
+    WHEN el >= 5 AND (eb + 2.0::DOUBLE * coalesce((SELECT share FROM z), 0)) / (el + 2.0::DOUBLE) >= 0.8 THEN 'block' ELSE 'allow' END AS verdict,
+    host || t AS template FROM l""",
     "op10_line_dedup": r"""
 WITH l AS (SELECT doc_id, i - 1 AS i, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
 e AS (SELECT doc_id, i, list_sort(list_distinct(regexp_extract_all(lower(line), '[^ \t\x0B\f\r]+'))) AS ws FROM l),

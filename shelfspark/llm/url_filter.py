@@ -1,26 +1,30 @@
 """Operator 2: URL filter by a tree of path templates.
 
 Method: each host's paths form a tree.  Segments that vary (numbers, identifiers) are
-generalised to wildcards, and so are segments too rare among their siblings; branches
-whose labelled rate does not differ significantly from their parent's are merged with
-it; a template is rejected if the smoothed share of blocked pages among its labelled
-ones is high and it has enough of them.  Labels are the verdicts of a rule list, which
-also decides directly: the longest rule that fits a URL wins over the tree.
+generalised to wildcards, and so are segments too rare among their siblings.  Of the
+branches that are left below one node (at most ``1 / least_share`` and the wildcard), those
+with labelled pages are put in the order of their blocked share; neighbours whose shares do
+not differ significantly (two-proportion test) are merged into one branch, ``en|fr``, whose
+subtrees are one from there on.  A template, a path to a leaf, is rejected if the smoothed
+share of blocked pages among its labelled ones is high and it has enough of them.  Labels
+are the verdicts of a rule list, which also decides directly: the longest rule that fits a
+URL wins over the tree.
 
 The tree goes on to the deepest path of the data; it has ``LEVELS`` levels at least, and
-a template names deeper ones only where its paths have them.  Two jobs for each level.
+a template names deeper ones only where its paths have them.  Three jobs for each level.
 
 Pages are first counted by (host, template); the tree works on these counts, level by
 level with joins on (host, branch), never on one host in one task.
 
-Edge cases: a null URL or one without :// has an empty host and path, which is a host
+Edge cases: a branch without labelled pages is merged with no other; a null URL or one without :// has an empty host and path, which is a host
 like others; a template without labelled pages is allowed; repeated rows count and are
-judged each; other columns are ignored; an empty table gives no rows.
+judged each; a very long URL is a deep path, or a long segment, like others; other columns
+are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .exchange import cut
@@ -67,23 +71,33 @@ def _totals(rows: DataFrame, keys: list[str], suffix: str) -> DataFrame:
     return rows.join(sums, keys)
 
 
+def _merged(tree: DataFrame, z: float) -> DataFrame:
+    """(host, t, u, name): the branches u below each node (host, t), and the joint name of those that are similar."""
+    sums = tree.groupBy("host", "t", "u").agg(*(F.sum(c).alias(c) for c in ("labelled", "blocked"))).where("labelled > 0")
+    below = Window.partitionBy("host", "t").orderBy("rate", "u")  # 1 / least_share rows and one at most
+    sums = sums.withColumn("rate", F.col("blocked") / F.col("labelled"))
+    last = {c: F.lag(c).over(below) for c in ("labelled", "blocked", "rate")}
+    both = (F.col("blocked") + last["blocked"]) / (F.col("labelled") + last["labelled"])
+    same = F.col("rate") - last["rate"] <= z * F.sqrt(both * (1 - both) * (1 / F.col("labelled") + 1 / last["labelled"]))
+    islands = sums.withColumn("new", F.when(same, 0).otherwise(1)).withColumn("island", F.sum("new").over(below))
+    names = F.collect_list("u").over(Window.partitionBy("host", "t", "island"))
+    return islands.select("host", "t", "u", F.array_join(F.array_sort(names), "|").alias("name"))
+
+
 def template_verdicts(shapes: DataFrame, least_pages: int = 5, least_share: float = 0.02, z: float = 1.96, smoothing: float = 2.0, least_labelled: int = 5, purity: float = 0.8) -> DataFrame:
     """(host, segments, template, rejected) from counts of (host, segments): pages, labelled, blocked."""
+    shapes = cut(shapes)
     share = shapes.agg(F.try_divide(F.sum("blocked"), F.sum("labelled")).alias("share")).first()["share"] or 0.0
     depth = max(LEVELS, shapes.agg(F.max(F.size("segments"))).first()[0] or 0)
-    tree = shapes.withColumn("t", F.array().cast("array<string>"))
-    tree = _totals(tree, ["host"], "0").withColumns({"e_labelled": F.col("labelled_0"), "e_blocked": F.col("blocked_0")})
-    for k in range(1, depth + 1):
-        tree = _totals(tree.withColumn("s", F.coalesce(F.get("segments", F.lit(k - 1)), F.lit(""))), ["host", "t", "s"], "s")
-        rare = F.col("pages_s") < F.greatest(F.lit(float(least_pages)), F.col(f"pages_{k - 1}") * F.lit(least_share))
-        tree = tree.withColumn("t", F.concat("t", F.array(F.when(rare, "*").otherwise(F.col("s"))))).drop("s", "pages_s", "labelled_s", "blocked_s", f"pages_{k - 1}", f"labelled_{k - 1}", f"blocked_{k - 1}")
-        tree = _totals(tree, ["host", "t"], str(k))
-        parent, own = F.try_divide("e_blocked", "e_labelled"), F.try_divide(f"blocked_{k}", f"labelled_{k}")
-        same = F.abs(own - parent) <= z * F.sqrt(F.try_divide(parent * (1 - parent), F.col(f"labelled_{k}")))
-        merged = F.coalesce(same, F.lit(False))  # null where one side has no labelled pages
-        tree = tree.withColumns({e: F.when(merged, F.col(e)).otherwise(F.col(f"{e[2:]}_{k}")) for e in ("e_labelled", "e_blocked")})
-    smooth = (F.col("e_blocked") + smoothing * share) / (F.col("e_labelled") + smoothing)
-    rejected = (F.col("e_labelled") >= least_labelled) & (smooth >= purity)
+    tree = _totals(shapes.withColumn("t", F.array().cast("array<string>")), ["host", "t"], "t")
+    for k in range(depth):
+        tree = _totals(tree.drop("labelled_t", "blocked_t").withColumn("s", F.coalesce(F.get("segments", F.lit(k)), F.lit(""))), ["host", "t", "s"], "s")
+        rare = F.col("pages_s") < F.greatest(F.lit(float(least_pages)), F.col("pages_t") * F.lit(least_share))
+        tree = cut(tree.select(*shapes.columns, "t", F.when(rare, "*").otherwise(F.col("s")).alias("u")))
+        tree = tree.join(_merged(tree, z), ["host", "t", "u"], "left").withColumn("t", F.concat("t", F.array(F.coalesce("name", "u")))).select(*shapes.columns, "t")
+        tree = _totals(tree, ["host", "t"], "t")
+    smooth = (F.col("blocked_t") + smoothing * share) / (F.col("labelled_t") + smoothing)
+    rejected = (F.col("labelled_t") >= least_labelled) & (smooth >= purity)
     deeper = F.regexp_replace(F.concat_ws("/", F.slice("t", LEVELS + 1, depth)), "/+$", "")
     template = F.concat(F.concat_ws("/", "host", F.slice("t", 1, LEVELS)), F.when(deeper != "", F.concat(F.lit("/"), deeper)).otherwise(""))
     return tree.select("host", "segments", template.alias("template"), rejected.alias("rejected"))
