@@ -63,11 +63,11 @@ def rarity(docs: DataFrame) -> Column:
     return F.split(F.lit(scales.first()["scales"]), ",").cast("array<long>")
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, line) of all lines, lower-cased, with blanks as their only white space."""
+def _lines(docs: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, more, line_no, line) of all lines, lower-cased, with blanks as their only white space."""
     odd = r"[\t\x0B\f\r]"
     text = F.when(F.col("text").rlike(odd), F.regexp_replace("text", odd, " ")).otherwise(F.col("text"))
-    return docs.where("text is not null").select(_own_id(), F.posexplode(F.split(F.lower(text), "\n")).alias("line_no", "line"))
+    return docs.where("text is not null").select(_own_id(), *more, F.posexplode(F.split(F.lower(text), "\n")).alias("line_no", "line"))
 
 
 def _tokens(lines: DataFrame, scales: Column, least_words: int) -> DataFrame:
@@ -95,14 +95,24 @@ def _may_match(x: str, y: str, room: str, percent: int) -> str:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, scales: Column, percent: int, least_words: int) -> DataFrame:
-    """The later lines (doc_id, line_no) of those pairs that match. Words are read again for the lines of pairs only."""
-    wanted = cut(pairs.select(*LINE).union(pairs.select("x_doc", "x_line")).distinct())
-    texts = docs.select(_own_id(), "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = cut(_tokens(_lines(texts).join(wanted, LINE, "left_semi"), scales, least_words))
+    """The later lines (doc_id, line_no) of those pairs that match. Words are read again for the lines of pairs only, by document.
+
+    Each line meets the partner of the likest signature first, and the others only if that one does not match.
+    """
+    ends = pairs.select(*LINE).union(pairs.select("x_doc", "x_line"))
+    wanted = ends.groupBy("doc_id").agg(F.collect_set("line_no").alias("wanted"))
+    texts = docs.select(_own_id(), "text").join(wanted, "doc_id")
+    sets = cut(_tokens(_lines(texts, "wanted").where(F.array_contains("wanted", F.col("line_no"))), scales, least_words))
     earlier = sets.select(F.col("doc_id").alias("x_doc"), F.col("line_no").alias("x_line"), F.col("tokens").alias("x_tokens"))
-    both = pairs.join(sets, LINE).join(earlier, ["x_doc", "x_line"])
-    shared = both.withColumn("shared", F.size(F.array_intersect("tokens", "x_tokens")))
-    return shared.where(f"100 * shared >= {percent} * (size(tokens) + size(x_tokens) - shared)").select(*LINE).distinct()
+
+    def matching(some: DataFrame) -> DataFrame:
+        both = some.select(*LINE, "x_doc", "x_line").join(sets, LINE).join(earlier, ["x_doc", "x_line"])
+        shared = both.withColumn("shared", F.size(F.array_intersect("tokens", "x_tokens")))
+        return shared.where(f"100 * shared >= {percent} * (size(tokens) + size(x_tokens) - shared)").select(*LINE).distinct()
+
+    likest = pairs.groupBy(*LINE).agg(F.min(F.struct("differ", "x_doc", "x_line")).alias("x"))
+    gone = cut(matching(likest.select(*LINE, "x.x_doc", "x.x_line")))
+    return gone.unionByName(matching(pairs.join(gone, LINE, "left_anti")))
 
 
 def _keys(lines: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -124,7 +134,7 @@ def _gone_by_earliest(keys: DataFrame, docs: DataFrame, scales: Column, percent:
     earliest = held.groupBy("key").agg(F.min(F.struct(*LINE, "n", "pos", "bits")).alias("p"))
     later = "(doc_id > p.doc_id or doc_id = p.doc_id and line_no > p.line_no)"
     met = held.join(earliest, "key").where(f"{later} and {_may_match('p.', '', 'room', percent)}")
-    pairs = cut(met.select(*LINE, F.col("p.doc_id").alias("x_doc"), F.col("p.line_no").alias("x_line")).distinct())
+    pairs = cut(met.select(*LINE, F.col("p.doc_id").alias("x_doc"), F.col("p.line_no").alias("x_line"), F.expr("bit_count(bits ^ p.bits)").alias("differ")).distinct())
     return pairs.select(*LINE) if pairs.isEmpty() else _verified(pairs, docs, scales, percent, least_words)
 
 
@@ -141,7 +151,7 @@ def first_lines(docs: DataFrame, percent: int = 80, least_words: int = 1) -> Dat
     keys = rare.unionByName(frequent)
     y, x = keys.alias("y"), keys.alias("x")
     others = y.join(x, F.expr(f"y.key = x.key and (y.doc_id > x.doc_id or y.doc_id = x.doc_id and y.line_no > x.line_no) and {_may_match('x.', 'y.', 'y.room', percent)}"))
-    pairs = cut(others.select("y.doc_id", "y.line_no", F.col("x.doc_id").alias("x_doc"), F.col("x.line_no").alias("x_line")).distinct())
+    pairs = cut(others.select("y.doc_id", "y.line_no", F.col("x.doc_id").alias("x_doc"), F.col("x.line_no").alias("x_line"), F.expr("bit_count(y.bits ^ x.bits)").alias("differ")).distinct())
     gone = gone.unionByName(_verified(pairs, docs, scales, percent, least_words)).distinct()
     return lines.select(*LINE).distinct().join(gone, LINE, "left_anti")
 
