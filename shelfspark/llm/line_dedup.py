@@ -9,7 +9,8 @@ differ in no more bits than the sets may differ in words; what remains is verifi
 words.  A line is removed if any earlier line (by doc_id, then by number) matches,
 whether or not that one is removed itself.
 
-A word is a long: its rarity above 57 bits of hash.  Rarity is the logarithm of the number
+A word is a long: its rarity above 57 bits of hash.  Where lines meet, 32 bits of it do: words that
+share them only add candidates.  Rarity is the logarithm of the number
 of words in the word's cell of ``CELLS``, counted over all documents; a table of fixed
 size, which only orders the words, so its collisions cost work and never change a result.
 
@@ -33,9 +34,9 @@ from pyspark.sql import functions as F
 
 from .exchange import NO_ID, cut, with_null_ids
 
-CELLS = 1 << 17
+CELLS = 1 << 18
 #: Lines, at most, that meet each other at one word, or at a pair of words without meeting the earliest first.
-MANY = 256
+MANY = 1024
 #: A word's scale is STEPS for each doubling of its cell's count.
 STEPS, TOP_SCALE, SHIFT = 3, 62, 57
 SPACE = r"[ \t\x0B\f\r]"
@@ -79,12 +80,14 @@ def _tokens(lines: DataFrame, scales: Column, least_words: int) -> DataFrame:
 
 
 def _prefixed(docs: DataFrame, scales: Column, percent: int, least_words: int) -> DataFrame:
-    """(doc_id, line_no, n, bits, prefix) of the first line of each set of words; the prefix has one word more than one shared word needs."""
+    """(doc_id, line_no, n, bits, rare, prefix) of the first line of each set of words: 32 bits of each word of its prefix, which has one word more than one shared word needs, and how many of them are rare."""
     sets = _tokens(_lines(docs), scales, least_words)
     n = F.size("tokens")
     bits = F.expr("aggregate(tokens, 0L, (a, t) -> a | shiftleft(1L, cast(t & 63 as int)))")
-    prefix = F.slice("tokens", F.lit(1), (n - F.ceil(n * percent / 100) + 2).cast("int"))
-    rows = sets.select(F.xxhash64("tokens").alias("h"), F.xxhash64(F.lit(1), "tokens").alias("g"), F.struct(*LINE, n.alias("n"), bits.alias("bits"), prefix.alias("prefix")).alias("row"))
+    rows = sets.select(F.xxhash64("tokens").alias("h"), F.xxhash64(F.lit(1), "tokens").alias("g"), *LINE, n.alias("n"), bits.alias("bits"), F.slice("tokens", F.lit(1), (n - F.ceil(n * percent / 100) + 2).cast("int")).alias("prefix"))
+    rare = F.size(F.filter("prefix", lambda t: t < F.expr(f"shiftleft({_scale(str(MANY))} + 1L, {SHIFT})")))
+    short = F.transform("prefix", lambda t: (t.bitwiseAND(F.lit((1 << 32) - 1)) - F.lit(1 << 31)).cast("int"))
+    rows = rows.select("h", "g", F.struct(*LINE, "n", "bits", rare.alias("rare"), short.alias("prefix")).alias("row"))
     return rows.groupBy("h", "g").agg(F.min("row").alias("row")).select("row.*")
 
 
@@ -117,14 +120,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, scales: Column, percent: int, l
 
 def _keys(lines: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, line_no, n, bits, room, pos, key) of rare and of frequent words: where a line meets others, and the place of its first word there."""
-    frequent = f"token >= shiftleft({_scale(str(MANY))} + 1L, {SHIFT})"
     row = [*LINE, "n", "bits", "room"]
     at = lines.withColumn("need", F.expr(f"ceil(n * {percent} / 100)"))
-    words = at.select(*row, "need", "prefix", F.posexplode("prefix").alias("pos", "token")).where("pos <= n - need")
-    rare = words.where(f"not {frequent}").select(*row, "pos", F.col("token").alias("key"))
-    alone = words.where(f"{frequent} and need = 1").select(*row, "pos", F.col("token").alias("key"))
-    pairs = words.where(frequent).select(*row, "pos", "token", F.explode(F.expr("slice(prefix, pos + 2, size(prefix))")).alias("second"))
-    return rare, alone.unionByName(pairs.select(*row, "pos", F.xxhash64("token", "second").alias("key")))
+    words = at.select(*row, "need", "rare", "prefix", F.posexplode("prefix").alias("pos", "key")).where("pos <= n - need")
+    rare = words.where("pos < rare").select(*row, "pos", "key")
+    alone = words.where("pos >= rare and need = 1").select(*row, "pos", "key")
+    pairs = words.where("pos >= rare").select(*row, "pos", "key", F.explode(F.expr("slice(prefix, pos + 2, size(prefix))")).alias("second"))
+    return rare, alone.unionByName(pairs.select(*row, "pos", F.hash("key", "second").alias("key")))
 
 
 def _gone_by_earliest(keys: DataFrame, docs: DataFrame, scales: Column, percent: int, least_words: int) -> DataFrame:
