@@ -108,6 +108,21 @@ def unpack(packed: bytes, *types) -> list[np.ndarray]:
     return out
 
 
+def joined(found: np.ndarray, counts: np.ndarray, *lists: np.ndarray) -> bytes:
+    """Hashes, the number of entries of each, and lists of these entries, as one value."""
+    return b"".join(x.tobytes() for x in (np.array([len(found)], np.int64), found, counts, *lists))
+
+
+def separated(packed: bytes, *types) -> list[np.ndarray]:
+    """What :func:`joined` joined; the first two of ``types`` are those of hashes and counts."""
+    n, at, out = int(np.frombuffer(packed, np.int64, 1)[0]), 8, []
+    for i, t in enumerate(types):
+        size = n if i < 2 else int(out[1].sum())
+        out.append(np.frombuffer(packed, t, size, at))
+        at += out[-1].nbytes
+    return out
+
+
 def table_of(rows: list[dict]) -> pa.Table:
     return pa.Table.from_pylist(rows, _PACKED)
 

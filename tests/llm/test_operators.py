@@ -7,10 +7,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from shelfspark.llm import brown
+from shelfspark.llm import brown, lm_scoring
 from shelfspark.llm import quality_rules as Q
 from shelfspark.llm import words as W
 from shelfspark.llm.decontaminate import benchmark_hits
@@ -321,7 +322,7 @@ def test_scores(spark):
     rows = language(spark)
     docs = spark.createDataFrame(rows, DOCS)
     out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
-    got = {r["doc_id"]: r for r in class_model_scores(docs, out, classes=8, top_words=200, suffixes=64, rounds=5).collect()}
+    got = {r["doc_id"]: r for r in class_model_scores(docs, out, classes=8, suffixes=64).collect()}
     held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2
     tokens = {d: [*re.sub("[A-Z]", lambda m: m[0].lower(), t or "").split(), None] for d, t in rows}
     c = Counter(w for d, ws in tokens.items() if not held(d) for w in ws)
@@ -334,22 +335,72 @@ def test_scores(spark):
     assert len(test) > 50 and sum(r["score"] for r in test) > 0.95 * sum(r["base_score"] for r in test)
 
 
-def test_probabilities_sum_to_one(spark):
-    """Over all words that may follow, unknown ones of each class included, by scoring one-word texts."""
-    rows = [(d, t) for d, t in language(spark)[:200]]
-    words = sorted({w for _, t in rows for w in t.split()})
-    ends = [".zz" + e for e in "abcdefghijklmnopqrstuvwxyz"]
-    probes = [(10_000 + i, w) for i, w in enumerate([*words, *ends])]
-    docs = spark.createDataFrame([*rows, *probes, (99_999, "")], DOCS)
-    got = {r["doc_id"]: r for r in class_model_scores(docs, F.col("doc_id") >= 10_000, classes=6, top_words=50, suffixes=16, rounds=2).collect()}
-    known = sum(10 ** got[10_000 + i]["score"] for i in range(len(words)))
-    assert 0 < known < 1
+def plain_model(monkeypatch, spark, rows, out, classes, **how):
+    """The operator's rows, the class of each word, and the model that plain Python makes of these classes: log10 P(word | class before), and the words' probabilities."""
+    seen = []
+    whole = lm_scoring._classes
+    monkeypatch.setattr(lm_scoring, "_classes", lambda texts, assigned, *more: seen.append(assigned) or whole(texts, assigned, *more))
+    got = {r["doc_id"]: r for r in class_model_scores(spark.createDataFrame(rows, DOCS), out, classes=classes, **how).collect()}
+    assigned = {t % (1 << 64): k for t, k in seen[0].collect()}
+    n = how["suffixes"]
+
+    def key(word):
+        return 0 if word is None else int(lm_scoring._keys(pa.table({"text": [word]}), n)[0][0])
+
+    def class_of(word):
+        k = key(word)
+        return assigned.get(k, assigned[n + k % n])
+
+    tokens = {d: [*re.sub("[A-Z]", lambda m: m[0].lower(), t or "").split(), None] for d, t in rows}
+    training = {d: ws for d, ws in tokens.items() if not got[d]["held_out"]}
+    c = Counter(w for ws in training.values() for w in ws)
+    follows, size, kinds = Counter(), Counter(), Counter()
+    for w, k in c.items():
+        size[class_of(w)] += k
+        kinds[class_of(w)] += 1
+    for ws in training.values():
+        follows.update((class_of(a), class_of(b)) for a, b in zip([None, *ws], ws))
+    into, out_of, total = Counter(), Counter(), sum(follows.values())
+    for (a, b), k in follows.items():
+        out_of[a] += k
+        into[b] += k
+
+    def step(a, b):
+        return (follows[a, b] + lm_scoring.PRIOR * (into[b] + 1) / (total + classes)) / (out_of[a] + lm_scoring.PRIOR)
+
+    emit = lambda w, k: (c[w] + 1) / (size[k] + kinds[k] + 1)
+    return got, tokens, c, class_of, step, emit
+
+
+@pytest.mark.parametrize(("share", "least"), [(2e-3, 2), (1e-5, 1), (0.5, 3)])
+def test_scores_are_those_of_a_plain_class_model(spark, monkeypatch, share, least):
+    rows = language(spark)[:250] + [(900, "new words ab zz")]
+    got, tokens, c, class_of, step, emit = plain_model(monkeypatch, spark, rows, F.col("doc_id") % 5 == 0, 6, core_share=share, suffixes=16, sweeps=3, least_count=least)
+    for d, ws in tokens.items():
+        ks = [class_of(w) for w in ws]
+        assert math.isclose(got[d]["score"], sum(math.log10(step(a, k) * emit(w, k)) for w, a, k in zip(ws, [0, *ks], ks)), rel_tol=1e-9)
+    for a in range(6):  # over all words and, in each class, one that is not known
+        assert math.isclose(sum(step(a, class_of(w)) * emit(w, class_of(w)) for w in c) + sum(step(a, k) * emit("", k) for k in range(6)), 1)
+    assert {class_of(w) for w in c if w is not None} == {1, 2, 3, 4, 5} and class_of(None) == 0
+
+
+def test_newcomers_go_where_the_objective_is_highest():
+    rng = np.random.default_rng(5)
+    m, right, left = rng.integers(0, 50, (5, 5)).astype(float), rng.integers(0, 4, (20, 5)), rng.integers(0, 4, (20, 5))
+    for t, k in enumerate(brown.newcomers(m, right, left)):
+        with_it = []
+        for c in range(1, 5):
+            x = m.copy()
+            x[c] += right[t]
+            x[:, c] += left[t]
+            with_it.append(brown.objective(x))
+        assert math.isclose(with_it[k - 1], max(with_it))
 
 
 def test_scores_of_odd_tables(spark):
     never = F.lit(False)
     assert class_model_scores(spark.createDataFrame([], DOCS), never).count() == 0
-    only = class_model_scores(spark.createDataFrame([(1, "a b"), (1, "a b")], DOCS + "").withColumn("score", F.lit("x")), F.lit(True), classes=4, top_words=10, suffixes=8).collect()
+    only = class_model_scores(spark.createDataFrame([(1, "a b"), (1, "a b")], DOCS + "").withColumn("score", F.lit("x")), F.lit(True), classes=4, core_share=0.1, suffixes=8).collect()
     assert [(r["n_tokens"], r["n_known"], r["train_tokens"]) for r in only] == [(3, 0, 0)] * 2 and all(math.isfinite(r["score"]) for r in only)
 
 
