@@ -381,7 +381,7 @@ def test_scores_are_those_of_a_plain_class_model(spark, monkeypatch, share, leas
         assert math.isclose(got[d]["score"], sum(math.log10(step(a, k) * emit(w, k)) for w, a, k in zip(ws, [0, *ks], ks)), rel_tol=1e-9)
     for a in range(6):  # over all words and, in each class, one that is not known
         assert math.isclose(sum(step(a, class_of(w)) * emit(w, class_of(w)) for w in c) + sum(step(a, k) * emit("", k) for k in range(6)), 1)
-    assert {class_of(w) for w in c if w is not None} == {1, 2, 3, 4, 5} and class_of(None) == 0
+    assert {class_of(w) for w in c if w is not None} == ({1, 2, 3, 4, 5} if share < 0.5 else {1}) and class_of(None) == 0  # without neighbours in the core nothing tells words apart
 
 
 def test_newcomers_go_where_the_objective_is_highest():
