@@ -57,7 +57,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], budget: float, mo
 def _keyed(docs: DataFrame) -> DataFrame:
     size = F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORDS), F.lit(0))).cast("long")
     key = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("b"), "source"))  # code point order, null last
-    return docs.withColumn("size", size).withColumn("key", key)
+    return docs.select("doc_id", size.alias("size"), key.alias("key"))
 
 
 def sampled_copies(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), budget: float = 1.5, most_copies: float = 2.0, seed: int = 0) -> DataFrame:
@@ -83,6 +83,7 @@ def _sampled(sizes: DataFrame, weights: tuple[int, ...], budget: float, most_cop
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), budget: float = 1.5, most_copies: float = 2.0, seed: int = 0) -> DataFrame:
     """``docs`` with every row as often as the mix takes it. Rows of one doc_id are one document and are taken alike."""
     sizes = _keyed(docs).groupBy("doc_id").agg(F.min("key").alias("key"), F.sum("size").alias("size"))
-    taken = _sampled(cut(sizes), weights, budget, most_copies, seed).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("copies").alias("_copies"))
-    rows = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_id"]))
-    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy")).drop("_copy")
+    taken = _sampled(cut(sizes), weights, budget, most_copies, seed).where("copies > 0").select(F.col("doc_id").alias("_id"), "copies")
+    own = {f"c{i}": c for i, c in enumerate(docs.columns)}  # the columns of docs may have any names
+    rows = docs.toDF(*own).join(taken, F.col(f"c{docs.columns.index('doc_id')}").eqNullSafe(F.col("_id")))
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*(F.col(k).alias(c) for k, c in own.items()))

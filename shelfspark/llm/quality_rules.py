@@ -209,11 +209,15 @@ def verdict_column(rules: list[Rule]) -> Column:
 
 
 def learn_rules(docs: DataFrame, labels: DataFrame, most_labelled: int = 20_000, **how) -> list[Rule]:
-    """The decision list learned from ``labels`` (doc_id, quality) on statistics of ``docs``."""
+    """The decision list learned from ``labels`` (doc_id, quality) on statistics of ``docs``.
+
+    At most ``most_labelled`` labels are used. Where rows share a doc_id, its lowest label and the
+    least of each feature count, so a document is one row however often it occurs.
+    """
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)  # at most most_labelled rows: may be broadcast
     rows = with_statistics(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"))
-    rows = rows.select("doc_id", "quality", *(F.expr(e).alias(f) for f, e in FEATURES.items())).orderBy("doc_id", *FEATURES).limit(2 * most_labelled).toPandas()
+    rows = rows.groupBy("doc_id").agg(F.min("quality").alias("quality"), *(F.min(F.expr(e)).alias(f) for f, e in FEATURES.items())).orderBy("doc_id").toPandas()
     if rows.empty:
         return []
     x = {f: rows[f].to_numpy(float) for f in FEATURES}
@@ -227,3 +231,9 @@ def judged(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """``docs`` with statistics, base_failed and kept."""
     rules = learn_rules(docs, labels, **how)
     return with_statistics(docs).withColumn("base_failed", F.expr(BASE_FAILED)).withColumn("kept", ~F.col("base_failed") & verdict_column(rules))
+
+
+def kept_documents(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
+    """The rows of ``docs`` that are kept, with their own columns unchanged, whatever these are called."""
+    own = {c if c in ("doc_id", "text") else f"c{i}": c for i, c in enumerate(docs.columns)}
+    return judged(docs.toDF(*own), labels, **how).where("kept").select(*(F.col(k).alias(c) for k, c in own.items()))

@@ -7,7 +7,8 @@ whose size is a parameter, is broadcast; so placement takes constant time, shard
 differ by at most one slot, and removing a shard moves few rows of the others.
 
 Edge cases: a null key is placed like an empty one; equal keys share a shard; columns
-named slot or shard are replaced; an empty table gives no rows.
+of rows keep their names, so the new ones are _slot and _shard beside a slot or shard; other
+columns, and texts of any length, are carried along; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -45,15 +46,20 @@ def lookup_table(shards: list[str], slots: int = 65_537) -> list[int]:
 
 
 def assign_shards(rows: DataFrame, shards: list[str], key: str = "doc_id", slots: int = 65_537) -> DataFrame:
-    """``rows`` with slot and shard."""
+    """``rows`` with slot and shard, or ``_slot`` and ``_shard`` (or more underscores) where rows has such columns."""
     owner = lookup_table(shards, slots)
-    table = rows.sparkSession.createDataFrame([(i, shards[k]) for i, k in enumerate(owner)], "slot int, shard string")
-    placed = rows.drop("slot", "shard").withColumn("slot", F.pmod(key_number(F.col(key)), F.lit(slots)).cast("int"))
-    return placed.join(F.broadcast(table), "slot").select(*rows.drop("slot", "shard").columns, "slot", "shard")  # the table has exactly `slots` rows
+    slot, shard = (_free(name, rows.columns) for name in ("slot", "shard"))
+    table = rows.sparkSession.createDataFrame([(i, shards[k]) for i, k in enumerate(owner)], f"{slot} int, {shard} string")
+    placed = rows.withColumn(slot, F.pmod(key_number(F.col(key)), F.lit(slots)).cast("int"))
+    return placed.join(F.broadcast(table), slot).select(*rows.columns, slot, shard)  # the table has exactly `slots` rows
+
+
+def _free(name: str, taken: list[str]) -> str:
+    return _free(f"_{name}", taken) if name.lower() in {c.lower() for c in taken} else name
 
 
 def write_shards(rows: DataFrame, path: str, shards: list[str], files_per_shard: int = 1, **how) -> None:
     """One folder for each shard; a shard's rows are dealt to ``files_per_shard`` tasks."""
     placed = assign_shards(rows, shards, **how)
-    dealt = placed.repartition(len(shards) * files_per_shard, "shard", F.pmod(F.xxhash64(*rows.columns), F.lit(files_per_shard)))
-    dealt.write.partitionBy("shard").parquet(path)
+    dealt = placed.repartition(len(shards) * files_per_shard, placed.columns[-1], F.pmod(F.xxhash64(*rows.columns), F.lit(files_per_shard)))
+    dealt.write.partitionBy(placed.columns[-1]).parquet(path)

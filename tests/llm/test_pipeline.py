@@ -71,10 +71,28 @@ def test_stages_and_run(spark):
 
 
 def test_stages_on_empty_and_odd_tables(spark):
+    """Documents of 60 words stay, and as the first of their copies; null ids pass; the mix takes rows of one id alike."""
     schema = spark.read.parquet(f"{DATA}/documents.parquet").schema
     text = " ".join(f"word{i}" for i in range(60))
-    odd = spark.createDataFrame([(None, text, None, None, None), (1, None, "xx", "s", 0), (2, "", None, None, None), (3, text + " end", "en", None, 9), (3, text + " end", "en", None, 9)], schema)
-    for table in (odd, odd.limit(0)):
-        for _, stage in corpus_pipeline.STAGES:
-            out = stage(spark, table, DATA)
-            assert out.columns[:5] == schema.names and out.count() >= 0
+    odd = spark.createDataFrame([(None, text, None, None, None), (1, None, "xx", "s", 0), (2, "", None, None, None), (3, text + " end", "en", None, 9), (3, text + " end", "en", None, 9), (4, text + " end", "en", None, 9)], schema)
+    ids = lambda df: sorted((r["doc_id"] or -1 for r in df.collect()))
+    want = {"quality_rules": [-1, 3, 3, 4], "ngram_jaccard_join": [-1, 1, 2, 3, 3], "benchmark_decontamination": [-1, 1, 2, 3, 3, 4], "sharding": [-1, 1, 2, 3, 3, 4]}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd, DATA)
+        assert out.columns[:5] == schema.names
+        assert ids(out) == want[name] if name in want else set(ids(out)) <= {-1, 1, 2, 3, 4}
+        assert stage(spark, odd.limit(0), DATA).count() == 0
+
+
+CLASH = "kept string, base_failed string, n_words long, n_hit long, component_id long, _id string, _copies string, _copy long, copies long, c0 string, key string, slot string, shard string, `two words` string"
+
+
+def test_stages_carry_columns_of_any_name(spark):
+    text = " ".join(f"word{i}" for i in range(80))
+    rows = [(d, f"{text} {d} " * 2 if d % 2 else " ".join(f"{d}w{i}" for i in range(90)), "en", "s", 1, *(-7 if c.split()[-1] == "long" else f"{c}{d}" for c in CLASH.split(", "))) for d in range(1, 9)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + CLASH)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, table, DATA)
+        assert out.columns == [*table.columns, *(["_slot", "_shard"] if name == "sharding" else [])]
+        got = {tuple(r)[: len(table.columns)] for r in out.collect()}
+        assert got and got <= set(rows)
