@@ -16,14 +16,14 @@ from shelfspark.llm.decontaminate import benchmark_hits
 from shelfspark.llm.exchange import cut
 from shelfspark.llm.mixing import mixed_documents
 from shelfspark.llm.ngram_join import ngram_jaccard_components
-from shelfspark.llm.quality_rules import judged
+from shelfspark.llm.quality_rules import kept_documents
 from shelfspark.llm.queries import SHARDS, SLOTS
 from shelfspark.llm.sharding import assign_shards
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule or the learned list rejects go."""
-    return judged(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("kept").select(*docs.columns)
+    return kept_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
