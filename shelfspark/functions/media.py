@@ -115,7 +115,11 @@ def props_empty(width: Column, height: Column, duration_ms: Column) -> Column:
     return (width == 0) & (height == 0) & (duration_ms == 0)
 
 
-def sample_fingerprint(content: Column, size: Column, edge: int = 65_536) -> Column:
+#: Bytes at each end of a file that a fingerprint covers.
+EDGE = 65_536
+
+
+def sample_fingerprint(content: Column, size: Column, edge: int = EDGE) -> Column:
     """Digest of the whole of a small file, or of its first and last ``edge`` bytes; compare together with size."""
     ends = F.concat(F.substring(content, 1, edge), F.substring(content, -edge, edge))
     return F.sha2(F.when(size <= 2 * edge, content).otherwise(ends), 256)

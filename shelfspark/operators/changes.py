@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from shelfspark.functions.media import lookup_frn, media_kind
 from shelfspark.sources.snapshot import cut
 
-MAX_DEPTH = 128
 LOOKUP = "volume string, frn long, answer string, path string"
 COUNTERS = ("files_added", "files_removed", "files_moved", "dirs_added", "dirs_removed", "dirs_renamed", "dirs_looked_up", "unresolved", "excluded")
 
@@ -66,7 +65,7 @@ def _created(dirs: DataFrame, last: DataFrame, lookup: DataFrame) -> tuple[DataF
     asked = pending.select("volume", F.col("parent_frn").alias("frn")).distinct().join(known, ["volume", "frn"], "left_anti").join(pending.select("volume", "frn"), ["volume", "frn"], "left_anti")
     known = cut(known.unionByName(asked.join(lookup.where("answer = 'path'"), ["volume", "frn"]).select("volume", "frn", "path")))
     added = 0
-    for _ in range(MAX_DEPTH):
+    while True:  # every round settles one level more, or is the last
         parents = known.select("volume", F.col("frn").alias("parent_frn"), F.col("path").alias("p"))
         new = cut(pending.join(parents, ["volume", "parent_frn"]).select("volume", "frn", F.concat("p", F.lit("\\"), "name").alias("path")))
         n = new.count()
@@ -90,7 +89,7 @@ def _renamed(dirs: DataFrame, last: DataFrame) -> tuple[DataFrame, int]:
     above = below(moves.select("volume", F.col("p").alias("path")).distinct(), moves).withColumnsRenamed({"path": "p", "top": "p_top"})
     open_ = cut(moves.join(above, ["volume", "p"], "left"))
     settled = None
-    for _ in range(MAX_DEPTH):
+    while True:  # moves into each other's folders are never settled and stay as they were
         if settled is None:
             step = open_.where("p_top is null").select("volume", "top", F.concat("p", F.lit("\\"), "name").alias("to"))
         else:
@@ -116,7 +115,8 @@ def apply_changes(files: DataFrame, dirs: DataFrame, changes: DataFrame, lookup:
     media name or a known folder leaves the library and counts as removed.
     """
     spark = files.sparkSession
-    lookup = (lookup if lookup is not None else spark.createDataFrame([], LOOKUP)).withColumn("frn", lookup_frn(F.col("frn"))).dropDuplicates(["volume", "frn"])
+    lookup = (lookup if lookup is not None else spark.createDataFrame([], LOOKUP)).withColumn("frn", lookup_frn(F.col("frn")))
+    lookup = lookup.groupBy("volume", "frn").agg(F.min(F.struct(F.expr("answer <> 'path'").alias("no"), "answer", "path")).alias("a")).select("volume", "frn", "a.answer", "a.path")  # of several answers a path
     last = cut(latest_changes(changes))
     dirs = dirs.select("volume", lookup_frn(F.col("frn")).alias("frn"), "path")
     dirs, dirs_added, homeless = _created(dirs, last, lookup)

@@ -28,9 +28,16 @@ def fingerprinted(files: DataFrame, whole: bool = False, edge: int = 65_536) ->
     return files.where("content is not null").withColumn("fp", digest).drop("content")
 
 
+def counters(files: DataFrame, candidates: DataFrame, printed: DataFrame) -> DataFrame:
+    """One row: files, candidates (those that share a size), hashed (those that could be read) and unreadable."""
+    count = lambda df, name: df.agg(F.count("*").alias(name))
+    read = printed.agg(F.count("fp").alias("hashed"), (F.count("*") - F.count("fp")).alias("unreadable"))
+    return count(files, "files").crossJoin(count(candidates, "candidates")).crossJoin(read)  # one row each
+
+
 def duplicate_groups(printed: DataFrame) -> DataFrame:
-    """(size, fp, copies, wasted, first), the most wasteful first."""
-    groups = printed.groupBy("size", "fp").agg(F.count("*").alias("copies"), F.min("idx").alias("first")).where("copies > 1")
+    """(size, fp, copies, wasted, first), the most wasteful first. Files without a fingerprint are in none."""
+    groups = printed.where("fp is not null").groupBy("size", "fp").agg(F.count("*").alias("copies"), F.min("idx").alias("first")).where("copies > 1")
     return groups.withColumn("wasted", F.col("size") * (F.col("copies") - 1)).orderBy(F.desc("wasted"), "first")
 
 

@@ -12,7 +12,8 @@ PRIORITY = ("video", "image", "audio")
 
 def seed_from_store(files: DataFrame, store: DataFrame) -> DataFrame:
     """``files`` (with path) and width, height, duration_ms (0: unknown), cached: an entry of this size and time exists."""
-    entry = store.select(F.col("path_key"), "size", "mtime", "width", "height", "duration_ms").dropDuplicates(["path_key", "size", "mtime"]).withColumn("cached", F.lit(True))
+    props = F.max(F.struct("width", "height", "duration_ms")).alias("p")  # one of several entries, always the same
+    entry = store.groupBy("path_key", "size", "mtime").agg(props).select("path_key", "size", "mtime", "p.*", F.lit(True).alias("cached"))
     out = files.drop("width", "height", "duration_ms").withColumn("path_key", path_key(F.col("path"))).join(entry, ["path_key", "size", "mtime"], "left").drop("path_key")
     return out.fillna(0, ["width", "height", "duration_ms"]).fillna(False, ["cached"])
 
@@ -29,6 +30,19 @@ def merge_store(store: DataFrame, read: DataFrame) -> DataFrame:
     return store.join(read.select("path_key").distinct(), "path_key", "left_anti").unionByName(read.select(*store.columns))
 
 
+def unmeasured(files: DataFrame) -> DataFrame:
+    """Files whose size and time an update could not know: their modification time is 0."""
+    return files.where("mtime = 0")
+
+
+def measured(files: DataFrame, stats: DataFrame) -> DataFrame:
+    """``files`` (with path, size, mtime) with the sizes and times of ``stats`` (path, size, mtime) where they have none."""
+    known = stats.groupBy("path").agg(F.max(F.struct("mtime", "size")).alias("s"))
+    rows = files.join(known, "path", "left")
+    fresh = (F.col("mtime") == 0) & F.col("s").isNotNull()
+    return rows.withColumns({c: F.when(fresh, F.col(f"s.{c}")).otherwise(F.col(c)) for c in ("size", "mtime")}).select(*files.columns)
+
+
 def status(seeded: DataFrame, network_volumes: DataFrame) -> DataFrame:
     """One row: done (known from the store) and total (files not on network volumes)."""
     local = seeded.join(network_volumes.select(F.col("letter").alias("volume")), "volume", "left_anti")

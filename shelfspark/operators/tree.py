@@ -22,9 +22,12 @@ def resolve_directories(records: DataFrame, letter: str, skip_dot: bool = True,
 
     The root is the record with number 5 or a directory that is its own parent; depth
     counts from the root.  A chain that does not reach the root is orphaned (a parent is
-    missing) or a cycle; only chains that do are tested for excluded names.
+    missing) or a cycle; only chains that do are tested for excluded names.  Of several
+    records of one directory the last by ``seq`` counts, where records have it.
     """
-    dirs = records.where("is_dir").dropDuplicates(["frn"])
+    says = F.struct("parent_frn", "name")
+    last = F.max_by(says, "seq") if "seq" in records.columns else F.max(says)
+    dirs = records.where("is_dir").groupBy("frn").agg(last.alias("d")).select("frn", "d.*")
     is_root = (record_number(F.col("frn")) == 5) | (F.col("frn") == F.col("parent_frn"))
     roots = cut(dirs.where(is_root).select("frn"))
     under = dirs.where(~is_root)

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from contextlib import contextmanager
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.operators import audit, dupes, enrich
 from shelfspark.operators.search import LIMIT, SearchOptions, SearchResult, parse_kinds, recency_cutoff, search
 from shelfspark.operators.tree import resolve_directories, resolve_files, used_directories
-from shelfspark.sources.snapshot import EmptySnapshot, Snapshot, SnapshotStore, carry_over
+from shelfspark.sources.contents import fingerprint_paths
+from shelfspark.sources.snapshot import EmptySnapshot, PropertyStore, Snapshot, SnapshotStore, carry_over, cut
 from shelfspark.streaming.journal import library_rows, merge_batch
 
 
@@ -49,6 +51,7 @@ class Engine:
         if files is None:
             raise EmptySnapshot("no volume was read")
         known = stats if stats is not None else self.spark.createDataFrame([], "path string, size long, mtime long")
+        known = known.groupBy("path").agg(F.max(F.struct("mtime", "size")).alias("s")).select("path", "s.size", "s.mtime")  # a path counts once
         files = files.join(known, "path", "left").drop("path").fillna(0, ["size", "mtime"])
         if self.snapshot is not None and not full:
             old_dirs = self.snapshot.dirs.select("volume", "frn", "path")
@@ -98,6 +101,32 @@ class Engine:
         groups = dupes.duplicate_groups(printed)
         return dupes.duplicate_members(printed, groups, limit), dupes.totals(groups)
 
+    def duplicates_of_paths(self, limit: int = dupes.GROUP_LIMIT, whole: bool = False, locate: Callable[[Column], Column] = lambda path: path) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(members, totals, counters) like :meth:`duplicates`, reading the ends of the files themselves. ``locate``: where executors find a path."""
+        files = self.paths()
+        able = dupes.same_size(files)
+        printed = cut(fingerprint_paths(able.withColumn("path", locate(F.col("path"))), whole))
+        groups = dupes.duplicate_groups(printed)
+        return dupes.duplicate_members(printed, groups, limit), dupes.totals(groups), dupes.counters(files, able, printed)
+
+    def read_properties(self, store: PropertyStore, network_volumes: DataFrame, read: Callable[[DataFrame], DataFrame], batch: int = 500, stop: Callable[[], bool] = lambda: False) -> int:
+        """Read the properties of queued files, ``batch`` at a time, saving the store after each; returns how many were read.
+
+        ``read`` maps a batch of files to entries of the store.  It goes on until the queue is
+        empty, ``stop()`` holds, or a newer snapshot is published.
+        """
+        done, epoch = 0, self._now().epoch
+        while not stop() and self.store.current_epoch() == epoch:
+            queue = enrich.read_queue(enrich.seed_from_store(self.paths(), store.load()), network_volumes).limit(batch)
+            entries = cut(read(queue).select(*store.load().columns))
+            n = entries.count()
+            if not n:
+                break
+            store.save(cut(enrich.merge_store(store.load(), entries)))
+            done += n
+        self.props = enrich.seed_from_store(self.paths(), store.load())
+        return done
+
     def enrich(self, store: DataFrame) -> DataFrame:
         """Take properties from the store for filters by resolution and length."""
         self.props = enrich.seed_from_store(self.paths(), store)

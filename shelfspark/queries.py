@@ -459,3 +459,6 @@ def stream_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = _read(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/event[s].parquet")
     return stream_last(stream.select("user_id", "event_type", "event_id"), ["user_id"], "event_id")
+
+
+from shelfspark import journal_queries  # noqa: E402, F401 - registers its queries in the same tables

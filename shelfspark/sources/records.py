@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -58,9 +59,9 @@ def decode(buffers: DataFrame) -> DataFrame:
     def part(batches):
         for batch in batches:
             for source, content in zip(batch["source"].to_pylist(), batch["content"], strict=True):
-                rows = [{"source": source, "at": at, **fields} for at, fields in records_of(content.as_py() or b"")]
-                for lo in range(0, len(rows), 20_000):
-                    yield pa.RecordBatch.from_pydict({n: pa.array([r.get(n) for r in rows[lo : lo + 20_000]], schema.field(n).type) for n in names})
+                found = records_of(content.as_py() or b"")
+                while rows := [{"source": source, "at": at, **fields} for at, fields in islice(found, 20_000)]:
+                    yield pa.RecordBatch.from_pydict({n: pa.array([r.get(n) for r in rows], schema.field(n).type) for n in names})
 
     return buffers.select("source", "content").mapInArrow(part, DECODED)
 
@@ -71,9 +72,9 @@ def read_buffers(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_records(decoded: DataFrame) -> DataFrame:
-    """(frn, parent_frn, name, is_dir, kind): every directory, and files of a media type."""
+    """(frn, parent_frn, name, is_dir, kind, seq): every directory, and files of a media type, in the order of the scan."""
     is_dir = F.col("attrs").bitwiseAND(F.lit(DIRECTORY)) != 0
-    rows = decoded.where("outcome = 'ok'").select("frn", "parent_frn", "name", is_dir.alias("is_dir"), F.when(~is_dir, media_kind(F.col("name"))).alias("kind"))
+    rows = decoded.where("outcome = 'ok'").select("frn", "parent_frn", "name", is_dir.alias("is_dir"), F.when(~is_dir, media_kind(F.col("name"))).alias("kind"), F.struct("source", "at").alias("seq"))
     return rows.where("is_dir or kind is not null")
 
 
@@ -100,6 +101,15 @@ def walk(spark: SparkSession, root: str, skip_dot: bool = True) -> DataFrame:
     return rows.where(F.col("kind").isNotNull() & ~excluded_path(F.col("_folder"), skip_dot)).drop("_folder").dropDuplicates(["path"])
 
 
+def walk_counts(spark: SparkSession, root: str, skip_dot: bool = True) -> DataFrame:
+    """One row: entries (files seen), media, kept (media outside excluded folders), excluded, folders (that hold any file)."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
+    folder = F.regexp_replace(F.substring("path", F.instr("path", root) + len(root), F.length("path")), "/[^/]*$", "")
+    media = media_kind(F.substring_index("path", "/", -1)).isNotNull()
+    left_out = excluded_path(F.concat(F.lit("X:"), F.replace(folder, F.lit("/"), F.lit("\\"))), skip_dot)
+    return found.agg(F.count("*").alias("entries"), F.count_if(media).alias("media"), F.count_if(media & ~left_out).alias("kept"), F.count_if(media & left_out).alias("excluded"), F.count_distinct(folder).alias("folders"))
+
+
 def scannable(volumes: DataFrame) -> DataFrame:
     """``volumes`` with skip_reason; null for those that can be scanned."""
     reason = F.when(F.col("kind") == "network", "network").when(F.coalesce(F.lower("filesystem"), F.lit("")) != "ntfs", "not ntfs")

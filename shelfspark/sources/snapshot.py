@@ -25,7 +25,11 @@ POINTERS = "epoch long, schema_version int"
 
 def shared_path(spark: SparkSession) -> str:
     """A fresh path in the folder that driver and executors share (spark.checkpoint.dir), below one folder for the application."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp/shelfspark-checkpoints"
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = "/tmp/shelfspark-checkpoints"  # one machine: driver and executors share it
     return f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
@@ -84,6 +88,45 @@ class SnapshotStore:
         return epoch
 
 
+class PropertyStore:
+    """Media properties (``PROPS``) below one folder, in versions like snapshots; those of another schema version are ignored."""
+
+    def __init__(self, spark: SparkSession, root: str, schema_version: int = SCHEMA_VERSION):
+        self.spark, self.root, self.schema_version = spark, root.rstrip("/"), schema_version
+
+    def _newest(self) -> int | None:
+        try:
+            pointers = self.spark.read.schema(POINTERS).json(f"{self.root}/published")
+        except Exception as missing:
+            if "PATH_NOT_FOUND" not in str(missing):
+                raise
+            return None
+        return pointers.where(F.col("schema_version") == self.schema_version).agg(F.max("epoch")).first()[0]
+
+    def load(self) -> DataFrame:
+        """The newest entries; empty if there are none of this schema version."""
+        newest = self._newest()
+        if newest is None:
+            return self.spark.createDataFrame([], PROPS)
+        return self.spark.read.schema(PROPS).parquet(f"{self.root}/version={newest}")
+
+    def save(self, store: DataFrame) -> int:
+        """Write all entries beside the old ones and point to them."""
+        pointers = self.spark.read.schema(POINTERS).json(f"{self.root}/published").agg(F.max("epoch")).first()[0] if self._any() else 0
+        version = (pointers or 0) + 1
+        store.write.mode("overwrite").parquet(f"{self.root}/version={version}")
+        self.spark.range(1).select(F.lit(version).cast("long").alias("epoch"), F.lit(self.schema_version).alias("schema_version")).write.mode("append").json(f"{self.root}/published")
+        return version
+
+    def _any(self) -> bool:
+        try:
+            return not self.spark.read.schema(POINTERS).json(f"{self.root}/published").isEmpty()
+        except Exception as missing:
+            if "PATH_NOT_FOUND" not in str(missing):
+                raise
+            return False
+
+
 def assign_positions(rows: DataFrame, name: str, order: list[str]) -> DataFrame:
     """``rows`` with ``name``, the position from 0 in the given order: the same however the rows arrive.
 

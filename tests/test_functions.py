@@ -36,8 +36,8 @@ def test_every_latin_character_folds_natively(spark):
 
 
 def test_tokenize_keeps_order_and_repeats(spark):
-    text = fold_text("The anglerfish: The original_approach to deep-sea 日本語 2024!")
-    expected = ["the", "anglerfish", "the", "original", "approach", "to", "deep", "sea", "日本語", "2024"]
+    text = fold_text("A river: a slow_river of blue-green 日本語 1987!")
+    expected = ["a", "river", "a", "slow", "river", "of", "blue", "green", "日本語", "1987"]
     assert tokenize_text(text) == expected
     assert spark.createDataFrame([(text,)], "t string").select(tokenize(F.col("t"))).first()[0] == expected
 
