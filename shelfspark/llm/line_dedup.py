@@ -37,6 +37,8 @@ from .exchange import NO_ID, cut, with_null_ids
 CELLS = 1 << 18
 #: Lines, at most, that meet each other at one word, or at a pair of words without meeting the earliest first.
 MANY = 1024
+#: The numbers of the lines to verify are broadcast up to this size; beyond it, texts are shuffled by document once.
+BROADCAST_BYTES = 32 << 20
 #: A word's scale is STEPS for each doubling of its cell's count.
 STEPS, TOP_SCALE, SHIFT = 3, 62, 57
 SPACE = r"[ \t\x0B\f\r]"
@@ -103,8 +105,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, scales: Column, percent: int, l
     Each line meets the partner of the likest signature first, and the others only if that one does not match.
     """
     ends = pairs.select(*LINE).union(pairs.select("x_doc", "x_line"))
-    wanted = ends.groupBy("doc_id").agg(F.collect_set("line_no").alias("wanted"))
-    texts = docs.select(_own_id(), "text").join(wanted, "doc_id")
+    wanted = cut(ends.groupBy("doc_id").agg(F.collect_set("line_no").alias("wanted")))
+    size = wanted.agg(F.sum(24 + 8 * F.size("wanted")).alias("bytes")).first()["bytes"] or 0
+    texts = docs.select(_own_id(), "text").join(F.broadcast(wanted) if size <= BROADCAST_BYTES else wanted, "doc_id")
     sets = cut(_tokens(_lines(texts, "wanted").where(F.array_contains("wanted", F.col("line_no"))), scales, least_words))
     earlier = sets.select(F.col("doc_id").alias("x_doc"), F.col("line_no").alias("x_line"), F.col("tokens").alias("x_tokens"))
 

@@ -50,6 +50,7 @@ def test_lines_by_words(spark, monkeypatch, percent, least, many, cells):
     """``many`` so small that lines meet at pairs of words, and at the earliest line of a pair first."""
     monkeypatch.setattr(line_dedup, "MANY", many)
     monkeypatch.setattr(line_dedup, "CELLS", cells)
+    monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", 32 << 20 if many > 3 else 0)
     rows = line_rows(percent + least)
     got = removed_lines(spark.createDataFrame(rows, DOCS), percent, least).collect()
     want = gone_by_words(rows, percent, least)
