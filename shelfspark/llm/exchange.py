@@ -17,6 +17,7 @@ executor) packs the same hashes in the same order.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -75,19 +76,26 @@ def _repeats(table: pa.Table) -> bool:
     return table.num_rows != pc.count_distinct(table["doc_id"], mode="all").as_py()
 
 
-def bounds(sorted_hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket begins in sorted hashes; bucket = upper 32 bits * buckets / 2**32."""
-    edges = [(-(-(b << 32) // buckets)) << 32 for b in range(1, buckets)]
-    return np.concatenate(([0], np.searchsorted(sorted_hashes, np.array(edges, np.uint64)), [len(sorted_hashes)]))
+class Cuts(NamedTuple):
+    """The buckets that sorted hashes fall into, in order, and where each begins (and the last ends)."""
 
+    buckets: np.ndarray
+    edges: np.ndarray
 
-def pack(origin: int, kind: int, cuts: np.ndarray, *columns: np.ndarray) -> list[dict]:
+    def spans(self):
+        return zip(self.buckets.tolist(), self.edges[:-1].tolist(), self.edges[1:].tolist(), strict=True)
+
+
+def bounds(sorted_hashes: np.ndarray, buckets: int) -> Cuts:
+    """Bucket = upper 32 bits * buckets / 2**32. The work is in proportion to the hashes, however many buckets there are."""
+    bucket = ((sorted_hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    begins = np.flatnonzero(np.diff(bucket, prepend=bucket[:1] + np.uint64(1))) if len(bucket) else np.zeros(0, np.int64)
+    return Cuts(bucket[begins].astype(np.int64), np.append(begins, len(bucket)))
+
+
+def pack(origin: int, kind: int, cuts: Cuts, *columns: np.ndarray) -> list[dict]:
     """One row for each bucket that gets anything; columns are aligned with the sorted hashes."""
-    rows = []
-    for b, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-        if hi > lo:
-            rows.append({"origin": origin, "kind": kind, "bucket": b, "packed": b"".join(planes(c[lo:hi]) for c in columns)})
-    return rows
+    return [{"origin": origin, "kind": kind, "bucket": b, "packed": b"".join(planes(c[lo:hi]) for c in columns)} for b, lo, hi in cuts.spans()]
 
 
 def planes(values: np.ndarray) -> bytes:
@@ -145,9 +153,9 @@ def answers(side: pa.Table, kind: int) -> Iterator[bytes]:
     return [v.as_py() for v in mine["packed"]]
 
 
-def bits(packed: list[bytes], cuts: np.ndarray) -> np.ndarray:
+def bits(packed: list[bytes], cuts: Cuts) -> np.ndarray:
     """Bit masks by bucket, joined; a bucket that got nothing answered nothing."""
-    sizes = [n for n in np.diff(cuts) if n]
+    sizes = np.diff(cuts.edges)
     return np.concatenate([np.zeros(0, bool), *(np.unpackbits(np.frombuffer(p, np.uint8), count=int(n)).astype(bool) for p, n in zip(packed, sizes, strict=True))])
 
 
