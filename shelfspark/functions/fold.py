@@ -57,15 +57,19 @@ def _fold_any(texts: pd.Series) -> pd.Series:
 
 def fold(text: Column) -> Column:
     """Folded text; null stays null. Python sees only the texts that need it (the others reach it as null)."""
-    latin = text.rlike(_LATIN_ONLY)
+    latin = (F.octet_length(text) == F.length(text)) | text.rlike(_LATIN_ONLY)
     return F.coalesce(F.when(latin, fold_native(text)), _fold_any(F.when(~latin, text)))
 
 
 def fold_native(text: Column) -> Column:
     """The fold of texts of ASCII and Latin letters, without Python; other characters stay as they are."""
+    ascii_only = F.octet_length(text) == F.length(text)
+    longer = text
     for c, to in _LONGER:
-        text = F.replace(text, F.lit(c), F.lit(to))
-    return F.translate(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), _FROM, _TO)
+        longer = F.replace(longer, F.lit(c), F.lit(to))
+    spread = F.when(text.rlike(f"[{''.join(c for c, _ in _LONGER)}]"), longer).otherwise(text)
+    a_z = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ" + _FROM, "abcdefghijklmnopqrstuvwxyz" + _TO)
+    return F.when(ascii_only, F.lower(text)).otherwise(F.translate(spread, *a_z))
 
 
 def tokenize(folded: Column) -> Column:
