@@ -17,9 +17,9 @@ size, which only orders the words, so its collisions cost work and never change
 Lines of equal sets are one from the start, so a frequent line is one row.  A word of at
 most about ``MANY`` lines is a key at which its lines meet; lines whose first shared word is more frequent
 share a second word too (or need one word only), so they meet at pairs of words, of which the
-prefix has one word more.  At a pair of more than ``MANY`` lines these first meet the earliest
-of them only, and those that it removes need no further partner.  Everything is DataFrame
-operations.
+prefix has one word more.  Lines first meet the earliest line of each key only, and those that
+it removes need no further partner: of a group of near copies not all pairs are made.
+Everything is DataFrame operations.
 
 Edge cases: lines with fewer than ``least_words`` words are kept; null texts have no
 lines; a null doc_id comes after all others; rows with one doc_id count as one document
@@ -29,13 +29,13 @@ never cut; other columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .exchange import NO_ID, cut, with_null_ids
 
 CELLS = 1 << 18
-#: Lines, at most, that meet each other at one word, or at a pair of words without meeting the earliest first.
+#: Lines, at most, that meet each other at one word, or at a frequent key without meeting the earliest first.
 MANY = 1024
 #: The numbers of the lines to verify are broadcast up to this size; beyond it, texts are shuffled by document once.
 BROADCAST_BYTES = 32 << 20
@@ -132,15 +132,20 @@ def _keys(lines: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     return rare, alone.unionByName(pairs.select(*row, "pos", F.hash("key", "second").alias("key")))
 
 
-def _gone_by_earliest(keys: DataFrame, docs: DataFrame, scales: Column, percent: int, least_words: int) -> DataFrame:
-    """The lines (doc_id, line_no) that match the earliest line of a key of more than ``MANY`` lines."""
-    many = cut(keys.groupBy("key").count().where(f"count > {MANY}").select("key"))
-    held = keys.join(many, "key")
-    earliest = held.groupBy("key").agg(F.min(F.struct(*LINE, "n", "pos", "bits")).alias("p"))
+def _gone_by_earliest(rare: DataFrame, frequent: DataFrame, docs: DataFrame, scales: Column, percent: int, least_words: int) -> DataFrame:
+    """The lines (doc_id, line_no) that match the earliest line of a rare word, or of a frequent key of more than ``MANY`` lines.
+
+    About ``MANY`` lines at most hold a rare word, so that a running window over them is short.
+    """
+    ends = F.struct(*LINE, "n", "pos", "bits")
+    with_first = rare.withColumn("p", F.first(ends).over(Window.partitionBy("key").orderBy(*LINE)))
+    many = cut(frequent.groupBy("key").count().where(f"count > {MANY}").select("key"))
+    held = frequent.join(many, "key")
+    of_many = held.join(held.groupBy("key").agg(F.min(ends).alias("p")), "key")
     later = "(doc_id > p.doc_id or doc_id = p.doc_id and line_no > p.line_no)"
-    met = held.join(earliest, "key").where(f"{later} and {_may_match('p.', '', 'room', percent)}")
+    met = with_first.unionByName(of_many).where(f"{later} and {_may_match('p.', '', 'room', percent)}")
     pairs = cut(met.select(*LINE, F.col("p.doc_id").alias("x_doc"), F.col("p.line_no").alias("x_line"), F.expr("bit_count(bits ^ p.bits)").alias("differ")).distinct())
-    return pairs.select(*LINE) if pairs.isEmpty() else _verified(pairs, docs, scales, percent, least_words)
+    return _verified(pairs, docs, scales, percent, least_words)
 
 
 def first_lines(docs: DataFrame, percent: int = 80, least_words: int = 1) -> DataFrame:
@@ -148,8 +153,7 @@ def first_lines(docs: DataFrame, percent: int = 80, least_words: int = 1) -> Dat
     docs = docs.select("doc_id", "text")
     scales = rarity(docs)
     lines = cut(_prefixed(docs, scales, percent, least_words))
-    _, frequent = _keys(lines.withColumn("room", F.col("n")), percent)
-    gone = cut(_gone_by_earliest(frequent, docs, scales, percent, least_words))
+    gone = cut(_gone_by_earliest(*_keys(lines.withColumn("room", F.col("n")), percent), docs, scales, percent, least_words))
 
     # Both sides of the join are one exchange: a line that is gone has no room for a match, but may be one.
     rare, frequent = _keys(lines.join(gone.withColumn("gone", F.lit(True)), LINE, "left").withColumn("room", F.expr("if(gone, 0, n)")), percent)

@@ -18,7 +18,8 @@ missed, and links inside a component are not needed.
 Edge cases: a text with fewer words than a shingle is one shingle; without words
 or text a document has none and is linked with nothing; rows with one doc_id are
 one document that holds all their texts (n_shingles: the largest); null doc_ids
-count as one document; other columns are ignored; an empty table gives no rows.
+count as one document; a very long text is a block of its own, whole; other columns
+are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -214,8 +215,27 @@ def ngram_jaccard_components(docs: DataFrame, shingle_words: int = 5, percent: i
     """Per document: doc_id, n_shingles and component_id, the least doc_id reachable by links.
 
     Two documents link when the Jaccard similarity of their sets of lower-cased word
-    shingles is at least ``percent`` / 100.
+    shingles is at least ``percent`` / 100.  A document of several texts is in the component of each.
     """
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(X.NO_ID)).alias("doc_id"), "text")
+    held = rows.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("least"), F.max(F.xxhash64("text")).alias("most"))
+    if held.where("least <> most").isEmpty():  # one text for each doc_id
+        return _linked(docs, shingle_words, percent)
+    texts = X.cut(rows.distinct().withColumn("key", F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 63) - 1))))
+    one = X.cut(_linked(texts.select(F.col("key").alias("doc_id"), "text"), shingle_words, percent))
+    texts = texts.select("doc_id", "key").join(one.withColumnRenamed("doc_id", "key").distinct(), "key")
+    of_doc = texts.groupBy("doc_id").agg(F.min("key").alias("a"))
+    edges = texts.join(of_doc, "doc_id").select("a", F.col("key").alias("b")).unionByName(texts.select(F.col("component_id").alias("a"), F.col("key").alias("b")))
+    comp = components(X.cut(edges.where("a <> b").distinct()), "a", "b").select(F.col("doc_id").alias("key"), F.col("component_id").alias("whole"))
+    texts = X.cut(texts.join(comp, "key", "left").withColumn("whole", F.coalesce("whole", "key")))
+    least = texts.groupBy("whole").agg(F.min("doc_id").alias("component_id"))
+    found = texts.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"), F.min("whole").alias("whole")).join(least, "whole")
+    out = rows.select("doc_id").join(found, "doc_id").select("doc_id", "n_shingles", "component_id")
+    return X.with_null_ids(out).withColumn("component_id", F.when(F.col("component_id") != X.NO_ID, F.col("component_id")))
+
+
+def _linked(docs: DataFrame, shingle_words: int, percent: int) -> DataFrame:
+    """:func:`ngram_jaccard_components` of documents with one text each."""
     members = X.cut(copies_of(docs))
     found = _prefixes(docs, members.where("doc_id <> first").select("doc_id"), shingle_words, percent)
     able = found.where(F.size("tokens") > 0)

@@ -85,6 +85,14 @@ def test_near_copies_odd_tables(spark):
     assert got == [(-1, 7), (7, 7), (7, 7), (9, 9)]
 
 
+def test_documents_of_several_texts(spark):
+    """A document is linked by each of its texts, also one whose other text is a copy; null ids are one document."""
+    one, two, three = (" ".join(f"{c}{i}" for i in range(40)) for c in "abc")
+    rows = [(1, one), (5, one), (5, two), (8, two + " end"), (9, three), (None, three), (None, "x y z a b c"), (20, "x y z a b c"), (30, "q r s t u"), (31, None), (31, "")]
+    got = {(r["doc_id"] or -1, r["n_shingles"], r["component_id"]) for r in ngram_jaccard_components(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {(1, 36, 1), (5, 36, 1), (8, 37, 1), (9, 36, 9), (-1, 36, 9), (20, 2, 9), (30, 1, 30), (31, 0, 31)}
+
+
 def test_prefix_lengthens_where_candidates_are_many():
     import numpy as np
 
