@@ -372,7 +372,7 @@ def plain_model(monkeypatch, spark, rows, out, classes, **how):
     return got, tokens, c, class_of, step, emit
 
 
-@pytest.mark.parametrize(("share", "least"), [(2e-3, 2), (1e-5, 1), (0.5, 3)])
+@pytest.mark.parametrize(("share", "least"), [(5e-4, 2), (1e-5, 1), (0.5, 3)])
 def test_scores_are_those_of_a_plain_class_model(spark, monkeypatch, share, least):
     rows = language(spark)[:250] + [(900, "new words ab zz")]
     got, tokens, c, class_of, step, emit = plain_model(monkeypatch, spark, rows, F.col("doc_id") % 5 == 0, 6, core_share=share, suffixes=16, sweeps=3, least_count=least)
