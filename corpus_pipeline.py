@@ -10,7 +10,6 @@ doc_id stand and fall together.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from shelfspark.llm.decontaminate import benchmark_hits
 from shelfspark.llm.exchange import cut
