@@ -93,6 +93,19 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed_lines"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import collocations
+
+    return collocations(_read(spark, sf_dir, "documents"), least=100, most_words=5, top=2000)
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .importance import importance_resampled
+
+    out = importance_resampled(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), percent=25, least_words=20)
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_url_filter": op2_url_filter,
@@ -104,8 +117,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_join": op8_ngram_join,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_line_dedup": op10_line_dedup,
+    "op12_collocations": op12_collocations,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 ORACLE: dict[str, str] = {
@@ -192,6 +208,39 @@ l AS (SELECT *, count_if(lab) OVER (PARTITION BY host, t) AS el, count_if(blk) O
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/en/', 'net/es/', 'net/fr/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
     WHEN el >= 5 AND (eb + 2.0::DOUBLE * coalesce((SELECT share FROM z), 0)) / (el + 2.0::DOUBLE) >= 0.8 THEN 'block' ELSE 'allow' END AS verdict,
     host || t AS template FROM l""",
+    "op12_collocations": rf"""
+WITH p AS (SELECT row_number() OVER () AS id, coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT id, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+g AS (SELECT lang, k, array_to_string(ws[i:i+k-1], ' ') AS phrase FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, range(1, 6) t(k) WHERE len(ws) >= k)),
+f AS MATERIALIZED (SELECT lang, k, phrase, CAST(count(*) AS HUGEINT) AS f FROM g GROUP BY ALL),
+t AS (SELECT lang, sum(f)::HUGEINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k AS size, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND f >= 100),
+q AS MATERIALIZED (SELECT lang, phrase, f FROM f WHERE f >= 100),
+u AS MATERIALIZED (SELECT lang, phrase, a, k, array_to_string(ws[1:k], ' ') AS lp, array_to_string(ws[k+1:], ' ') AS rp FROM (SELECT c.*, unnest(range(1, size)) AS k FROM c)),
+x AS (SELECT u.lang, u.phrase, u.a, u.k, l.f AS l, r.f AS r, n, (1000 * a * n) // (l.f * r.f) AS score FROM u
+  JOIN q l ON l.lang = u.lang AND l.phrase = lp JOIN q r ON r.lang = u.lang AND r.phrase = rp JOIN t ON t.lang = u.lang),
+s AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (SELECT lang, array_to_string(ws[b:b+m-1], ' ') AS phrase, max(a) AS longer FROM (SELECT lang, ws, a, m, unnest(range(1, size - m + 2)) AS b FROM c, range(2, 5) t(m) WHERE m < size) GROUP BY ALL),
+o AS (SELECT s.* FROM s LEFT JOIN i USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * a),
+z AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM o)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM z WHERE rank <= 2000""",
+    "op13_importance_resampling": rf"""
+WITH crc AS (SELECT list_transform(range(256), lambda b: list_reduce(list_concat([b], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+e AS (SELECT regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+g AS (SELECT doc_id, array_to_string(ws[i:i+m-1], ' ') AS feature FROM (SELECT doc_id, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM d, range(1, 3) k(m) WHERE len(ws) >= m)),
+h AS (SELECT array_to_string(ws[i:i+m-1], ' ') AS feature FROM (SELECT ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM e, range(1, 3) k(m) WHERE len(ws) >= m)),
+v AS (SELECT DISTINCT feature, hex(encode(feature)) AS x FROM (SELECT feature FROM g UNION ALL SELECT feature FROM h)),
+b AS (SELECT feature, xor(list_reduce(list_transform(range(length(x) // 2), lambda j: ('0x' || substr(x, 2 * j + 1, 2))::BIGINT), lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1]), 4294967295), 4294967295) % 10000 AS bucket FROM v, crc),
+s AS (SELECT bucket, count(*) AS s FROM g JOIN b USING (feature) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM h JOIN b USING (feature) GROUP BY bucket),
+w AS (SELECT n.bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(s), 0) FROM s) + 10000)::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM t) + 10000)::DOUBLE)))::BIGINT AS gain
+      FROM (SELECT DISTINCT bucket FROM b) n LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)),
+m AS (SELECT doc_id, count(*) AS n_features, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM g JOIN b USING (feature) JOIN w USING (bucket) GROUP BY doc_id),
+r AS (SELECT d.doc_id, len(ws) AS words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+        coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || d.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM d LEFT JOIN m USING (doc_id)),
+k AS (SELECT *, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id) AS place, count_if(words >= 20) OVER () AS able FROM r)
+SELECT doc_id, n_features::BIGINT AS n_features, weight::BIGINT AS weight, score::BIGINT AS score, CASE WHEN words >= 20 AND place <= 25 * able // 100 THEN place END::BIGINT AS rank FROM k""",
     "op10_line_dedup": r"""
 WITH l AS (SELECT doc_id, i - 1 AS i, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
 e AS (SELECT doc_id, i, list_sort(list_distinct(regexp_extract_all(lower(line), '[^ \t\x0B\f\r]+'))) AS ws FROM l),
