@@ -93,6 +93,13 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed_lines"))
 
 
+def op11_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_crf import quality_scores
+
+    out = quality_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), F.crc32(F.col("doc_id").cast("string")) % 4 == 2)
+    return out.select("doc_id", "held_out", "score", "predicted")
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .collocations import collocations
 
@@ -117,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_join": op8_ngram_join,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_line_dedup": op10_line_dedup,
+    "op11_line_crf": op11_line_crf,
     "op12_collocations": op12_collocations,
     "op13_importance_resampling": op13_importance_resampling,
 }
