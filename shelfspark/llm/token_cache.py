@@ -15,7 +15,8 @@ faster; texts with other characters, or with a special token's string, go to
 
 Edge cases: null and empty texts have 0 tokens; repeated texts are encoded once; a
 row that two runs appended to the cache counts once; null doc_ids are kept; other
-columns are ignored; an empty table encodes nothing.
+columns are ignored; a very long text is encoded whole, in a block of its own; an empty
+table encodes nothing.
 """
 
 from __future__ import annotations
@@ -108,19 +109,17 @@ def encode_misses(docs: DataFrame, source: str, cache: str) -> None:
     ship_package(spark)
     digested = _digested(docs)
     known = read_cache(spark, cache).where(F.col("tokenizer") == version).select("digest")
-    misses = digested.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).join(known, "digest", "left_anti")
-    texts = digested.select("doc_id", "digest", "text").join(misses, ["doc_id", "digest"], "left_semi").select("digest", "text")
+    # Copies meet by digest, one of each task; so a text is one row, wherever its copies lie and however Spark joins.
+    texts = digested.groupBy("digest").agg(F.first("text").alias("text")).join(known, "digest", "left_anti")
     shared = spark.sparkContext.broadcast(source)
 
     def part(batches):
         if version not in _encoders:
             _encoders[version] = Encoder(shared.value)
-        done: set[bytes] = set()  # repeated rows of one document are in one partition
         for batch in batches:
             for block in W.in_blocks(pa.Table.from_batches([batch]), "text"):
-                new = {d: t for d, t in zip(block["digest"].to_pylist(), block["text"].to_pylist(), strict=True) if d not in done}
-                done.update(new)
-                yield pa.RecordBatch.from_pydict({"digest": pa.array(list(new), pa.binary()), "tokenizer": pa.array([version] * len(new), pa.string()), "n_tokens": pa.array(_encoders[version].count(list(new.values())), pa.int64())})
+                counts = _encoders[version].count(block["text"].to_pylist())
+                yield pa.RecordBatch.from_pydict({"digest": block["digest"].combine_chunks(), "tokenizer": pa.array([version] * len(counts), pa.string()), "n_tokens": pa.array(counts, pa.int64())})
 
     texts.mapInArrow(part, CACHE).write.mode("append").parquet(cache)
 

@@ -223,6 +223,21 @@ def test_token_counts(spark, tokenizer, tmp_path):
     assert count_tokens(docs.limit(0), tokenizer).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", ["-1", "10485760"])
+def test_a_text_is_encoded_once_wherever_its_copies_lie(spark, tokenizer, tmp_path, broadcast):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        docs = spark.createDataFrame([(1, "one text " * 3000)] * 40 + [(2, "another")] * 3, DOCS).repartition(8)
+        cache = str(tmp_path / "cache")
+        for _ in range(2):
+            encode_misses(docs, tokenizer, cache)
+            assert read_cache(spark, cache).count() == 2
+        assert count_tokens(docs, tokenizer, cache).where("doc_id = 1").distinct().count() == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_both_libraries_count_alike(tokenizer):
     from tokenizers import Tokenizer
 
@@ -397,6 +412,29 @@ def test_newcomers_go_where_the_objective_is_highest():
         assert math.isclose(with_it[k - 1], max(with_it))
 
 
+@pytest.mark.parametrize("seed", range(40))
+def test_newcomers_over_many_tables(seed):
+    rng = np.random.default_rng(seed)
+    k = int(rng.choice([3, 8, 24]))
+    m = rng.integers(0, 60, (k, k)).astype(float) * (rng.random((k, k)) < 0.6)
+    right, left = (rng.integers(0, 9, (12, k)) * (rng.random((12, k)) < 0.3) for _ in range(2))
+    for t, found in enumerate(brown.newcomers(m, right, left)):
+        with_it = []
+        for c in range(1, k):
+            x = m.copy()
+            x[c] += right[t]
+            x[:, c] += left[t]
+            with_it.append(brown.objective(x))
+        assert math.isclose(with_it[found - 1], max(with_it), abs_tol=1e-9)
+
+
+def test_limits_of_the_class_numbers(spark):
+    docs = spark.createDataFrame([(1, "a b")], DOCS)
+    for classes in (1, 257):
+        with pytest.raises(ValueError, match="classes"):
+            class_model_scores(docs, F.lit(False), classes=classes)
+
+
 def test_scores_of_odd_tables(spark):
     never = F.lit(False)
     assert class_model_scores(spark.createDataFrame([], DOCS), never).count() == 0
