@@ -8,13 +8,13 @@ is rarer, infrequent, or beyond the piece of text, and at most ``most_words - 1`
 side.  All occurrences of a phrase are in fragments of its pivot, each in one of them, so a
 partition counts its phrases alone and emits only those that its pivots own.
 
-Equal fragments are sent once with their number.  Fragments of one word and one block of
-text are one row.  The fragments of a word with more than ``SPLIT`` occurrences are dealt to
-several partitions, whose counts are added up before the threshold is applied, so neither a
-frequent word nor a frequent passage is one task's work.
+Equal fragments are sent once with their number, and all fragments for one partition, of one
+language, as one row (see ``exchange``).  The fragments of a word with more than ``SPLIT``
+occurrences are dealt to several partitions, whose counts are added up before the threshold is
+applied, so neither a frequent word nor a frequent passage is one task's work.
 
-Words reach the texts' partitions by a join of distinct words by block, so the table of frequent words
-may be of any size.  Every word and run is compared by its bytes, not by a hash.
+Origins ask for the occurrences of their distinct words by a packed exchange, so the table of
+frequent words may be of any size.  Words and runs are compared by their bytes, not by hashes.
 
 A phrase's score is that of its lowest-scoring cut in two: floor(1000 * a * n / (l * r)), with
 the occurrences a of the phrase, l and r of its parts, and n of all words of the language, in
@@ -22,7 +22,7 @@ exact decimal arithmetic.  Phrases inside a longer one that occurs as often are
 
 Edge cases: null and empty texts have no words; a null language is ``und``; rows that share a
 doc_id, or have none, are texts of their own; repeated rows count each; equal scores go by
-occurrences, then by phrase in byte order; a very long text is a block of its own, whole; other columns are
+occurrences, then by phrase in byte order; a very long text stays whole; other columns are
 ignored, whatever their names; an empty table gives no rows.
 """
 
@@ -43,8 +43,9 @@ from . import words as W
 
 PIECE_ENDS = W._flags(lambda b: chr(b) in ".,;:!?" or 0x0A <= b <= 0x0D)
 BETWEEN = PIECE_ENDS | W._flags(lambda b: b in (0x20, 0x09))
-WORDS = "lang string, word string, n long"
-HELD = "origin int, lang string, word string"
+WORDS = "bucket int, lang string, word string, n long"
+KEYS, COUNTS = range(2)
+TAB = pa.scalar("\t", pa.large_string())
 FRAGMENTS = "bucket int, lang string, split boolean, texts binary, places binary, counts binary"
 FOUND = "lang string, phrase string, n long, partial boolean"
 #: Occurrences that one partition counts, about.
@@ -109,33 +110,90 @@ def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.bincount(number, minlength=len(first))
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(lang, word, n): occurrences of every word."""
+class Words(NamedTuple):
+    """The distinct words of a block, in the order of their hashes: language, a tab and the word; first token, occurrences, hash; and the number of each token's word."""
 
-    def count(batches):
+    keys: pa.Array
+    first: np.ndarray
+    n: np.ndarray
+    hashes: np.ndarray
+    of: np.ndarray
+
+
+def distinct_words(t: Tokens) -> Words:
+    number = _numbered(t.lang.astype(np.int64) * len(t.words) + t.word)
+    n = np.bincount(number)
+    first = np.zeros(len(n), np.int64)
+    first[number[::-1]] = np.arange(len(number))[::-1]
+    keys = pc.binary_join_element_wise(t.langs.take(t.lang[first]).cast(pa.large_string()), t.words.take(t.word[first]), TAB)
+    hashes = _hashes(keys)
+    order = np.argsort(hashes, kind="stable")
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    return Words(keys.take(order), first[order], n[order], hashes[order], place[number])
+
+
+def _packed(w: Words, origin: int, buckets: int) -> list[dict]:
+    """A row for each bucket: number of words, their lengths, their occurrences, their bytes."""
+    data, bounds = W.text_bytes(w.keys)
+    size = np.diff(bounds).astype(np.int32)
+    pack = lambda a, b: b"".join(x.tobytes() for x in (np.array([b - a]), size[a:b], w.n[a:b], data[bounds[a] : bounds[b]]))
+    return [{"origin": origin, "kind": KEYS, "bucket": k, "packed": pack(a, b)} for k, a, b in X.bounds(w.hashes, buckets).spans()]
+
+
+def _unpacked(packed: list) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(words, occurrences, where each pack begins and the last ends)."""
+    sizes, counts, data = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], []
+    for p in packed:
+        n = int(np.frombuffer(p, np.int64, 1)[0])
+        sizes.append(np.frombuffer(p, np.int32, n, 8))
+        counts.append(np.frombuffer(p, np.uint8, 8 * n, 8 + 4 * n).view(np.int64))
+        data.append(np.frombuffer(p, np.uint8, offset=8 + 12 * n))
+    offsets = np.concatenate(([0], np.cumsum(np.concatenate(sizes), dtype=np.int64)))
+    words = pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.concatenate(data) if data else np.zeros(0, np.uint8))])
+    return words, np.concatenate(counts), np.cumsum([0, *map(len, sizes[1:])])
+
+
+def word_counts(docs: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, lang, word, n): occurrences of every word."""
+
+    def send(batches):
         for batch in batches:
-            for block in W.in_blocks(pa.Table.from_batches([batch]), "text"):
-                t = tokens_of(block)
-                first, n = _groups(t.lang.astype(np.int64) * len(t.words) + t.word)
-                yield pa.RecordBatch.from_pydict({"lang": t.langs.take(t.lang[first]).cast(pa.string()), "word": t.words.take(t.word[first]).cast(pa.string()), "n": n})
+            for block in W.in_blocks(pa.Table.from_batches([batch]), "text", X.ORIGIN_BYTES):
+                yield from X.table_of(_packed(distinct_words(tokens_of(block)), 0, buckets)).to_batches()
+
+    def count(key, table):
+        words, n, _ = _unpacked([v.as_buffer() for v in table["packed"]])
+        words = pc.dictionary_encode(words)
+        total = np.bincount(words.indices.to_numpy(), weights=n, minlength=len(words.dictionary)).astype(np.int64)
+        parts = pc.split_pattern(words.dictionary, "\t", max_splits=1, reverse=True)
+        columns = [pa.array(np.full(len(total), key[0].as_py(), np.int32)), *(pc.list_element(parts, i).cast(pa.string()) for i in (0, 1)), pa.array(total)]
+        return pa.table(columns, schema=pa.schema([("bucket", pa.int32()), ("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())]))
+
+    return docs.select("lang", "text").mapInArrow(send, X.PACKED).groupBy("bucket").applyInArrow(count, WORDS)
+
+
+def _asked(texts: DataFrame, often: DataFrame, buckets: int) -> DataFrame:
+    """For each origin and bucket the occurrences in all texts of the origin's distinct words, in their order; 0 if a word is infrequent."""
 
-    return docs.select("lang", "text").mapInArrow(count, WORDS).groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    def reply(key, sent, own):
+        words, _, edges = _unpacked([v.as_buffer() for v in sent["packed"]])
+        known = pc.binary_join_element_wise(own["lang"].combine_chunks().cast(pa.large_string()), own["word"].combine_chunks().cast(pa.large_string()), TAB)
+        at = pc.index_in(words, value_set=known).fill_null(-1).to_numpy()
+        n = np.append(own["n"].to_numpy(), 0)[at]  # the last stands for words that are not known
+        return X.table_of([{"origin": o, "kind": COUNTS, "bucket": key[0].as_py(), "packed": X.planes(n[a:b])} for o, a, b in zip(sent["origin"].to_pylist(), edges[:-1], edges[1:], strict=True)])
 
+    sent = X.alone(texts, lambda origin, table: X.table_of(_packed(distinct_words(tokens_of(table)), origin, buckets)), X.PACKED)
+    return sent.groupBy("bucket").cogroup(often.select("bucket", "lang", "word", "n").groupBy("bucket")).applyInArrow(reply, X.PACKED)
 
-def _ranks(t: Tokens, side: pa.Table, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each word occurrence's place in its language's order, rarer first, -1 if it is infrequent; and its word's occurrences in all texts."""
+
+def _ranks(t: Tokens, w: Words, n: np.ndarray, least: int) -> np.ndarray:
+    """Each distinct word's place in the order of rarity, ties by bytes; -1 if it is infrequent. Only words of one language are compared."""
     order = np.empty(len(t.words), np.int64)
     order[pc.sort_indices(t.words).to_numpy()] = np.arange(len(t.words))
-    rank, often = np.full(len(t.word), -1, np.int64), np.zeros(len(t.word), np.int64)
-    for code, lang in enumerate(t.langs.to_pylist()):
-        known = side.filter(pc.equal(side["lang"], lang))
-        at = pc.index_in(t.words, value_set=known["word"].combine_chunks().cast(pa.large_string())).fill_null(-1).to_numpy()
-        n = np.append(known["n"].to_numpy(), 0)[at]  # the last stands for words that are not known
-        place = np.empty(len(n), np.int64)
-        place[np.lexsort((order, n))] = np.arange(len(n))
-        mine = t.lang == code
-        rank[mine], often[mine] = np.where(n >= least, place, -1)[t.word[mine]], n[t.word[mine]]
-    return rank, often
+    place = np.empty(len(n), np.int64)
+    place[np.lexsort((order[t.word[w.first]], n))] = np.arange(len(n))
+    return np.where(n >= least, place, -1)
 
 
 def reach(rank: np.ndarray, piece: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -153,14 +211,14 @@ def reach(rank: np.ndarray, piece: np.ndarray, most: int) -> tuple[np.ndarray, n
     return before, after
 
 
-def fragments_of(block: pa.Table, side: pa.Table, least: int, most: int, buckets: int, split: int) -> pa.Table:
-    """The fragments of a block's words: a row for each word and part, with its distinct fragments."""
-    t = tokens_of(block)
-    rank, often = _ranks(t, side, least)
+def fragments_of(table: pa.Table, answered: np.ndarray, least: int, most: int, buckets: int, split: int) -> pa.Table:
+    """The distinct fragments of an origin's words, a row for each partition and language. ``answered``: occurrences of the distinct words in all texts."""
+    t = tokens_of(table)
+    w = distinct_words(t)
+    rank = _ranks(t, w, answered, least)[w.of]
     before, after = reach(rank, t.piece, most)
     size = before + after + 1
-    base = _numbered(t.lang.astype(np.int64) * len(t.words) + t.word)
-    numbers = runs(base, 2 * most - 1)
+    numbers = runs(w.of, 2 * most - 1)
     pivot, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for k in range(2, 2 * most):
         at = np.flatnonzero(size == k)
@@ -168,32 +226,22 @@ def fragments_of(block: pa.Table, side: pa.Table, least: int, most: int, buckets
         pivot.append(at[first])
         n.append(count)
     pivot, n = np.concatenate(pivot), np.concatenate(n)
-
-    # A word's fragments, and those of one part of a frequent word, stand together.
-    lo, hi = t.starts[pivot - before[pivot]], t.ends[pivot + after[pivot]]
-    parts = 1 + often[pivot] // split
-    part = np.zeros(len(pivot), np.int64)
+    word = w.of[pivot]
+    parts = 1 + answered[word] // split
+    part = np.zeros(len(pivot), np.uint64)
     many = np.flatnonzero(parts > 1)
     if len(many):
-        texts = _joined(t, pivot[many] - before[pivot[many]], size[pivot[many]])
-        text, ends = W.text_bytes(texts)
-        part[many] = (W.span_hashes(W.Spans(text, ends[:-1], ends[1:], np.array([0, len(many)]))) % parts[many].astype(np.uint64)).astype(np.int64)
-    order = np.lexsort((hi - lo, part, base[pivot]))
-    pivot, n, part, parts = pivot[order], n[order], part[order], parts[order]
-    begins = np.flatnonzero(np.diff(base[pivot], prepend=-1) | np.diff(part, prepend=-1))
+        part[many] = _hashes(_joined(t, pivot[many] - before[pivot[many]], size[pivot[many]])) % parts[many].astype(np.uint64)
+    bucket = (W.mix(w.hashes[word] + part) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((word, parts > 1, t.lang[pivot], bucket))
+    pivot, n, bucket, divided = pivot[order], n[order], bucket[order], parts[order] > 1
+    lang = t.lang[pivot]
+    begins = np.flatnonzero((np.diff(bucket, prepend=-1) != 0) | (np.diff(lang, prepend=-1) != 0) | (np.diff(divided.astype(np.int8), prepend=-1) != 0))
     edges = np.append(begins, len(pivot))
-
-    texts = _joined(t, pivot - before[pivot], size[pivot])
-    data, bounds = W.text_bytes(texts)
-    of = pivot[begins]
-    key = _hashes(t.words)[t.word[of]] ^ W.mix(_hashes(t.langs)[t.lang[of]] + part[begins].astype(np.uint64))
-    cut = lambda values: [values[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    return pa.table(
-        {
-            "bucket": pa.array((W.mix(key) % np.uint64(buckets)).astype(np.int32)), "lang": t.langs.take(t.lang[of]).cast(pa.string()), "split": parts[begins] > 1,
-            "texts": pa.array([data[a:b].tobytes() for a, b in zip(bounds[edges[:-1]], bounds[edges[1:]], strict=True)], pa.binary()), "places": pa.array(cut(before[pivot].astype(np.int8)), pa.binary()), "counts": pa.array(cut(n), pa.binary()),
-        }
-    )
+    data, bounds = W.text_bytes(_joined(t, pivot - before[pivot], size[pivot]))
+    cut = lambda values, at: pa.array([values[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
+    columns = (bucket[begins].astype(np.int32), t.langs.take(lang[begins]).cast(pa.string()), divided[begins], cut(data, bounds[edges]), cut(before[pivot].astype(np.int8), edges), cut(n.astype(np.int32), edges))
+    return pa.table(dict(zip(X.pa_schema(FRAGMENTS).names, columns, strict=True)))
 
 
 def _hashes(strings: pa.Array) -> np.ndarray:
@@ -219,7 +267,7 @@ def mine(table: pa.Table, least: int, most: int) -> pa.Table:
     """The phrases of a partition that hold their fragment's pivot, and how often they occur."""
     data = np.frombuffer(b"".join(table["texts"].to_pylist()), np.uint8)
     place = np.frombuffer(b"".join(table["places"].to_pylist()), np.int8).astype(np.int64)
-    count = np.frombuffer(b"".join(table["counts"].to_pylist()), np.int64)
+    count = np.frombuffer(b"".join(table["counts"].to_pylist()), np.int32)
     ends = np.flatnonzero(data == 0x0A)
     s = W.split(data, np.concatenate(([0], ends + 1)), BETWEEN)
     lang = pc.dictionary_encode(table["lang"].combine_chunks())
@@ -247,29 +295,20 @@ def mine(table: pa.Table, least: int, most: int) -> pa.Table:
 
 
 def frequent_phrases(docs: DataFrame, least: int = 100, most_words: int = 5, split: int = SPLIT) -> tuple[DataFrame, DataFrame]:
-    """((lang, word, n) of all words, (lang, phrase, n) of the phrases of 2 to ``most_words`` words with at least ``least`` occurrences)."""
+    """((bucket, lang, word, n) of all words, (lang, phrase, n) of the phrases of 2 to ``most_words`` words with at least ``least`` occurrences)."""
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
     ship_package(docs.sparkSession)
-    counts = X.cut(word_counts(docs))
-    often = counts.where(F.col("n") >= least)
     plan = X.Plan(docs)
-    buckets = max(1, int(counts.agg(F.sum("n")).first()[0] or 0) // split)
+    counts = X.cut(word_counts(docs, plan.buckets))
+    often = counts.where(F.col("n") >= least)
+    partitions = max(1, int(counts.agg(F.sum("n")).first()[0] or 0) // split)
     texts = X.by_origin(docs, plan, "text", "lang")
 
-    def held(origin, table):
-        out = []
-        for block in W.in_blocks(table, "text"):
-            t = tokens_of(block)
-            first, _ = _groups(t.lang.astype(np.int64) * len(t.words) + t.word)
-            out.append(pa.table({"lang": t.langs.take(t.lang[first]).cast(pa.string()), "word": t.words.take(t.word[first]).cast(pa.string())}).group_by(["lang", "word"]).aggregate([]))
-        found = pa.concat_tables(out).group_by(["lang", "word"]).aggregate([])
-        return found.add_column(0, "origin", pa.array(np.full(len(found), origin, np.int32))).cast(X.pa_schema(HELD))
-
     def rewrite(origin, table, side):
-        return pa.concat_tables(fragments_of(block, side, least, most_words, buckets, split) for block in W.in_blocks(table, "text"))
+        answered = np.concatenate([np.zeros(0, np.int64), *(X.unpack(p, np.int64)[0] for p in X.answers(side, COUNTS))])
+        return fragments_of(table, answered, least, most_words, partitions, split)
 
-    side = X.alone(texts, held, HELD).join(often, ["lang", "word"]).select("origin", "lang", "word", "n")
-    fragments = X.with_side(texts, side, rewrite, FRAGMENTS)
+    fragments = X.with_side(texts, _asked(texts, often, plan.buckets), rewrite, FRAGMENTS)
     found = X.cut(fragments.groupBy("bucket").applyInArrow(lambda table: mine(table, least, most_words), FOUND))
     added = found.where("partial").groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     return counts, X.cut(found.where("not partial").select("lang", "phrase", "n").unionByName(added))
