@@ -13,7 +13,7 @@ from shelfspark.operators import changes, dupes, enrich, search, tree
 from shelfspark.queries import _contents, _hits, _PARTS, _read, _score_sql, _seeded, _SEEDED, part_library, query
 from shelfspark.sources import records, volumes
 from shelfspark.sources.snapshot import EmptySnapshot, PropertyStore, SnapshotStore, cut, shared_path
-from shelfspark.streaming import journal
+from shelfspark.streaming import journal, source
 
 # ---- binary records ------------------------------------------------------------------------
 
@@ -26,16 +26,24 @@ def _buffers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def part(batches):
         for batch in batches:
-            out = []
-            for e, ticks, user, kind in zip(*(batch[c].to_pylist() for c in ("event_id", "ticks", "user_id", "event_type")), strict=True):
-                name = f"{kind} {e}.{'txt' if e % 3 == 0 else 'mp4'}".encode("utf-16-le")
-                reason = {"error": 0x200, "view": 0x100, "click": 0x1000}.get(kind, 0x2000)
-                length = -(-(60 + len(name)) // 8) * 8
-                out.append(struct.pack("<IHHqqqqIIIIHH", length, 3 if e % 50 == 7 else 2, 0, e + 1000, user, e, ticks, reason, 0, 0, 0x10 if user % 10 == 0 else 0x20, len(name) + (e % 50 == 8), 60) + name + bytes(length - 60 - len(name)))
-            yield pa.RecordBatch.from_pydict({"source": pa.array(["events"], pa.string()), "content": pa.array([b"".join(out)], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"source": pa.array(["events"], pa.string()), "content": pa.array([_packed(batch)], pa.binary())})
 
+    return _events(spark, sf_dir).mapInArrow(part, "source string, content binary")
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     ticks = (F.unix_micros(F.col("ts").cast("timestamp")) * 10 + media.EPOCH_TICKS).alias("ticks")
-    return _read(spark, sf_dir, "events").select("event_id", ticks, "user_id", "event_type").mapInArrow(part, "source string, content binary")
+    return _read(spark, sf_dir, "events").select("event_id", ticks, "user_id", "event_type")
+
+
+def _packed(events: pa.RecordBatch | pa.Table) -> bytes:
+    out = []
+    for e, ticks, user, kind in zip(*(events[c].to_pylist() for c in ("event_id", "ticks", "user_id", "event_type")), strict=True):
+        name = f"{kind} {e}.{'txt' if e % 3 == 0 else 'mp4'}".encode("utf-16-le")
+        reason = {"error": 0x200, "view": 0x100, "click": 0x1000}.get(kind, 0x2000)
+        length = -(-(60 + len(name)) // 8) * 8
+        out.append(struct.pack("<IHHqqqqIIIIHH", length, 3 if e % 50 == 7 else 2, 0, e + 1000, user, e, ticks, reason, 0, 0, 0x10 if user % 10 == 0 else 0x20, len(name) + (e % 50 == 8), 60) + name + bytes(length - 60 - len(name)))
+    return b"".join(out)
 
 
 def _decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,6 +205,34 @@ def merge_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.apply_changes(files, dirs, rows, answers).files.select("frn", "dir")
 
 
+def _journal_buffers(events: DataFrame) -> DataFrame:
+    """Buffers of 2,000 sequence numbers of two volumes."""
+
+    def buffer(key, table):
+        table = table.sort_by("event_id")
+        return pa.table({"volume": pa.array([key[0].as_py()]), "journal_id": pa.array([7], pa.int64()), "first_usn": pa.array([table["event_id"][0].as_py()], pa.int64()), "content": pa.array([_packed(table)], pa.binary())})
+
+    keyed = events.select("*", F.when(F.col("user_id") % 2 == 0, "D").otherwise("E").alias("volume"), F.floor(F.col("event_id") / 2000).alias("part"))
+    return keyed.groupBy("volume", "part").applyInArrow(buffer, "volume string, journal_id long, first_usn long, content binary")
+
+
+@query(
+    "journal_stream_resume",
+    _RECORDS + " SELECT usn AS seq, CASE WHEN event_type = 'error' THEN 'gone' ELSE 'present' END AS op, CASE WHEN parent_frn % 2 = 0 THEN 'D' ELSE 'E' END AS volume, frn, parent_frn, name, is_dir FROM r WHERE ok AND event_type <> 'click'",
+)
+def journal_stream_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two volumes' journals as a stream that stops twice and goes on from its checkpoint, the second time in the middle of a buffer."""
+    events, folder = _events(spark, sf_dir), shared_path(spark)
+    last = events.agg(F.max("event_id")).first()[0]
+    source.write_buffers(_journal_buffers(events), f"{folder}/journals")
+    for upto in (last // 3, last // 2, last + 1):
+        for volume in "DE":
+            source.write_state(f"{folder}/journals", volume, 7, 0, upto)
+        stream = journal.changes_of(source.journal_stream(spark, f"{folder}/journals", buffersPerTask=4))
+        source.finished(source.started(stream, lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/out/batch={n}"), f"{folder}/offsets"))
+    return spark.read.parquet(f"{folder}/out").drop("batch")
+
+
 # ---- search, names, properties -------------------------------------------------------------
 
 

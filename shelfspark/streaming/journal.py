@@ -1,8 +1,8 @@
 """The change journal as a stream: records become changes, changes are merged batch by batch.
 
 Records are final states, so a batch needs no watermark: the last record of an identity
-wins, within a batch by its sequence number and across batches by their order.  Offsets
-are the streaming checkpoint's; a journal that was replaced or has lost records raises
+wins, within a batch by its sequence number and across batches by their order.  Change files
+are followed here, journals themselves in ``streaming.source``; a journal that was replaced or has lost records raises
 JournalRestart, after which the caller rebuilds the library from a full scan.
 """
 
@@ -27,6 +27,8 @@ DIRECTORY = 0x10
 class JournalRestart(RuntimeError):
     """The stored position is worthless: scan in full."""
 
+    REASONS = OFF, REPLACED, LOST = "the journal is off or being deleted", "the journal was replaced", "records were lost before they were read"
+
 
 @dataclass(frozen=True)
 class Cursor:
@@ -37,11 +39,11 @@ class Cursor:
 def check_cursor(cursor: Cursor, journal_id: int | None, first_usn: int = 0) -> None:
     """Raise JournalRestart unless reading can go on from the cursor."""
     if journal_id is None:
-        raise JournalRestart("the journal is off or being deleted")
+        raise JournalRestart(JournalRestart.OFF)
     if journal_id != cursor.journal_id:
-        raise JournalRestart("the journal was replaced")
+        raise JournalRestart(JournalRestart.REPLACED)
     if cursor.next_usn < first_usn:
-        raise JournalRestart("records were lost before they were read")
+        raise JournalRestart(JournalRestart.LOST)
 
 
 def change_of(reason: Column) -> Column:
@@ -50,10 +52,10 @@ def change_of(reason: Column) -> Column:
     return F.when(bit(DELETED), "gone").when(bit(RENAMED_OLD) & ~bit(RENAMED_NEW), None).otherwise("present")
 
 
-def changes_of(records: DataFrame, volume: str) -> DataFrame:
-    """Changes (seq, op, volume, frn, parent_frn, name, is_dir) of decoded journal records, in journal order."""
+def changes_of(records: DataFrame, volume: str | None = None) -> DataFrame:
+    """Changes (seq, op, volume, frn, parent_frn, name, is_dir) of decoded journal records of one volume, or of those in their column volume."""
     is_dir = F.col("attrs").bitwiseAND(F.lit(DIRECTORY)) != 0
-    rows = records.where("outcome = 'ok'").select(F.col("usn").alias("seq"), change_of(F.col("reason")).alias("op"), F.lit(volume).alias("volume"), "frn", "parent_frn", "name", is_dir.alias("is_dir"))
+    rows = records.where("outcome = 'ok'").select(F.col("usn").alias("seq"), change_of(F.col("reason")).alias("op"), (F.lit(volume) if volume is not None else F.col("volume")).alias("volume"), "frn", "parent_frn", "name", is_dir.alias("is_dir"))
     return rows.where("op is not null")
 
 
