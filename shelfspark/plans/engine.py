@@ -14,7 +14,8 @@ from shelfspark.operators import audit, dupes, enrich
 from shelfspark.operators.search import LIMIT, SearchOptions, SearchResult, parse_kinds, recency_cutoff, search
 from shelfspark.operators.tree import resolve_directories, resolve_files, used_directories
 from shelfspark.sources.contents import fingerprint_paths
-from shelfspark.sources.snapshot import EmptySnapshot, PropertyStore, Snapshot, SnapshotStore, carry_over, cut
+from shelfspark.sources.properties import read_media_properties
+from shelfspark.sources.snapshot import EmptySnapshot, PropertyStore, Snapshot, SnapshotStore, assign_positions, carry_over, cut
 from shelfspark.streaming.journal import library_rows, merge_batch
 
 
@@ -109,21 +110,23 @@ class Engine:
         groups = dupes.duplicate_groups(printed)
         return dupes.duplicate_members(printed, groups, limit), dupes.totals(groups), dupes.counters(files, able, printed)
 
-    def read_properties(self, store: PropertyStore, network_volumes: DataFrame, read: Callable[[DataFrame], DataFrame], batch: int = 500, stop: Callable[[], bool] = lambda: False) -> int:
-        """Read the properties of queued files, ``batch`` at a time, saving the store after each; returns how many were read.
+    def read_properties(self, store: PropertyStore, network_volumes: DataFrame, read: Callable[[DataFrame], DataFrame] = read_media_properties, batch: int = 500, stop: Callable[[], bool] = lambda: False) -> int:
+        """Read the properties of queued files, ``batch`` at a time, saving each batch; returns how many were read.
 
-        ``read`` maps a batch of files to entries of the store.  It goes on until the queue is
-        empty, ``stop()`` holds, or a newer snapshot is published.
+        The queue is ordered and numbered once, and a batch is a range of its numbers, so the work is in
+        proportion to the queue.  ``read`` maps a batch of files to entries of the store.  It goes on until the
+        queue is done, ``stop()`` holds, or a newer snapshot is published; what was read is kept.
         """
         done, epoch = 0, self._now().epoch
-        while not stop() and self.store.current_epoch() == epoch:
-            queue = enrich.read_queue(enrich.seed_from_store(self.paths(), store.load()), network_volumes).limit(batch)
-            entries = cut(read(queue).select(*store.load().columns))
-            n = entries.count()
-            if not n:
+        queue = enrich.read_queue(enrich.seed_from_store(self.paths(), store.load()), network_volumes)
+        numbered = assign_positions(queue.withColumn("later", -F.col("idx")), "at", ["priority", "later"]).drop("later")
+        queue = cut(numbered.repartitionByRange("at").sortWithinPartitions("at"))
+        for first in range(0, queue.count(), batch):
+            if stop() or self.store.current_epoch() != epoch:
                 break
-            store.save(cut(enrich.merge_store(store.load(), entries)))
-            done += n
+            done += store.append(read(queue.where(F.col("at").between(first, first + batch - 1))))
+        else:
+            store.compact()
         self.props = enrich.seed_from_store(self.paths(), store.load())
         return done
 

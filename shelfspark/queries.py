@@ -461,4 +461,4 @@ def stream_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream_last(stream.select("user_id", "event_type", "event_id"), ["user_id"], "event_id")
 
 
-from shelfspark import journal_queries  # noqa: E402, F401 - registers its queries in the same tables
+from shelfspark import file_queries, journal_queries  # noqa: E402, F401 - they register their queries in the same tables

@@ -89,42 +89,75 @@ class SnapshotStore:
 
 
 class PropertyStore:
-    """Media properties (``PROPS``) below one folder, in versions like snapshots; those of another schema version are ignored."""
+    """Media properties (``PROPS``) below one folder, in versions like snapshots; those of another schema version are ignored.
+
+    A version may be followed by layers: entries that replace those of the same path.  Appending a
+    layer costs what its entries cost; every ``MOST_LAYERS`` layers become one new version.
+    """
+
+    MOST_LAYERS = 64
+    POINTERS = "epoch long, schema_version int, layer long"
 
     def __init__(self, spark: SparkSession, root: str, schema_version: int = SCHEMA_VERSION):
         self.spark, self.root, self.schema_version = spark, root.rstrip("/"), schema_version
 
-    def _newest(self) -> int | None:
+    def _published(self) -> list[tuple[int, int, int | None]]:
+        """(version, schema version, layer) of all that was published: a row for each version and layer."""
         try:
-            pointers = self.spark.read.schema(POINTERS).json(f"{self.root}/published")
+            return [tuple(r) for r in self.spark.read.schema(self.POINTERS).json(f"{self.root}/published").collect()]
         except Exception as missing:
             if "PATH_NOT_FOUND" not in str(missing):
                 raise
-            return None
-        return pointers.where(F.col("schema_version") == self.schema_version).agg(F.max("epoch")).first()[0]
+            return []
+
+    def _newest(self) -> tuple[int, list[int]]:
+        """The newest version of this schema (0: none) and its layers, in order."""
+        mine = [(v, layer) for v, schema, layer in self._published() if schema == self.schema_version]
+        newest = max((v for v, layer in mine if layer is None), default=0)
+        return newest, sorted(layer for v, layer in mine if v == newest and layer is not None)
+
+    def _folder(self, version: int, layer: int | None = None) -> str:
+        return f"{self.root}/version={version}" + (f".{self.schema_version}.layer={layer}" if layer is not None else "")
 
     def load(self) -> DataFrame:
         """The newest entries; empty if there are none of this schema version."""
-        newest = self._newest()
-        if newest is None:
-            return self.spark.createDataFrame([], PROPS)
-        return self.spark.read.schema(PROPS).parquet(f"{self.root}/version={newest}")
+        version, layers = self._newest()
+        read = lambda folder: self.spark.read.schema(PROPS).parquet(folder)
+        base = read(self._folder(version)) if version else self.spark.createDataFrame([], PROPS)
+        if not layers:
+            return base
+        own = base.columns
+        whole = base.withColumn("layer", F.lit(0))
+        for k in layers:
+            whole = whole.unionByName(read(self._folder(version, k)).withColumn("layer", F.lit(k)))
+        last = whole.groupBy("path_key").agg(F.max("layer").alias("layer"))
+        return whole.join(last, ["path_key", "layer"]).select(*own)
+
+    def append(self, entries: DataFrame) -> int:
+        """Save entries that replace those of the same paths, without touching the others; returns how many."""
+        version, layers = self._newest()
+        layer = max(layers, default=0) + 1
+        entries.select(*(c.split()[0] for c in PROPS.split(", "))).write.mode("overwrite").parquet(self._folder(version, layer))
+        self._point(version, layer)
+        if len(layers) + 1 >= self.MOST_LAYERS:
+            self.compact()
+        return self.spark.read.schema(PROPS).parquet(self._folder(version, layer)).count()
+
+    def compact(self) -> int:
+        """The newest version, with its layers merged into one."""
+        version, layers = self._newest()
+        return self.save(self.load()) if layers else version
 
     def save(self, store: DataFrame) -> int:
         """Write all entries beside the old ones and point to them."""
-        pointers = self.spark.read.schema(POINTERS).json(f"{self.root}/published").agg(F.max("epoch")).first()[0] if self._any() else 0
-        version = (pointers or 0) + 1
-        store.write.mode("overwrite").parquet(f"{self.root}/version={version}")
-        self.spark.range(1).select(F.lit(version).cast("long").alias("epoch"), F.lit(self.schema_version).alias("schema_version")).write.mode("append").json(f"{self.root}/published")
+        version = max((v for v, _, _ in self._published()), default=0) + 1
+        store.write.mode("overwrite").parquet(self._folder(version))
+        self._point(version)
         return version
 
-    def _any(self) -> bool:
-        try:
-            return not self.spark.read.schema(POINTERS).json(f"{self.root}/published").isEmpty()
-        except Exception as missing:
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-            return False
+    def _point(self, version: int, layer: int | None = None) -> None:
+        pointer = self.spark.range(1).select(F.lit(version).cast("long").alias("epoch"), F.lit(self.schema_version).alias("schema_version"), F.lit(layer).cast("long").alias("layer"))
+        pointer.write.mode("append").json(f"{self.root}/published")
 
 
 def assign_positions(rows: DataFrame, name: str, order: list[str]) -> DataFrame:

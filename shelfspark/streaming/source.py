@@ -33,6 +33,7 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 from pyspark.sql.streaming import StreamingQuery
 
 from shelfspark.session import ship_package
+from shelfspark.sources.properties import located
 from shelfspark.sources.records import SCHEMA, batches_of
 from shelfspark.sources.snapshot import SnapshotStore
 from shelfspark.streaming.journal import Cursor, JournalRestart, changes_of, check_cursor, merge_batch
@@ -42,11 +43,6 @@ _ARROW = pa.schema([("volume", pa.string()), ("journal_id", pa.int64()), *SCHEMA
 BUFFERS_PER_TASK = 16
 
 
-def located(path: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a path or URI, and the path in it."""
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith(("/", "file:")) else (fs.LocalFileSystem(), path)
-
-
 class State(NamedTuple):
     """Where a volume's journal stands."""
 
