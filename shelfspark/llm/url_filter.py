@@ -10,8 +10,9 @@ share of blocked pages among its labelled ones is high and it has enough of them
 are the verdicts of a rule list, which also decides directly: the longest rule that fits a
 URL wins over the tree.
 
-The tree goes on to the deepest path of the data; it has ``LEVELS`` levels at least, and
-a template names deeper ones only where its paths have them.  Three jobs for each level.
+The tree has ``LEVELS`` levels, and goes on below a node as long as some path of it does and it
+has ``least_pages`` pages: below fewer every branch is too rare, so all that follows is one ``*``.  Three jobs
+for each level, over the pages of such nodes alone; a few very deep paths add none.
 
 Pages are first counted by (host, template); the tree works on these counts, level by
 level with joins on (host, branch), never on one host in one task.
@@ -67,7 +68,7 @@ def segment_shape(segment: Column) -> Column:
 def _totals(rows: DataFrame, keys: list[str], suffix: str) -> DataFrame:
     """``rows`` with the sums over rows of equal keys. Rows are written first: both sides of the join read them."""
     rows = cut(rows)
-    sums = rows.groupBy(*keys).agg(*(F.sum(c).alias(f"{c}_{suffix}") for c in ("pages", "labelled", "blocked")))
+    sums = rows.groupBy(*keys).agg(*(F.sum(c).alias(f"{c}_{suffix}") for c in ("pages", "labelled", "blocked")), F.max(F.size("segments")).alias(f"deep_{suffix}"))
     return rows.join(sums, keys)
 
 
@@ -88,17 +89,26 @@ def template_verdicts(shapes: DataFrame, least_pages: int = 5, least_share: floa
     """(host, segments, template, rejected) from counts of (host, segments): pages, labelled, blocked."""
     shapes = cut(shapes)
     share = shapes.agg(F.try_divide(F.sum("blocked"), F.sum("labelled")).alias("share")).first()["share"] or 0.0
-    depth = max(LEVELS, shapes.agg(F.max(F.size("segments"))).first()[0] or 0)
     tree = _totals(shapes.withColumn("t", F.array().cast("array<string>")), ["host", "t"], "t")
-    for k in range(depth):
-        tree = _totals(tree.drop("labelled_t", "blocked_t").withColumn("s", F.coalesce(F.get("segments", F.lit(k)), F.lit(""))), ["host", "t", "s"], "s")
+    settled, k = None, 0
+    while True:
+        if k >= LEVELS:
+            few, further = F.col("pages_t") < least_pages, F.col("deep_t") > k
+            tree = cut(tree)
+            done = tree.where(few | ~further).withColumn("t", F.when(further, F.concat("t", F.array(F.lit("*")))).otherwise(F.col("t")))
+            settled = done if settled is None else settled.unionByName(done)
+            tree = tree.where(~few & further)
+            if tree.isEmpty():
+                break
+        tree = _totals(tree.drop("labelled_t", "blocked_t", "deep_t").withColumn("s", F.coalesce(F.get("segments", F.lit(k)), F.lit(""))), ["host", "t", "s"], "s")
         rare = F.col("pages_s") < F.greatest(F.lit(float(least_pages)), F.col("pages_t") * F.lit(least_share))
         tree = cut(tree.select(*shapes.columns, "t", F.when(rare, "*").otherwise(F.col("s")).alias("u")))
         tree = tree.join(_merged(tree, z), ["host", "t", "u"], "left").withColumn("t", F.concat("t", F.array(F.coalesce("name", "u")))).select(*shapes.columns, "t")
-        tree = _totals(tree, ["host", "t"], "t")
+        tree, k = _totals(tree, ["host", "t"], "t"), k + 1
+    tree = settled
     smooth = (F.col("blocked_t") + smoothing * share) / (F.col("labelled_t") + smoothing)
     rejected = (F.col("labelled_t") >= least_labelled) & (smooth >= purity)
-    deeper = F.regexp_replace(F.concat_ws("/", F.slice("t", LEVELS + 1, depth)), "/+$", "")
+    deeper = F.regexp_replace(F.concat_ws("/", F.slice("t", F.lit(LEVELS + 1), F.greatest(F.size("t") - LEVELS, F.lit(0)))), "/+$", "")
     template = F.concat(F.concat_ws("/", "host", F.slice("t", 1, LEVELS)), F.when(deeper != "", F.concat(F.lit("/"), deeper)).otherwise(""))
     return tree.select("host", "segments", template.alias("template"), rejected.alias("rejected"))
 
