@@ -30,6 +30,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfspark.sources.snapshot import assign_positions
+
 from . import exchange as X
 from . import words as W
 from .components import components
@@ -219,17 +221,25 @@ def ngram_jaccard_components(docs: DataFrame, shingle_words: int = 5, percent: i
     """
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(X.NO_ID)).alias("doc_id"), "text")
     held = rows.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("least"), F.max(F.xxhash64("text")).alias("most"))
-    if held.where("least <> most").isEmpty():  # one text for each doc_id
+    several = X.cut(held.where("least <> most").select("doc_id"))
+    if several.isEmpty():  # every document is one text, under its own number
         return _linked(docs, shingle_words, percent)
-    texts = X.cut(rows.distinct().withColumn("key", F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 63) - 1))))
-    one = X.cut(_linked(texts.select(F.col("key").alias("doc_id"), "text"), shingle_words, percent))
-    texts = texts.select("doc_id", "key").join(one.withColumnRenamed("doc_id", "key").distinct(), "key")
-    of_doc = texts.groupBy("doc_id").agg(F.min("key").alias("a"))
-    edges = texts.join(of_doc, "doc_id").select("a", F.col("key").alias("b")).unionByName(texts.select(F.col("component_id").alias("a"), F.col("key").alias("b")))
-    comp = components(X.cut(edges.where("a <> b").distinct()), "a", "b").select(F.col("doc_id").alias("key"), F.col("component_id").alias("whole"))
-    texts = X.cut(texts.join(comp, "key", "left").withColumn("whole", F.coalesce("whole", "key")))
-    least = texts.groupBy("whole").agg(F.min("doc_id").alias("component_id"))
-    found = texts.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"), F.min("whole").alias("whole")).join(least, "whole")
+    # Each text of the others gets a number of its own, beyond all doc_ids (or below them, if there is no room).
+    texts = assign_positions(rows.join(several, "doc_id", "left_semi").distinct(), "at", ["doc_id", "text"])
+    least, most = (int(v or 0) for v in rows.where(F.col("doc_id") != X.NO_ID).agg(F.min("doc_id"), F.max("doc_id")).first())
+    texts = X.cut(texts)
+    first = most + 1 if most + 1 + (n := texts.count()) < X.NO_ID else least - n
+    texts = X.cut(texts.select("doc_id", (F.col("at") + F.lit(first)).alias("key"), "text"))
+    single = rows.join(several, "doc_id", "left_anti").select("doc_id", F.col("doc_id").alias("key"), "text")
+    one = X.cut(_linked(single.unionByName(texts).select(F.col("key").alias("doc_id"), "text"), shingle_words, percent).withColumnsRenamed({"doc_id": "key", "component_id": "comp"}).select(F.coalesce("key", F.lit(X.NO_ID)).alias("key"), "n_shingles", F.coalesce("comp", F.lit(X.NO_ID)).alias("comp")).distinct())
+    # A document's texts tie their components together.
+    own = X.cut(texts.select("doc_id", "key").join(one, "key"))
+    edges = own.join(own.groupBy("doc_id").agg(F.min("comp").alias("a")), "doc_id").select("a", F.col("comp").alias("b"))
+    tied = components(X.cut(edges.where("a <> b").distinct()), "a", "b").select(F.col("doc_id").alias("comp"), F.col("component_id").alias("whole"))
+    of_key = one.join(texts.select("doc_id", "key"), "key", "left").withColumn("doc_id", F.coalesce("doc_id", "key"))
+    of_key = X.cut(of_key.join(tied, "comp", "left").withColumn("whole", F.coalesce("whole", "comp")))
+    smallest = of_key.groupBy("whole").agg(F.min("doc_id").alias("component_id"))
+    found = of_key.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"), F.min("whole").alias("whole")).join(smallest, "whole")
     out = rows.select("doc_id").join(found, "doc_id").select("doc_id", "n_shingles", "component_id")
     return X.with_null_ids(out).withColumn("component_id", F.when(F.col("component_id") != X.NO_ID, F.col("component_id")))
 
