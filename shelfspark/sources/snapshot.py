@@ -3,6 +3,10 @@
 A new epoch is written beside the old ones and published by writing its pointer, so a
 reader sees one complete snapshot or the other.  Publishing refuses to replace rows by
 nothing, and an update without effect is not written at all.
+
+An epoch is whole, or a layer on the epochs before it down to a whole one: rows that replace those
+of the same number, and the numbers of rows that are gone.  A reader takes each row from its newest
+layer.  Once there are ``MOST_LAYERS``, or their rows pass a share of the whole, the next epoch is whole again.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ RECORDS = "frn long, parent_frn long, name string, is_dir boolean, kind string"
 CHANGES = "seq long, op string, volume string, frn long, parent_frn long, name string, is_dir boolean"
 PROPS = "path_key string, size long, mtime long, width int, height int, duration_ms long, attempted boolean"
 VOLUMES = "letter string, serial long, journal_id long, next_usn long, file_count long, filesystem string, label string, kind string, remote string"
-POINTERS = "epoch long, schema_version int"
+POINTERS = "epoch long, schema_version int, base long, changed long, rows long"
 
 
 def shared_path(spark: SparkSession) -> str:
@@ -54,39 +58,92 @@ class Snapshot:
 class SnapshotStore:
     """Snapshots below one folder that driver and executors share."""
 
-    TABLES = ("files", "dirs")
+    MOST_LAYERS, MOST_SHARE = 16, 0.2
+    TABLES = {"files": (FILES, "idx"), "dirs": (DIRS, "dir_id")}
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def current_epoch(self) -> int | None:
-        """The newest published epoch of this schema version; others are ignored."""
+    def _published(self) -> dict[int, tuple[int | None, int, int]]:
+        """By epoch of this schema version: the epoch it is a layer on (null: it is whole), its changed rows, the rows of the whole one."""
         try:
-            pointers = self.spark.read.schema(POINTERS).json(f"{self.root}/published")
+            pointers = self.spark.read.schema(POINTERS).json(f"{self.root}/published").where(F.col("schema_version") == SCHEMA_VERSION)
+            return {r["epoch"]: (r["base"], r["changed"] or 0, r["rows"] or 0) for r in pointers.collect()}  # one row an epoch
         except Exception as missing:
             if "PATH_NOT_FOUND" not in str(missing):
                 raise
-            return None
-        return pointers.where(F.col("schema_version") == SCHEMA_VERSION).agg(F.max("epoch").alias("e")).first()["e"]
+            return {}
+
+    def current_epoch(self) -> int | None:
+        """The newest published epoch of this schema version; others are ignored."""
+        return max(self._published(), default=None)
 
     def load(self, epoch: int | None = None) -> Snapshot | None:
-        epoch = self.current_epoch() if epoch is None else epoch
+        published = self._published()
+        epoch = max(published, default=None) if epoch is None else epoch
         if epoch is None:
             return None
-        read = lambda name, schema: self.spark.read.schema(schema).parquet(f"{self.root}/epoch={epoch}/{name}")
-        return Snapshot(epoch, read("files", FILES), read("dirs", DIRS))
+        layers = [epoch]
+        while (base := published.get(layers[-1], (None, 0, 0))[0]) is not None:
+            layers.append(base)
+        return Snapshot(epoch, *(self._merged(name, layers) for name in self.TABLES))
+
+    def _merged(self, name: str, layers: list[int]) -> DataFrame:
+        """A table of the epochs ``layers``, newest first; the last is whole."""
+        schema, key = self.TABLES[name]
+        read = lambda epoch, table, columns: self.spark.read.schema(columns).parquet(f"{self.root}/epoch={epoch}/{table}")
+        whole = read(layers[-1], name, schema)
+        own = whole.columns
+        if len(layers) == 1:
+            return whole
+        changed = None
+        for epoch in layers[:-1]:
+            rows = read(epoch, name, schema).withColumn("gone", F.lit(False)).unionByName(read(epoch, f"{name}_gone", f"{key} long").withColumn("gone", F.lit(True)), allowMissingColumns=True).withColumn("layer", F.lit(epoch))
+            changed = rows if changed is None else changed.unionByName(rows)
+        rest = [c for c in own if c != key]
+        last = changed.groupBy(key).agg(F.max_by(F.struct("gone", *rest), "layer").alias("r")).select(key, "r.*")
+        return whole.join(last.select(key), key, "left_anti").select(*own).unionByName(last.where("not gone").select(*own))
 
     def publish(self, files: DataFrame, dirs: DataFrame) -> int:
         """Write a new epoch and point to it. Raises EmptySnapshot if there are no files."""
         epoch = (self.current_epoch() or 0) + 1
         for name, table in (("files", files), ("dirs", dirs)):
             table.write.mode("overwrite").parquet(f"{self.root}/epoch={epoch}/{name}")
-        if self.spark.read.schema(FILES).parquet(f"{self.root}/epoch={epoch}/files").isEmpty():
+        rows = self._merged("files", [epoch]).count()
+        if not rows:
             raise EmptySnapshot(f"epoch {epoch} has no files and is not published")
-        pointer = self.spark.range(1).select(F.lit(epoch).cast("long").alias("epoch"), F.lit(SCHEMA_VERSION).alias("schema_version"))
-        pointer.write.mode("append").json(f"{self.root}/published")
+        self._point(epoch, None, 0, rows)
         return epoch
 
+    def publish_delta(self, files: DataFrame, files_gone: DataFrame, dirs: DataFrame, dirs_gone: DataFrame) -> int:
+        """Write a layer of changed rows on the newest epoch and point to it; raises EmptySnapshot if no file would be left."""
+        published = self._published()
+        base = max(published)
+        epoch = base + 1
+        changed = 0
+        for name, rows, gone in (("files", files, files_gone), ("dirs", dirs, dirs_gone)):
+            key = self.TABLES[name][1]
+            rows.write.mode("overwrite").parquet(f"{self.root}/epoch={epoch}/{name}")
+            gone.select(key).write.mode("overwrite").parquet(f"{self.root}/epoch={epoch}/{name}_gone")
+            changed += sum(self.spark.read.parquet(f"{self.root}/epoch={epoch}/{t}").count() for t in (name, f"{name}_gone"))
+        layers, below, rows = [epoch, base], published[base], published[base][2]
+        while below[0] is not None:
+            layers.append(below[0])
+            changed, below = changed + below[1], published[below[0]]
+            rows = below[2]
+        merged = {name: self._merged(name, layers) for name in self.TABLES}
+        if merged["files"].isEmpty():
+            raise EmptySnapshot(f"epoch {epoch} would have no files and is not published")
+        if len(layers) > self.MOST_LAYERS or changed > self.MOST_SHARE * max(rows, 1):
+            whole = {name: cut(table) for name, table in merged.items()}
+            return self.publish(whole["files"], whole["dirs"])
+        self._point(epoch, base, changed - sum(published[e][1] for e in layers[1:]), rows)
+        return epoch
+
+    def _point(self, epoch: int, base: int | None, changed: int, rows: int) -> None:
+        columns = {"epoch": F.lit(epoch).cast("long"), "schema_version": F.lit(SCHEMA_VERSION), "base": F.lit(base).cast("long"), "changed": F.lit(changed).cast("long"), "rows": F.lit(rows).cast("long")}
+        self.spark.range(1).select(*(c.alias(n) for n, c in columns.items())).write.mode("append").json(f"{self.root}/published")
+
 
 class PropertyStore:
     """Media properties (``PROPS``) below one folder, in versions like snapshots; those of another schema version are ignored.

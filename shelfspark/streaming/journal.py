@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from shelfspark.functions.fold import fold
 from shelfspark.functions.media import media_kind
-from shelfspark.operators.changes import apply_changes
+from shelfspark.operators.changes import delta_of
 from shelfspark.sources.snapshot import CHANGES, SnapshotStore, assign_positions, shared_path
 
 # Reasons of a journal record.
@@ -84,16 +84,14 @@ def library_rows(files: DataFrame, dirs: DataFrame) -> tuple[DataFrame, DataFram
 
 
 def merge_batch(store: SnapshotStore, changes: DataFrame, lookup: DataFrame | None = None) -> dict[str, int]:
-    """Merge one batch into the newest snapshot; publishes a new epoch only if something changed."""
+    """Merge one batch into the newest snapshot; publishes a layer of what changed, if anything did."""
     now = store.load()
     if now is None:
         raise JournalRestart("there is no snapshot to apply changes to")
-    paths = now.dirs.select("dir_id", F.col("path").alias("dir"))
-    files = now.files.join(paths, "dir_id").select("volume", "frn", "name", "kind", "dir", "size", "mtime")
-    merge = apply_changes(files, now.dirs.select("volume", "frn", "path"), changes, lookup)
-    if merge.changed:
-        store.publish(*library_rows(merge.files, merge.dirs))
-    return merge.counts
+    delta = delta_of(now.files, now.dirs, changes, lookup)
+    if delta.changed:
+        store.publish_delta(delta.files, delta.files_gone, delta.dirs, delta.dirs_gone)
+    return delta.counts
 
 
 def follow(spark: SparkSession, changes_folder: str, store: SnapshotStore, checkpoint: str, lookup: DataFrame | None = None, poll: str | None = None) -> StreamingQuery:
