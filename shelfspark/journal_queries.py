@@ -194,6 +194,36 @@ def journal_follow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _paths(store).select("frn", "name", "path", "size")
 
 
+def _layered(spark: SparkSession, sf_dir: str) -> SnapshotStore:
+    """Parts as a library to which one batch is merged: every fiftieth file goes, others get a name, one folder moves into a new one."""
+    store = _published(spark, sf_dir)
+    part = _read(spark, sf_dir, "part")
+    key = F.col("p_partkey") + 1000
+    rows = part.where("p_partkey % 50 < 2").select(F.col("p_partkey").alias("seq"), F.when(key % 50 == 0, "gone").otherwise("present").alias("op"), F.lit("D").alias("volume"), key.alias("frn"), (F.split("p_brand", "#")[1].cast("long") + 100).alias("parent_frn"), F.concat(F.lit("other "), "p_name", F.lit(".mp4")).alias("name"), F.lit(False).alias("is_dir"))
+    folders = [(-3, "present", "D", 7001, 5, "New", True), (-2, "present", "D", 7002, 7001, "Inner", True), (-1, "present", "D", 111, 7002, "Brand#11", True)]
+    # The root is no folder of the parts: it is looked up.
+    lookup = spark.createDataFrame([("D", 5, "path", "D:")], changes.LOOKUP)
+    journal.merge_batch(store, rows.unionByName(spark.createDataFrame(folders, rows.schema)), lookup)
+    return store
+
+
+@query(
+    "snapshot_layers",
+    f"SELECT CAST(2 AS BIGINT) AS epoch, frn, CASE WHEN frn % 50 = 1 THEN 'other ' || name ELSE name END AS name, CASE WHEN frn % 50 = 1 THEN 'other ' || folded ELSE folded END AS folded, CASE WHEN path = 'D:\\Brand#11' THEN 'D:\\New\\Inner\\Brand#11' ELSE path END AS path, size FROM ({_LIBRARY}) WHERE frn % 50 <> 0",
+)
+def snapshot_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole snapshot and a layer of changes, read as one."""
+    return _paths(_layered(spark, sf_dir)).drop("idx")
+
+
+@query("snapshot_layer_rows", "SELECT count_if((p_partkey + 1000) % 50 = 1) AS files, count_if((p_partkey + 1000) % 50 = 0) AS files_gone, CAST(4 AS BIGINT) AS dirs, CAST(0 AS BIGINT) AS dirs_gone FROM part")
+def snapshot_layer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A layer holds what the batch changed and nothing else: a folder that moves is one row, whatever it holds."""
+    store = _layered(spark, sf_dir)
+    n = lambda table: spark.read.parquet(f"{store.root}/epoch=2/{table}").agg(F.count("*").alias(table))
+    return n("files").crossJoin(n("files_gone")).crossJoin(n("dirs")).crossJoin(n("dirs_gone"))  # one row each
+
+
 @query("merge_lookup", r"SELECT p_partkey AS frn, CASE p_partkey % 3 WHEN 0 THEN 'D:\found' ELSE 'D:\known' END AS dir FROM part WHERE p_partkey <> 0 AND p_partkey % 3 <> 1")
 def merge_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New files below a folder that a lookup knows, one that it excludes, and one that the library knows."""
