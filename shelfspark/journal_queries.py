@@ -8,8 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.functions import media
-from shelfspark.operators import changes, dupes, enrich, search, tree
+from shelfspark.functions import control, media
+from shelfspark.operators import audit, changes, dupes, enrich, search, tree
 from shelfspark.queries import _contents, _hits, _PARTS, _read, _score_sql, _seeded, _SEEDED, part_library, query
 from shelfspark.sources import records, volumes
 from shelfspark.sources.snapshot import EmptySnapshot, PropertyStore, SnapshotStore, cut, shared_path
@@ -336,3 +336,47 @@ def needs_stat(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _read(spark, sf_dir, "orders").select(key.alias("idx"), key.cast("string").alias("path"), F.lit(0).cast("long").alias("size"), F.when(key % 4 == 0, 0).otherwise(9).cast("long").alias("mtime"))
     stats = _read(spark, sf_dir, "orders").where("o_orderkey % 8 = 0").select(key.cast("string").alias("path"), F.col("o_custkey").alias("size"), F.lit(5).cast("long").alias("mtime"))
     return enrich.measured(enrich.unmeasured(files), stats).select("idx", "size")
+
+
+# ---- self-check, control records -----------------------------------------------------------
+
+_KEPT = r"""WITH k AS (SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'D' ELSE 'E' END AS volume, CASE WHEN o_orderkey % 11 = 0 THEN 0 ELSE o_orderkey END AS frn, CASE WHEN o_orderkey % 7 = 0 THEN 'D:\old' ELSE 'D:\x' || o_custkey END AS dir, CASE WHEN o_orderkey % 5 = 0 THEN 'b' ELSE 'a' END || o_orderkey AS name FROM orders WHERE o_orderkey % 13 <> 0),
+s AS (SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'D' ELSE 'E' END AS volume, CASE WHEN o_orderkey % 11 = 0 THEN 0 ELSE o_orderkey END AS frn, 'D:\x' || o_custkey AS dir, 'a' || o_orderkey AS name FROM orders WHERE o_orderkey % 17 <> 0),
+j AS (SELECT coalesce(k.volume, s.volume) AS volume, coalesce(k.frn, s.frn) AS frn, CASE WHEN k.name IS NULL THEN 'missing' WHEN s.name IS NULL THEN 'extra' WHEN k.dir <> s.dir THEN 'moved' WHEN k.name <> s.name THEN 'renamed' END AS reason, k.dir || '\' || k.name AS kept_path, s.dir || '\' || s.name AS scanned_path
+FROM k FULL JOIN s ON k.volume = s.volume AND k.frn = s.frn AND (k.frn <> 0 OR k.dir || '\' || k.name = s.dir || '\' || s.name))""".replace("\\\\", "\\")
+
+
+def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as files of a library that was kept up to date, and of a scan: some are missing, some too many, some moved, some renamed, some without a number."""
+    key = F.col("o_orderkey")
+    rows = _read(spark, sf_dir, "orders").select(key, F.when(key % 2 == 0, "D").otherwise("E").alias("volume"), F.when(key % 11 == 0, 0).otherwise(key).cast("long").alias("frn"), F.concat(F.lit("D:\\x"), "o_custkey").alias("dir"), F.concat(F.lit("a"), key).alias("name"))
+    kept = rows.where("o_orderkey % 13 <> 0").withColumns({"dir": F.when(key % 7 == 0, "D:\\old").otherwise(F.col("dir")), "name": F.when(key % 5 == 0, F.concat(F.lit("b"), key)).otherwise(F.col("name"))})
+    return audit.differences(kept, rows.where("o_orderkey % 17 <> 0"))
+
+
+@query("library_differences", _KEPT + " SELECT * FROM j WHERE reason IS NOT NULL")
+def library_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a library has other than a scan, with reasons."""
+    return _checked(spark, sf_dir)
+
+
+@query("difference_counts", _KEPT + " SELECT volume, reason, count(*) AS n FROM j WHERE reason IS NOT NULL GROUP BY volume, reason")
+def difference_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.difference_counts(_checked(spark, sf_dir))
+
+
+@query(
+    "control_records",
+    """SELECT volume, kind, done, total, finished FROM (SELECT CAST(user_id AS VARCHAR) AS volume, CASE event_type WHEN 'purchase' THEN 'finished' WHEN 'error' THEN 'failed' ELSE 'progress' END AS kind, event_id AS done, 10 * event_id AS total, event_type IN ('purchase', 'error') AS finished, event_id
+FROM events WHERE event_id % 7 > 2) QUALIFY row_number() OVER (PARTITION BY volume ORDER BY finished DESC, event_id DESC) = 1""",
+)
+def control_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as control records of users' scans, of which some are cut off, some of a later version and some of no kind; how each scan stands."""
+    key = F.col("event_id")
+    kind = F.when(F.col("event_type") == "purchase", "finished").when(F.col("event_type") == "error", "failed").otherwise("progress")
+    text = control.control_record(kind, F.col("user_id").cast("string"), key, key * 10)
+    text = F.when(key % 7 == 0, F.substring(text, F.lit(1), F.length(text) - 5)).when(key % 7 == 1, F.regexp_replace(text, '"version":1', '"version":2')).when(key % 7 == 2, F.regexp_replace(text, '"kind":"[a-z]*",', "")).otherwise(text)
+    lines = _read(spark, sf_dir, "events").select(key, text.alias("line"))
+    known = lines.select(key, control.parsed_record(F.col("line")).alias("r")).where("r is not null")
+    last = known.groupBy("r.volume").agg(control.last_of(F.col("r.volume"), F.col("r"), key).alias("r"))
+    return last.select("volume", "r.kind", "r.done", "r.total", "r.finished")

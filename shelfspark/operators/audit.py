@@ -81,3 +81,22 @@ def systematic_sample(files: DataFrame, rows: int = 20) -> DataFrame:
     """Every so many-th file by position, ``rows`` in all."""
     step = max(files.count() // rows, 1)
     return files.where(F.col("idx") % step == 0).orderBy("idx").limit(rows)
+
+
+def differences(kept: DataFrame, scanned: DataFrame) -> DataFrame:
+    """What a library that was kept up to date has other than a full scan: (volume, frn, reason, kept_path, scanned_path).
+
+    Both have volume, frn, dir and name.  Reasons: missing (only the scan has the file), extra (only the
+    library has it), moved (another folder), renamed (another name; both may have changed, then it is moved).
+    Files without a number are compared by their paths.
+    """
+    path = lambda t: F.concat(f"{t}.dir", F.lit("\\"), f"{t}.name")
+    key = lambda df: df.select("volume", "frn", "dir", "name", F.when(F.col("frn") == 0, F.concat("dir", F.lit("\\"), "name")).otherwise("").alias("key"))
+    both = key(kept).alias("k").join(key(scanned).alias("s"), ["volume", "frn", "key"], "full_outer")
+    reason = F.when(F.col("k.name").isNull(), "missing").when(F.col("s.name").isNull(), "extra").when(F.col("k.dir") != F.col("s.dir"), "moved").when(F.col("k.name") != F.col("s.name"), "renamed")
+    return both.select("volume", "frn", reason.alias("reason"), path("k").alias("kept_path"), path("s").alias("scanned_path")).where("reason is not null")
+
+
+def difference_counts(found: DataFrame) -> DataFrame:
+    """(volume, reason, n)."""
+    return found.groupBy("volume", "reason").agg(F.count("*").alias("n"))

@@ -2,7 +2,8 @@
 
 A token scores by where it first occurs in the folded name, or else in the folded
 folder path; a row's rank is its number of matched tokens, then its score.  Folders
-are scored once each, before the join with their files.  Filters on file columns come
+are scored once each, and only those with a score meet their files, so the files need not be
+moved unless very many folders match.  Filters on file columns come
 first so that they reach the Parquet scan; only the best ``limit`` rows are ordered.
 """
 
@@ -16,12 +17,15 @@ from pyspark.sql import functions as F
 
 from shelfspark.functions.fold import fold_text, tokenize_text
 from shelfspark.functions.media import KINDS, full_path
+from shelfspark.sources.snapshot import cut
 
 # Scores, and the characters after which a word begins.
 EXACT, PREFIX, WORD, INSIDE, DIR_WORD, DIR_INSIDE, MOST_BONUS = 1000, 800, 600, 400, 250, 200, 50
 BOUNDARY = " _-.()[]{},'+&@#~!;\\/"
 MATCHED_WEIGHT = 100_000
 LIMIT, MOST_LIMIT = 5000, 20_000
+#: Bytes of folders beyond which those with a score are written before the join.
+BROADCAST_FOLDERS = 64 << 20
 
 
 @dataclass(frozen=True)
@@ -97,10 +101,26 @@ def _accepted(files: DataFrame, options: SearchOptions, props: DataFrame | None)
     return files.drop("width", "height", "duration_ms")
 
 
+def _scored_folders(dirs: DataFrame, tokens: list[str]) -> DataFrame:
+    """dir_id and each token's score (d0, d1, ...) of the folders in which any token occurs.
+
+    Where the folders are too many to be broadcast, the ones with a score are written first, so
+    that Spark plans the join with the files by their true size.
+    """
+    scored = dirs.select("dir_id", *(dir_score(F.col("folded"), t).alias(f"d{i}") for i, t in enumerate(tokens)))
+    scored = scored.where(reduce(lambda a, b: a | b, (F.col(f"d{i}").isNotNull() for i in range(len(tokens)))))
+    return cut(scored) if planned_bytes(dirs) > BROADCAST_FOLDERS else scored
+
+
+def planned_bytes(df: DataFrame) -> int:
+    """Spark's own estimate of a plan's size: that of the files which it reads."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def ranked(files: DataFrame, dirs: DataFrame, tokens: list[str], floor: int, options: SearchOptions, props: DataFrame | None = None) -> DataFrame:
     """The best ``limit`` files that match at least ``floor`` of the tokens, with matched, score and key."""
-    scored = dirs.select("dir_id", *(dir_score(F.col("folded"), t).alias(f"d{i}") for i, t in enumerate(tokens)))
-    rows = _accepted(files, options, props).join(scored, "dir_id")
+    scored = _scored_folders(dirs, tokens)
+    rows = _accepted(files, options, props).join(scored, "dir_id", "left")
     parts = [F.coalesce(name_score(F.col("folded"), t), F.col(f"d{i}")) for i, t in enumerate(tokens)]
     rows = rows.select(*files.columns, *(p.alias(f"s{i}") for i, p in enumerate(parts)))
     names = [F.col(f"s{i}") for i in range(len(tokens))]
@@ -143,9 +163,16 @@ def search(files: DataFrame, dirs: DataFrame, query: str, options: SearchOptions
     tokens = query_tokens(query)
     if not tokens or options.limit <= 0:
         return SearchResult(with_paths(files.withColumns({"matched": F.lit(0), "score": F.lit(0), "key": F.lit(0).cast("long")}).limit(0), dirs), tokens)
-    strict = ranked(files, dirs, tokens, len(tokens), options, props)
-    if len(tokens) < 3 or not strict.isEmpty():
-        return SearchResult(with_paths(strict, dirs), tokens)
-    relaxed = best_partial(ranked(files, dirs, tokens, -(-len(tokens) // 2), options, props))
-    best = relaxed.agg(F.max("matched").alias("m")).first()["m"]
-    return SearchResult(with_paths(relaxed, dirs), tokens, best)
+    if len(tokens) < 3:
+        return SearchResult(with_paths(ranked(files, dirs, tokens, len(tokens), options, props), dirs), tokens)
+    half = -(-len(tokens) // 2)
+    if options.order == "newest":  # its key doesn't put strict hits first
+        strict = cut(ranked(files, dirs, tokens, len(tokens), options, props))
+        if not strict.isEmpty():
+            return SearchResult(with_paths(strict, dirs), tokens)
+    # By relevance the rows that match most come first, so one pass over the files serves both; what is kept is ``limit`` rows at most.
+    rows = cut(ranked(files, dirs, tokens, half, options, props))
+    best = rows.agg(F.max("matched").alias("m")).first()["m"]
+    if best is not None:
+        rows = rows.where(F.col("matched") == best)
+    return SearchResult(with_paths(rows, dirs), tokens, best if best != len(tokens) else None)
