@@ -226,13 +226,25 @@ def snapshot_layer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("merge_lookup", r"SELECT p_partkey AS frn, CASE p_partkey % 3 WHEN 0 THEN 'D:\found' ELSE 'D:\known' END AS dir FROM part WHERE p_partkey <> 0 AND p_partkey % 3 <> 1")
 def merge_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _merged_with_lookup(spark, sf_dir).files.select("frn", "dir")
+
+
+@query("merge_lookup_counts", "SELECT count_if(p_partkey % 3 <> 1) AS files_added, count_if(p_partkey % 3 = 1) AS excluded, CAST(1 AS BIGINT) AS dirs_looked_up, CAST(0 AS BIGINT) AS unresolved FROM part WHERE p_partkey <> 0")
+def merge_lookup_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counters that tell what a lookup answered."""
+    counts = _merged_with_lookup(spark, sf_dir).counts
+    names = ("files_added", "excluded", "dirs_looked_up", "unresolved")
+    return spark.createDataFrame([tuple(counts[n] for n in names)], ", ".join(f"{n} long" for n in names))
+
+
+def _merged_with_lookup(spark: SparkSession, sf_dir: str) -> changes.Merge:
     """New files below a folder that a lookup knows, one that it excludes, and one that the library knows."""
     part = _read(spark, sf_dir, "part").where("p_partkey <> 0")
     rows = part.select(F.col("p_partkey").alias("seq"), F.lit("present").alias("op"), F.lit("D").alias("volume"), F.col("p_partkey").alias("frn"), (F.col("p_partkey") % 3 + 1_000_000_000).alias("parent_frn"), F.lit("a.mp4").alias("name"), F.lit(False).alias("is_dir"))
     dirs = spark.createDataFrame([("D", 1_000_000_002, "D:\\known")], "volume string, frn long, path string")
     answers = spark.createDataFrame([("D", 1_000_000_000, "path", "D:\\found"), ("D", 1_000_000_000, "unknown", None), ("D", 1_000_000_001, "excluded", None)], changes.LOOKUP)
     files = spark.createDataFrame([], "volume string, frn long, name string, kind string, dir string, size long, mtime long")
-    return changes.apply_changes(files, dirs, rows, answers).files.select("frn", "dir")
+    return changes.apply_changes(files, dirs, rows, answers)
 
 
 def _journal_buffers(events: DataFrame) -> DataFrame:

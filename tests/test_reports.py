@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from shelfspark.functions import control
 from shelfspark.operators import audit, dupes, enrich
 from shelfspark.sources.snapshot import PROPS
 
@@ -54,3 +55,26 @@ def test_deletions(spark):
     by_path, unknown = audit.deletions_by_folder(gone, dirs)
     assert [tuple(r) for r in by_path.collect()] == [("D:\\Top\\Sub", 2), ("D:\\Phim", 1)] and unknown.first()[0] == 1
     assert [r["path"] for r in audit.deleted_roots(gone, dirs).collect()] == ["D:\\Top"]
+
+
+def test_differences_of_a_library_and_a_scan(spark):
+    columns = "volume string, frn long, dir string, name string"
+    kept = spark.createDataFrame([("D", 1, "D:", "a"), ("D", 2, "D:", "b"), ("D", 3, "D:", "c"), ("D", 4, "D:\\x", "d"), ("D", 0, "D:", "n"), ("D", 0, "D:", "m"), ("E", 1, "E:", "a")], columns)
+    scan = spark.createDataFrame([("D", 1, "D:", "a"), ("D", 2, "D:\\y", "z"), ("D", 3, "D:", "C"), ("D", 5, "D:", "e"), ("D", 0, "D:", "n"), ("D", 0, "D:", "o")], columns)
+    found = {(r["volume"], r["frn"], r["reason"], r["kept_path"], r["scanned_path"]) for r in audit.differences(kept, scan).collect()}
+    assert found == {
+        ("D", 2, "moved", "D:\\b", "D:\\y\\z"), ("D", 3, "renamed", "D:\\c", "D:\\C"), ("D", 4, "extra", "D:\\x\\d", None), ("D", 5, "missing", None, "D:\\e"), ("D", 0, "extra", "D:\\m", None), ("D", 0, "missing", None, "D:\\o"), ("E", 1, "extra", "E:\\a", None),
+    }
+    assert {(r["volume"], r["reason"]): r["n"] for r in audit.difference_counts(audit.differences(kept, scan)).collect()}[("D", "missing")] == 2
+    assert audit.differences(kept, kept).count() == 0
+
+
+def test_control_records_survive_damage(spark):
+    rows = [(1, "progress", "D", 5, 10), (2, "finished", "D", 10, 10), (3, "progress", "D", 6, 10), (4, "progress", "E", 1, None)]
+    table = spark.createDataFrame(rows, "at int, kind string, volume string, done int, total int")
+    lines = table.select("at", control.control_record(F.col("kind"), F.col("volume"), F.col("done"), F.col("total")).alias("line"))
+    odd = spark.createDataFrame([(9, None), (9, ""), (9, "{"), (9, "[1]"), (9, '{"version":2,"kind":"finished","volume":"D"}'), (9, '{"version":1,"volume":"D"}'), (9, '{"version":1,"kind":"dance","volume":"D"}'), (9, '{"version":0,"kind":"finished","volume":"D"}'), (5, '{"version":1,"kind":"progress","volume":"E","done":"many","new field":[1]}')], "at int, line string")
+    known = lines.unionByName(odd).select("at", control.parsed_record(F.col("line")).alias("r")).where("r is not null")
+    assert sorted(r["at"] for r in known.collect()) == [1, 2, 3, 4, 5]
+    last = {r["volume"]: r["r"] for r in known.groupBy("r.volume").agg(control.last_of(F.col("r.volume"), F.col("r"), F.col("at")).alias("r")).collect()}
+    assert (last["D"]["kind"], last["D"]["finished"], last["D"]["done"]) == ("finished", True, 10) and last["E"]["kind"] == "progress"
