@@ -11,8 +11,8 @@ A larger one is joined: fingerprints of both sides by shuffle, then each documen
 is scored against those items that share a fingerprint with it.
 
 Edge cases: null and empty texts have no words; items without words or without id
-are left out; repeated items count once; a null doc_id is returned as it is; other
-columns are ignored; empty documents or an empty benchmark give no rows or no hits.
+are left out; repeated items count once; a null doc_id is returned as it is; a very long
+text is a block of its own, whole; other columns are ignored; empty documents or an empty benchmark give no rows or no hits.
 """
 
 from __future__ import annotations

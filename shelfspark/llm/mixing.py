@@ -16,7 +16,9 @@ Only counts of blocks are summed over a source.
 Edge cases: null texts have size 0; a null source is a source of its own, the last;
 null doc_ids are placed like empty ones; repeated rows are separate documents; sources
 without words have target 0; other columns are kept by :func:`mixed_documents` and
-ignored here; an empty table gives no rows.  Reruns agree: the offset comes from the
+ignored here; a very long text is one document of its size, which may be more than its
+source's target; an empty table gives no rows.  The targets come from a window over one row for
+each source, so sources are meant to be thousands, not millions.  Reruns agree: the offset comes from the
 seed and the source's name.
 """
 

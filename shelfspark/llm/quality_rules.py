@@ -12,7 +12,12 @@ least), so its work does not grow; statistics are computed for all documents.
 Edge cases: a null or empty text has no words and fails the base rule; a
 statistic is never null; without labels, or with labels of one kind, the list is
 empty and only the base rule rejects; labels of documents that are absent are
-unused, of contradicting labels the lowest quality counts, null labels do not.
+unused, of contradicting labels the lowest quality counts, null labels do not;
+repeated rows of the table are judged each, and a document is learned from once;
+of conditions with equal gain the first by feature and threshold is taken, and a
+value equal to a threshold is below it; a very long text is a block of its own,
+whole; a column named like a statistic is replaced in :func:`judged` and kept by
+:func:`kept_documents`; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ smallest doc_id that holds it.
 Edge cases: a null or empty text has no words, keeps the empty text; a document
 shorter than the window loses nothing; of repeated rows with one doc_id none
 loses a word to another (only a *smaller* doc_id counts); a null doc_id counts as
-larger than every other; other columns of the input are ignored; an empty table gives an empty result.
+larger than every other; a very long text is processed whole, in the task of its origin;
+other columns of the input are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from shelfspark.llm import collocations as C
 from shelfspark.llm import importance as I
 from shelfspark.llm import line_crf as L
+from shelfspark.llm.decontaminate import benchmark_hits
+from shelfspark.llm.lm_scoring import class_model_scores
+from shelfspark.llm.mixing import sampled_copies
 
 DOCS = "doc_id long, text string, lang string"
 
@@ -258,3 +261,19 @@ def test_crc_of_spans_is_zlibs():
     starts = ends - [len(w) for w in words]
     assert I.crc32_spans(data, starts, ends).tolist() == [zlib.crc32(w) for w in words]
     assert I.crc32_spans(data, starts, ends, np.array([zlib.crc32(b"q")] * 6, np.uint32)).tolist() == [zlib.crc32(b"q" + w) for w in words]
+
+
+# ---- very long texts in other operators
+
+
+def test_very_long_texts_are_taken_whole(spark):
+    """A text of 1.2 million words beside short ones: its size, the passage at its end, and its tokens all count."""
+    item = "one passage of exactly eleven words that the benchmark holds verbatim"
+    long = "w " * 1_200_000 + item
+    docs = spark.createDataFrame([(1, long, "a"), (2, "w w w", "a"), (3, None, "b")], "doc_id long, text string, source string")
+    mixed = {r["doc_id"]: r for r in sampled_copies(docs).collect()}
+    assert mixed[1]["size"] == 1_200_011 and mixed[1]["source_size"] == 1_200_014 and mixed[1]["copies"] in (0, 1, 2)
+    hits = {r["doc_id"]: r for r in benchmark_hits(docs.drop("source"), spark.createDataFrame([(7, item)], "item_id long, text string"), span=10, k=5).collect()}
+    assert (hits[1]["n_hit"], hits[1]["n_words"], hits[2]["n_hit"]) == (11, 1_200_011, 0)
+    scores = {r["doc_id"]: r for r in class_model_scores(docs.drop("source"), F.col("doc_id") == 2, classes=4, core_share=0.01, suffixes=8).collect()}
+    assert scores[1]["n_tokens"] == 1_200_012 and scores[2]["n_known"] == 4 and math.isfinite(scores[1]["score"])
