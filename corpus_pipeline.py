@@ -4,7 +4,9 @@ benchmark decontamination, mixing to target weights, sharding.
 Every stage gets what its predecessor kept, written as Parquet and read again, and all
 but the last return the columns of ``documents``.  Rows without a doc_id pass the
 near-duplicate and the benchmark stage, which cannot name them; rows that share one
-doc_id stand and fall together.
+doc_id stand and fall together.  Null and empty texts fail the base rule and go in the first
+stage; very long texts are judged, compared, mixed and placed whole; an empty table, or one of
+which a stage keeps nothing, gives no rows.
 """
 
 from __future__ import annotations
