@@ -158,11 +158,16 @@ def best_partial(rows: DataFrame) -> DataFrame:
     return rows.join(best, rows["matched"] == best["best_matched"]).drop("best_matched")
 
 
+def no_hits(files: DataFrame) -> DataFrame:
+    """An empty table of hits."""
+    return files.withColumns({"matched": F.lit(0), "score": F.lit(0), "key": F.lit(0).cast("long")}).limit(0)
+
+
 def search(files: DataFrame, dirs: DataFrame, query: str, options: SearchOptions = SearchOptions(), props: DataFrame | None = None) -> SearchResult:
     """All tokens must match; if nothing does and there are three or more, the best partial matches of half of them."""
     tokens = query_tokens(query)
     if not tokens or options.limit <= 0:
-        return SearchResult(with_paths(files.withColumns({"matched": F.lit(0), "score": F.lit(0), "key": F.lit(0).cast("long")}).limit(0), dirs), tokens)
+        return SearchResult(with_paths(no_hits(files), dirs), tokens)
     if len(tokens) < 3:
         return SearchResult(with_paths(ranked(files, dirs, tokens, len(tokens), options, props), dirs), tokens)
     half = -(-len(tokens) // 2)

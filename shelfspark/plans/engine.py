@@ -6,12 +6,13 @@ import time
 from collections.abc import Callable
 from contextlib import contextmanager
 from dataclasses import replace
+from threading import Lock
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.operators import audit, dupes, enrich
-from shelfspark.operators.search import LIMIT, SearchOptions, SearchResult, parse_kinds, recency_cutoff, search
+from shelfspark.operators.search import LIMIT, SearchOptions, SearchResult, no_hits, parse_kinds, recency_cutoff, search, with_paths
 from shelfspark.operators.tree import resolve_directories, resolve_files, used_directories
 from shelfspark.sources.contents import fingerprint_paths
 from shelfspark.sources.properties import read_media_properties
@@ -26,6 +27,9 @@ class Engine:
         self.spark, self.store = spark, SnapshotStore(spark, root)
         self.snapshot: Snapshot | None = self.store.load()
         self.props: DataFrame | None = None
+        self._lock = Lock()
+        self._newest: dict[str, int] = {}
+        self._stopped: set[str] = set()
 
     def reload(self) -> int | None:
         """Follow the pointer to the newest snapshot; returns its epoch."""
@@ -69,26 +73,67 @@ class Engine:
         self.reload()
         return counts
 
-    def search(self, query: str, kinds: list[str] | None = None, limit: int = LIMIT, within_days: int = 0, order: str = "relevance", tag: str | None = None, **filters: int) -> SearchResult:
-        """Ranked hits. ``filters``: min_height, min_duration_ms, max_duration_ms. ``tag`` names the job for :meth:`cancel`."""
+    def search(self, query: str, kinds: list[str] | None = None, limit: int = LIMIT, within_days: int = 0, order: str = "relevance", tag: str | None = None, supersedes: str | None = None, **filters: int) -> SearchResult:
+        """Ranked hits. ``filters``: min_height, min_duration_ms, max_duration_ms. ``tag`` names the job for :meth:`cancel`.
+
+        Of searches that name the same ``supersedes`` (a search box), a newer one stops the older ones, whose
+        hits are then empty; the hits of the newest are computed before it returns.
+        """
         now = self._now()
         options = SearchOptions(kinds=parse_kinds(kinds or []), limit=limit, order=order, modified_after=recency_cutoff(within_days, int(time.time())), **filters)
-        with self._tagged(tag):
-            return search(now.files, now.dirs, query, replace(options, limit=max(1, limit)), self.props)
+        run = lambda: search(now.files, now.dirs, query, replace(options, limit=max(1, limit)), self.props)
+        if supersedes is None:
+            with self._tagged(tag):
+                return run()
+        with self._lock:
+            mine = self._newest[supersedes] = self._newest.get(supersedes, 0) + 1
+        if mine > 1:
+            self.spark.sparkContext.cancelJobsWithTag(f"{supersedes}-{mine - 1}")
+        nothing = SearchResult(with_paths(no_hits(now.files), now.dirs))
+        try:
+            with self._tagged(f"{supersedes}-{mine}"):
+                if self._newest[supersedes] != mine:
+                    return nothing
+                found = run()
+                found.hits = cut(found.hits).orderBy(F.desc("key"), "idx")
+        except Exception:
+            if self._newest[supersedes] == mine:
+                raise
+            return nothing
+        finally:
+            if mine > 1:
+                self.spark.sparkContext.cancelJobsWithTag(f"{supersedes}-{mine - 1}")  # once more: its job may have started since
+        return found if self._newest[supersedes] == mine else nothing
 
     def cancel(self, tag: str) -> None:
-        """Stop the running jobs of a tag; a newer query supersedes an older one."""
-        self.spark.interruptTag(tag)
+        """Stop the running jobs of a tag; a run that gives all or nothing then gives nothing."""
+        with self._lock:
+            self._stopped.add(tag)
+        self.spark.sparkContext.cancelJobsWithTag(tag)
+
+    def _all_or_nothing(self, tag: str, run: Callable[[], tuple[DataFrame, ...]]) -> tuple[DataFrame, ...] | None:
+        """The tables of ``run``, computed in full; None if the tag was cancelled before they were."""
+        with self._lock:
+            self._stopped.discard(tag)
+        try:
+            with self._tagged(tag):
+                out = tuple(cut(table) for table in run())
+        except Exception:
+            if tag not in self._stopped:
+                raise
+            return None
+        return None if tag in self._stopped else out
 
     @contextmanager
     def _tagged(self, tag: str | None):
+        """Jobs of this thread carry the tag; any thread may cancel them (a session's own tags are known to their thread alone)."""
         if tag:
-            self.spark.addTag(tag)
+            self.spark.sparkContext.addJobTag(tag)
         try:
             yield
         finally:
             if tag:
-                self.spark.removeTag(tag)
+                self.spark.sparkContext.removeJobTag(tag)
 
     def status(self) -> dict[str, int | None]:
         if self.snapshot is None:
@@ -102,8 +147,13 @@ class Engine:
         groups = dupes.duplicate_groups(printed)
         return dupes.duplicate_members(printed, groups, limit), dupes.totals(groups)
 
-    def duplicates_of_paths(self, limit: int = dupes.GROUP_LIMIT, whole: bool = False, locate: Callable[[Column], Column] = lambda path: path) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """(members, totals, counters) like :meth:`duplicates`, reading the ends of the files themselves. ``locate``: where executors find a path."""
+    def duplicates_of_paths(self, limit: int = dupes.GROUP_LIMIT, whole: bool = False, locate: Callable[[Column], Column] = lambda path: path, tag: str | None = None) -> tuple[DataFrame, ...] | None:
+        """(members, totals, counters) like :meth:`duplicates`, reading the ends of the files themselves. ``locate``: where executors find a path.
+
+        With a ``tag`` all is computed before it returns; if the tag is cancelled meanwhile there is no answer, not a part of one.
+        """
+        if tag is not None:
+            return self._all_or_nothing(tag, lambda: self.duplicates_of_paths(limit, whole, locate))
         files = self.paths()
         able = dupes.same_size(files)
         printed = cut(fingerprint_paths(able.withColumn("path", locate(F.col("path"))), whole))
