@@ -6,6 +6,9 @@ skips it and goes on.  Fields that a reader does not know are ignored; those tha
 
 from __future__ import annotations
 
+import json
+from typing import NamedTuple
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,3 +34,26 @@ def parsed_record(text: Column) -> Column:
 def last_of(volume: Column, record: Column, order: Column) -> Column:
     """Aggregate: the record that tells how a volume stands, the last one that ends it or else the last of all."""
     return F.max_by(record, F.struct(record["finished"], order))
+
+
+class Record(NamedTuple):
+    """A control record outside of a table."""
+
+    kind: str
+    volume: str
+    done: int = 0
+    total: int = 0
+    error: str | None = None
+
+    def text(self) -> str:
+        return json.dumps({"version": VERSION, **self._asdict(), "finished": self.kind != "progress"})
+
+
+def record_of(text: str) -> Record | None:
+    """The record of a line; None where :func:`parsed_record` is null."""
+    try:
+        fields = json.loads(text)
+        record = Record(*(fields.get(name) for name in Record._fields))
+        return record if 0 < fields["version"] <= VERSION and record.kind in KINDS else None
+    except (ValueError, TypeError, KeyError, AttributeError):
+        return None

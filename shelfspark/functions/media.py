@@ -150,6 +150,16 @@ def human_duration(ms: Column) -> Column:
     return F.when(ms == 0, "").when(h > 0, F.format_string("%d:%02d:%02d", h, m, s)).otherwise(F.format_string("%d:%02d", m, s))
 
 
+def count_label(n: Column, mark: str = ".") -> Column:
+    """``1.234.567``: a whole number in groups of three digits."""
+    return F.replace(F.format_number(n, 0), F.lit(","), F.lit(mark))
+
+
+def time_label(unix: Column) -> Column:
+    """``14:05:09 1/2/2024`` in the session's time zone; empty for no time."""
+    return F.when(F.coalesce(unix, F.lit(0)) == 0, "").otherwise(F.date_format(F.timestamp_seconds(unix), "HH:mm:ss d/M/yyyy"))
+
+
 def byte_range(header: Column, size: Column, cap: int = 8 << 20) -> Column:
     """First and last byte (inclusive) of a single-range header, clamped and capped; null if it cannot be served."""
     first, last = (F.regexp_extract(header, r"^bytes=(\d*)-(\d*)$", k) for k in (1, 2))

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from shelfspark.functions import control, media
 from shelfspark.operators import audit, changes, dupes, enrich, search, tree
-from shelfspark.queries import _contents, _hits, _PARTS, _read, _score_sql, _seeded, _SEEDED, part_library, query
+from shelfspark.plans.engine import Engine
+from shelfspark.plans.progress import read_progress
+from shelfspark.queries import _contents, _hits, _PARTS, _read, _score_sql, _seeded, _SEEDED, _TREE, _tree_records, part_library, query
 from shelfspark.sources import records, volumes
 from shelfspark.sources.snapshot import EmptySnapshot, PropertyStore, SnapshotStore, cut, shared_path
 from shelfspark.streaming import journal, source
@@ -392,3 +394,115 @@ def control_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = lines.select(key, control.parsed_record(F.col("line")).alias("r")).where("r is not null")
     last = known.groupBy("r.volume").agg(control.last_of(F.col("r.volume"), F.col("r"), key).alias("r"))
     return last.select("volume", "r.kind", "r.done", "r.total", "r.finished")
+
+
+# ---- labels, presets, lists, progress ------------------------------------------------------
+
+
+@query("count_labels", "SELECT o_orderkey, replace(format('{:,}', o_orderkey * 1009), ',', '.') AS label, replace(format('{:,}', -o_orderkey), ',', ' ') AS spaced FROM orders")
+def count_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    return _read(spark, sf_dir, "orders").select(key, media.count_label(key * 1009).alias("label"), media.count_label(-key, " ").alias("spaced"))
+
+
+@query("time_labels", "SELECT event_id, CASE WHEN event_id % 10 = 3 THEN '' ELSE strftime(make_timestamp((epoch_us(ts) // 1000000) * 1000000), '%H:%M:%S %-d/%-m/%Y') END AS label FROM events")
+def time_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    unix = F.when(F.col("event_id") % 10 == 3, F.lit(0)).otherwise(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000))
+    return _read(spark, sf_dir, "events").select("event_id", media.time_label(unix).alias("label"))
+
+
+_PRESET_SQL = {"720p": "h >= 720", "1080p": "h >= 1080", "4k": "h >= 2160", "short": "d > 0 AND d <= 60000", "medium": "d >= 60000 AND d <= 600000", "long": "d >= 600000", "week": "m >= 8035200", "month": "m >= 6048000", "year": "m >= 0"}
+
+
+@query("search_presets", "WITH p AS (SELECT p_partkey AS idx, lower(p_name) AS n, p_size * 60 AS h, CAST(floor(p_retailprice * 300) AS BIGINT) AS d, p_partkey * 4000 AS m FROM part) " + " UNION ALL ".join(f"SELECT '{name}' AS preset, idx FROM p WHERE contains(n, 'e') AND {sql}" for name, sql in [*_PRESET_SQL.items(), ("1080p medium month", " AND ".join(_PRESET_SQL[k] for k in ("1080p", "medium", "month")))]))
+def search_presets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hits of each preset, and of three at once, at a given moment."""
+    files, dirs, props = part_library(spark, sf_dir)
+    files = files.withColumn("mtime", F.col("idx") * 4000)
+    price = _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("idx"), F.floor(F.col("p_retailprice") * 300).cast("long").alias("duration_ms"))
+    props = props.select("idx", (F.col("width") * 3).alias("width"), (F.col("height") * 2).alias("height")).join(price, "idx")
+    dirs = dirs.withColumn("folded", F.lit("d"))
+    out = None
+    for names in [*((name,) for name in search.PRESETS), ("1080p", "medium", "month")]:
+        filters = search.preset_filters(*names)
+        days = filters.pop("within_days", 0)
+        options = search.SearchOptions(limit=search.MOST_LIMIT, modified_after=search.recency_cutoff(days, 8_640_000), **filters)
+        hits = search.search(files, dirs, "e", options, props).hits.select(F.lit(" ".join(names)).alias("preset"), "idx")
+        out = hits if out is None else out.unionByName(hits)
+    return out
+
+
+@query("first_files", rf"SELECT row_number() OVER (ORDER BY frn) - 1 AS idx, path || '\' || name AS path FROM ({_LIBRARY}) ORDER BY idx LIMIT 30")
+def first_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    now = _published(spark, sf_dir).load()
+    return audit.first_files(now.files, now.dirs, 30)
+
+
+@query(
+    "library_footprint",
+    f"""SELECT 'files' AS "table", count(*) AS rows, CAST(sum(strlen(name) + strlen(folded) + 5 + 1) AS BIGINT) AS text_bytes, count(*) * 40 AS number_bytes FROM ({_LIBRARY})
+UNION ALL SELECT 'dirs', count(*), CAST(sum(2 * strlen(path) + 1) AS BIGINT), count(*) * 16 FROM (SELECT DISTINCT path FROM ({_LIBRARY}))""",
+)
+def library_footprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    now = _published(spark, sf_dir).load()
+    return audit.footprint(now.files, now.dirs)
+
+
+@query(
+    "dupes_rows",
+    """WITH m AS (SELECT doc_id AS idx, length(text) AS size, count(*) OVER w AS n, min(doc_id) OVER w AS first FROM documents WHERE length(text) >= 64 WINDOW w AS (PARTITION BY length(text), text)),
+k AS (SELECT *, size * (n - 1) AS wasted FROM m WHERE n > 1 QUALIFY dense_rank() OVER (ORDER BY size * (n - 1) DESC, first) <= 500)
+SELECT DISTINCT wasted, first, true AS head, n, size, CAST(NULL AS BIGINT) AS idx FROM k UNION ALL SELECT wasted, first, false, n, size, idx FROM k""",
+)
+def dupes_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups as one list of head rows and member rows."""
+    printed = cut(dupes.fingerprinted(dupes.same_size(_contents(spark, sf_dir), 64), whole=True))
+    return dupes.group_rows(dupes.duplicate_members(printed, dupes.duplicate_groups(printed)))
+
+
+@query("enrich_order", _SEEDED + " SELECT idx, row_number() OVER (ORDER BY CASE k WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END, idx DESC) - 1 AS at FROM s WHERE NOT cached AND source <> 'src3'")
+def enrich_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each file's place in the queue of files whose properties are to be read."""
+    return enrich.numbered_queue(_seeded(spark, sf_dir), spark.createDataFrame([("src3",)], "letter string")).select("idx", "at")
+
+
+@query("network_drives", r"SELECT n_name AS letter, CASE WHEN n_nationkey % 2 = 0 THEN 'shelf ' || n_nationkey END AS label, CASE WHEN n_nationkey % 3 > 0 THEN '\\server\' || n_name END AS remote FROM nation WHERE n_regionkey = 0")
+def network_drives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("n_nationkey")
+    kind = F.when(F.col("n_regionkey") == 0, "network").otherwise("local")
+    rows = _read(spark, sf_dir, "nation").select(F.col("n_name").alias("letter"), kind.alias("kind"), F.when(key % 2 == 0, F.concat(F.lit("shelf "), key)).alias("label"), F.when(key % 3 > 0, F.concat(F.lit("\\\\server\\"), "n_name")).alias("remote"))
+    return volumes.network_drives(rows)
+
+
+@query(
+    "changes_of_volumes",
+    _RECORDS + " SELECT usn AS seq, CASE WHEN event_type = 'error' THEN 'gone' ELSE 'present' END AS op, CASE WHEN parent_frn % 2 = 0 THEN 'D' ELSE 'E' END AS volume, frn, parent_frn, name, is_dir FROM r WHERE ok AND event_type <> 'click'",
+)
+def changes_of_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One batch from the journals of two volumes, each decoded on its own."""
+    found = _decoded(spark, sf_dir)
+    return journal.changes_of_volumes({"D": found.where("parent_frn % 2 = 0"), "E": found.where("parent_frn % 2 <> 0")})
+
+
+@query(
+    "journal_one_volume",
+    _RECORDS + " SELECT usn AS seq, CASE WHEN event_type = 'error' THEN 'gone' ELSE 'present' END AS op, 'E' AS volume, frn, parent_frn, name, is_dir FROM r WHERE ok AND event_type <> 'click' AND parent_frn % 2 <> 0",
+)
+def journal_one_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Journals of two volumes, of which one is streamed: the other's state is never read (it is damaged)."""
+    events, folder = _events(spark, sf_dir), shared_path(spark)
+    source.write_buffers(_journal_buffers(events), f"{folder}/journals")
+    source.put(f"{folder}/journals/D/state.json", "damaged")
+    source.write_state(f"{folder}/journals", "E", 7, 0, events.agg(F.max("event_id")).first()[0] + 1)
+    stream = journal.changes_of(source.journal_stream(spark, f"{folder}/journals", volumes="e"))
+    source.finished(source.started(stream, lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/out/batch={n}"), f"{folder}/offsets"))
+    return spark.read.parquet(f"{folder}/out").drop("batch")
+
+
+@query("build_outcomes", _TREE + " SELECT outcome, count(*) AS files, 'finished' AS ended, 'C' AS volume FROM part JOIN t ON t.frn = p_partkey + 1000 GROUP BY outcome")
+def build_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A library is built; the outcomes are metrics of the job that writes its files, and the control record says how it ended."""
+    folder = shared_path(spark)
+    outcomes = Engine(spark, f"{folder}/library").build({"C": _tree_records(spark, sf_dir)}, progress=f"{folder}/progress.json")
+    ended = read_progress(f"{folder}/progress.json")
+    return spark.createDataFrame([(outcome, n, ended.kind, ended.volume) for outcome, n in outcomes["C"].items()], "outcome string, files long, ended string, volume string")

@@ -10,6 +10,7 @@ from shelfspark.sources.snapshot import cut
 
 TOP_EXTENSIONS, TOP_FOLDERS = 12, 25
 MOST_HOPS = 64
+_WIDTHS = {"long": 8, "integer": 4, "boolean": 1}
 
 
 def deletions_by_hour(deletions: DataFrame) -> DataFrame:
@@ -83,6 +84,24 @@ def systematic_sample(files: DataFrame, rows: int = 20) -> DataFrame:
     return files.where(F.col("idx") % step == 0).orderBy("idx").limit(rows)
 
 
+def first_files(files: DataFrame, dirs: DataFrame, rows: int = 20) -> DataFrame:
+    """(idx, path) of the first ``rows`` files by position: the files are cut before they meet the folders."""
+    first = files.orderBy("idx").limit(rows)
+    return first.join(dirs.select("dir_id", F.col("path").alias("dir")), "dir_id").select("idx", F.concat("dir", F.lit("\\"), "name").alias("path")).orderBy("idx")
+
+
+def footprint(files: DataFrame, dirs: DataFrame) -> DataFrame:
+    """(table, rows, text_bytes, number_bytes) that the tables of a library hold uncompressed, text in UTF-8, without Spark's own overhead."""
+
+    def of(name: str, table: DataFrame) -> DataFrame:
+        texts = [f.name for f in table.schema if f.dataType.typeName() == "string"]
+        width = sum(_WIDTHS[f.dataType.typeName()] for f in table.schema if f.name not in texts)
+        text = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in texts), F.lit(0)).cast("long")
+        return table.agg(F.count("*").alias("rows"), F.coalesce(F.sum(text), F.lit(0)).alias("text_bytes")).select(F.lit(name).alias("table"), "rows", "text_bytes", (F.col("rows") * width).alias("number_bytes"))
+
+    return of("files", files).unionByName(of("dirs", dirs))
+
+
 def differences(kept: DataFrame, scanned: DataFrame) -> DataFrame:
     """What a library that was kept up to date has other than a full scan: (volume, frn, reason, kept_path, scanned_path).
 

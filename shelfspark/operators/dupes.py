@@ -47,6 +47,18 @@ def duplicate_members(printed: DataFrame, groups: DataFrame, limit: int = GROUP_
     return printed.join(shown.select("size", "fp", "wasted", "first"), ["size", "fp"]).withColumn("keep", F.col("idx") == F.col("first"))
 
 
+def group_rows(members: DataFrame) -> DataFrame:
+    """Groups as one list: (wasted, first, head, n, size, idx), for each group a head row (idx null), then one for each of its members.
+
+    The list is sorted by the group's waste, then its first file.  ``n`` is the group's number of copies.
+    """
+    heads = members.groupBy("wasted", "first", "size").agg(F.count("*").alias("n"))
+    rows = members.select("wasted", "first", "idx", "size").join(heads.select("first", "n"), "first")  # a file is in one group only
+    columns = ["wasted", "first", F.col("idx").isNull().alias("head"), "n", "size", "idx"]
+    both = heads.withColumn("idx", F.lit(None).cast("long")).unionByName(rows.select(*heads.columns, "idx"))
+    return both.select(*columns).orderBy(F.desc("wasted"), "first", F.desc("head"), "idx")
+
+
 def totals(groups: DataFrame) -> DataFrame:
     """One row: groups and wasted, over all groups."""
     return groups.agg(F.count("*").alias("groups"), F.coalesce(F.sum("wasted"), F.lit(0)).alias("wasted"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.functions.media import path_key
+from shelfspark.sources.snapshot import assign_positions
 
 PRIORITY = ("video", "image", "audio")
 
@@ -25,6 +26,12 @@ def read_queue(seeded: DataFrame, network_volumes: DataFrame) -> DataFrame:
     return queue.withColumn("priority", rank).orderBy("priority", F.desc("idx"))
 
 
+def numbered_queue(seeded: DataFrame, network_volumes: DataFrame) -> DataFrame:
+    """The queue of :func:`read_queue` with each file's place in it (``at``, from 0), from a range-partitioned sort."""
+    queue = read_queue(seeded, network_volumes).withColumn("later", -F.col("idx"))
+    return assign_positions(queue, "at", ["priority", "later"]).drop("later")
+
+
 def merge_store(store: DataFrame, read: DataFrame) -> DataFrame:
     """The store with newly read entries (path_key, size, mtime, ...), which replace those of the same path."""
     return store.join(read.select("path_key").distinct(), "path_key", "left_anti").unionByName(read.select(*store.columns))

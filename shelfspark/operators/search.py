@@ -50,6 +50,34 @@ def parse_kinds(names: list[str]) -> tuple[str, ...]:
     return tuple(n for n in names if n in KINDS)
 
 
+#: Filters by name, of three sorts: resolution, length (from .. to, milliseconds), days since the last change.
+PRESETS: dict[str, dict[str, int]] = {
+    "720p": {"min_height": 720},
+    "1080p": {"min_height": 1080},
+    "4k": {"min_height": 2160},
+    "short": {"max_duration_ms": 60_000},
+    "medium": {"min_duration_ms": 60_000, "max_duration_ms": 600_000},
+    "long": {"min_duration_ms": 600_000},
+    "week": {"within_days": 7},
+    "month": {"within_days": 30},
+    "year": {"within_days": 365},
+}
+
+
+def preset_filters(*names: str) -> dict[str, int]:
+    """The filters of presets, for ``Engine.search(..., **preset_filters("1080p", "long"))``. Raises ValueError on unknown names and on two of one sort."""
+    out: dict[str, int] = {}
+    for name in names:
+        filters = PRESETS.get(name.lower())
+        if filters is None:
+            raise ValueError(f"unknown preset {name}; there are {', '.join(PRESETS)}")
+        sort = {k.split("_", 1)[1] for k in filters}
+        if any(k.split("_", 1)[1] in sort for k in out):
+            raise ValueError(f"{name} narrows what another preset narrows already")
+        out |= filters
+    return out
+
+
 def recency_cutoff(days: int, now: int) -> int:
     return max(now - days * 86_400, 0) if days else 0
 

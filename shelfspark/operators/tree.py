@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from shelfspark.functions.media import EXCLUDED, ROOT, excluded_component, full_path, lookup_frn, record_number
 from shelfspark.sources.snapshot import cut
 
-OK, EXCLUDED_DIR, ORPHANED, CYCLE, TOO_DEEP = "ok", "excluded", "orphaned", "cycle", "too_deep"
+OUTCOMES = OK, EXCLUDED_DIR, ORPHANED, CYCLE, TOO_DEEP = "ok", "excluded", "orphaned", "cycle", "too_deep"
 
 
 def resolve_directories(records: DataFrame, letter: str, skip_dot: bool = True, excluded: list[str] = EXCLUDED, max_depth: int = 128) -> DataFrame:

@@ -4,19 +4,20 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 from dataclasses import replace
-from threading import Lock
+from threading import Event, Lock, Thread
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.operators import audit, dupes, enrich
 from shelfspark.operators.search import LIMIT, SearchOptions, SearchResult, no_hits, parse_kinds, recency_cutoff, search, with_paths
-from shelfspark.operators.tree import resolve_directories, resolve_files, used_directories
+from shelfspark.operators.tree import OUTCOMES, resolve_directories, resolve_files, used_directories
+from shelfspark.plans.progress import Cancelled, reported
 from shelfspark.sources.contents import fingerprint_paths
 from shelfspark.sources.properties import read_media_properties
-from shelfspark.sources.snapshot import EmptySnapshot, PropertyStore, Snapshot, SnapshotStore, assign_positions, carry_over, cut
+from shelfspark.sources.snapshot import EmptySnapshot, PropertyStore, Snapshot, SnapshotStore, carry_over, cut
 from shelfspark.streaming.journal import library_rows, merge_batch
 
 
@@ -38,17 +39,69 @@ class Engine:
             self.snapshot, self.props = self.store.load(epoch), None
         return epoch
 
-    def build(self, records: dict[str, DataFrame], stats: DataFrame | None = None, full: bool = False) -> dict[str, dict[str, int]]:
+    def watch(self, reloaded: Callable[[int], None] = lambda epoch: None, every: float = 5.0) -> Callable[[], None]:
+        """Follow the pointer every so many seconds, so that what others publish is found here; returns what ends it.
+
+        ``reloaded`` is told each new epoch.  A look that fails is tried again at the next one.
+        """
+        over = Event()
+
+        def follow() -> None:
+            while not over.wait(every):
+                before = self.snapshot.epoch if self.snapshot else None
+                try:
+                    epoch = self.reload()
+                except Exception:
+                    continue  # being replaced just now
+                if epoch is not None and epoch != before:
+                    reloaded(epoch)
+
+        watcher = Thread(target=follow, daemon=True)
+        watcher.start()
+
+        def end() -> None:
+            over.set()
+            watcher.join()
+
+        return end
+
+    def build(self, records: dict[str, DataFrame], stats: DataFrame | None = None, full: bool = False, tag: str | None = None, progress: str | None = None) -> dict[str, dict[str, int]]:
         """Resolve the records of each volume letter and publish a snapshot; returns outcome counts by volume.
 
         Volumes that are not scanned are carried over unless ``full``.  ``stats`` (path,
         size, mtime) measures the files.  Nothing is published if there would be no files.
+        A build whose ``tag`` is cancelled publishes nothing and raises Cancelled.  ``progress`` names
+        a file that tells how far it is (see ``plans.progress``); it says ``finished`` once the snapshot is published.
         """
+        if tag is not None:
+            with self._lock:
+                self._stopped.discard(tag)
+
+        def ready() -> None:
+            if tag is not None and tag in self._stopped:
+                raise Cancelled(tag)
+            if tag is not None:
+                self.spark.sparkContext.removeJobTag(tag)  # from here on it is published
+
+        with reported(self.spark, progress, ",".join(records)) if progress else nullcontext(), self._tagged(tag):
+            try:
+                files, dirs, outcomes = self._resolved(records, stats, full)
+                self.store.publish(*library_rows(files, dirs), ready)
+            except Exception as error:
+                if tag is None or tag not in self._stopped or isinstance(error, Cancelled):
+                    raise
+                raise Cancelled(tag) from error
+            self.reload()
+        return outcomes
+
+    def _resolved(self, records: dict[str, DataFrame], stats: DataFrame | None, full: bool) -> tuple[DataFrame, DataFrame, dict[str, dict[str, int]]]:
+        """Files and directories of the library after a scan, and the outcomes by volume."""
         files, dirs, outcomes = None, None, {}
         for letter, rows in records.items():
             resolved = resolve_directories(rows, letter)
-            found = resolve_files(rows, resolved)
-            outcomes[letter] = {r["outcome"]: r["n"] for r in found.groupBy("outcome").agg(F.count("*").alias("n")).collect()}
+            counts = Observation()  # gathered by the tasks that write the files, each of which counts once
+            found = cut(resolve_files(rows, resolved).observe(counts, *(F.count_if(F.col("outcome") == o).alias(o) for o in OUTCOMES)))
+            outcomes[letter] = {outcome: n for outcome, n in counts.get.items() if n}
             used = used_directories(found, resolved).withColumn("volume", F.lit(letter))
             placed = found.where("outcome = 'ok'").select(F.lit(letter).alias("volume"), "frn", "name", "kind", "dir", "path")
             files = placed if files is None else files.unionByName(placed)
@@ -63,9 +116,7 @@ class Engine:
             old = self.snapshot.files.join(self.snapshot.dirs.select("dir_id", F.col("path").alias("dir")), "dir_id")
             scanned = self.spark.createDataFrame([(letter,) for letter in records], "volume string")
             files, dirs = carry_over(old.select(*files.columns), files, scanned), carry_over(old_dirs.select(*dirs.columns), dirs, scanned)
-        self.store.publish(*library_rows(files, dirs))
-        self.reload()
-        return outcomes
+        return files, dirs, outcomes
 
     def apply_changes(self, changes: DataFrame, lookup: DataFrame | None = None) -> dict[str, int]:
         """Merge a batch of journal changes; returns the counters."""
@@ -155,10 +206,9 @@ class Engine:
         if tag is not None:
             return self._all_or_nothing(tag, lambda: self.duplicates_of_paths(limit, whole, locate))
         files = self.paths()
-        able = dupes.same_size(files)
-        printed = cut(fingerprint_paths(able.withColumn("path", locate(F.col("path"))), whole))
+        printed = cut(fingerprint_paths(dupes.same_size(files).withColumn("path", locate(F.col("path"))), whole))
         groups = dupes.duplicate_groups(printed)
-        return dupes.duplicate_members(printed, groups, limit), dupes.totals(groups), dupes.counters(files, able, printed)
+        return dupes.duplicate_members(printed, groups, limit), dupes.totals(groups), dupes.counters(files, printed, printed)
 
     def read_properties(self, store: PropertyStore, network_volumes: DataFrame, read: Callable[[DataFrame], DataFrame] = read_media_properties, batch: int = 500, stop: Callable[[], bool] = lambda: False) -> int:
         """Read the properties of queued files, ``batch`` at a time, saving each batch; returns how many were read.
@@ -168,8 +218,7 @@ class Engine:
         queue is done, ``stop()`` holds, or a newer snapshot is published; what was read is kept.
         """
         done, epoch = 0, self._now().epoch
-        queue = enrich.read_queue(enrich.seed_from_store(self.paths(), store.load()), network_volumes)
-        numbered = assign_positions(queue.withColumn("later", -F.col("idx")), "at", ["priority", "later"]).drop("later")
+        numbered = enrich.numbered_queue(enrich.seed_from_store(self.paths(), store.load()), network_volumes)
         queue = cut(numbered.repartitionByRange("at").sortWithinPartitions("at"))
         for first in range(0, queue.count(), batch):
             if stop() or self.store.current_epoch() != epoch:

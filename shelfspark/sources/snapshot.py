@@ -12,6 +12,7 @@ layer.  Once there are ``MOST_LAYERS``, or their rows pass a share of the whole,
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -104,14 +105,15 @@ class SnapshotStore:
         last = changed.groupBy(key).agg(F.max_by(F.struct("gone", *rest), "layer").alias("r")).select(key, "r.*")
         return whole.join(last.select(key), key, "left_anti").select(*own).unionByName(last.where("not gone").select(*own))
 
-    def publish(self, files: DataFrame, dirs: DataFrame) -> int:
-        """Write a new epoch and point to it. Raises EmptySnapshot if there are no files."""
+    def publish(self, files: DataFrame, dirs: DataFrame, ready: Callable[[], None] = lambda: None) -> int:
+        """Write a new epoch and point to it. Raises EmptySnapshot if there are no files; what ``ready`` raises, between the two, stops it too."""
         epoch = (self.current_epoch() or 0) + 1
         for name, table in (("files", files), ("dirs", dirs)):
             table.write.mode("overwrite").parquet(f"{self.root}/epoch={epoch}/{name}")
         rows = self._merged("files", [epoch]).count()
         if not rows:
             raise EmptySnapshot(f"epoch {epoch} has no files and is not published")
+        ready()
         self._point(epoch, None, 0, rows)
         return epoch
 

@@ -11,6 +11,12 @@ JOURNALS = "letter string, serial long, journal_id long, first_usn long, next_us
 FROM_CURSOR, FULL, KEEP = "from_cursor", "full", "keep"
 
 
+def network_drives(volumes: DataFrame) -> DataFrame:
+    """(letter, label, remote) of the volumes that are on a network; of several rows of a letter one that names its target."""
+    rows = volumes.where("kind = 'network'").groupBy("letter").agg(F.max(F.struct(F.col("remote").isNotNull().alias("known"), "remote", "label")).alias("v"))
+    return rows.select("letter", "v.label", "v.remote")
+
+
 def update_plan(stamps: DataFrame, journals: DataFrame) -> DataFrame:
     """(letter, action, reason, from_usn, to_usn) of every volume that has a stamp or is attached.
 

@@ -9,6 +9,7 @@ JournalRestart, after which the caller rebuilds the library from a full scan.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,6 +60,11 @@ def changes_of(records: DataFrame, volume: str | None = None) -> DataFrame:
     return rows.where("op is not null")
 
 
+def changes_of_volumes(records: dict[str, DataFrame]) -> DataFrame:
+    """One batch of changes from the decoded journal records of several volumes, by letter; nothing of other volumes is touched by it."""
+    return reduce(DataFrame.unionByName, (changes_of(rows, letter) for letter, rows in records.items()))
+
+
 def deletions_of(records: DataFrame, volume: str, media_only: bool = True) -> DataFrame:
     """Deletion records (volume, frn, parent_frn, name, is_dir, filetime); directories always, files of any type on demand."""
     is_dir = F.col("attrs").bitwiseAND(F.lit(DIRECTORY)) != 0
@@ -107,23 +113,22 @@ def follow(spark: SparkSession, changes_folder: str, store: SnapshotStore, check
 def stream_last(stream: DataFrame, keys: list[str], by: str) -> DataFrame:
     """The last row of each key over all that a stream holds now.
 
-    Every batch is reduced to its last rows, joined with those so far, and written as a
-    version of its own, so a batch that is run again replaces its own output.
+    The state is a stateful aggregate of the stream: a batch updates the keys that it holds, and only these
+    are written, as a layer of their own, so a batch that is run again replaces its own output.  A key's row is
+    the one of its newest layer.
     """
     spark, folder = stream.sparkSession, shared_path(stream.sparkSession)
     rest = [c for c in stream.columns if c not in keys]
-    versions: list[str] = []
+    last = stream.groupBy(*keys).agg(F.max_by(F.struct(*rest), by).alias("last")).select(F.struct(*keys).alias("key"), "last")
 
-    def last(rows: DataFrame) -> DataFrame:
-        return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), by).alias("last")).select(*keys, "last.*")
+    batches: list[int] = []
 
-    def step(batch: DataFrame, number: int) -> None:
-        before = [v for v in versions if v != f"{folder}/version={number}"][-1:]
-        rows = last(batch)
-        if before:
-            rows = last(rows.unionByName(batch.sparkSession.read.schema(rows.schema).parquet(*before)))
-        rows.write.mode("overwrite").parquet(f"{folder}/version={number}")
-        versions.append(f"{folder}/version={number}")
+    def step(rows: DataFrame, number: int) -> None:
+        batches.append(number)
+        rows.write.mode("overwrite").parquet(f"{folder}/layers/layer={number}")
 
-    stream.writeStream.option("checkpointLocation", f"{folder}/offsets").foreachBatch(step).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(versions[-1]) if versions else spark.createDataFrame([], stream.schema)
+    last.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/state").foreachBatch(step).trigger(availableNow=True).start().awaitTermination()
+    if not batches:
+        return spark.createDataFrame([], stream.schema)
+    layers = spark.read.schema(last.schema.add("layer", "long")).parquet(f"{folder}/layers")
+    return layers.groupBy("key").agg(F.max_by("last", "layer").alias("last")).select("key.*", "last.*").select(*stream.columns)

@@ -11,7 +11,8 @@ batch's range.  A journal that is off, was replaced, or has dropped records that
 ends the stream with :class:`~shelfspark.streaming.journal.JournalRestart`.
 
 Options: ``path``; ``from`` (``first``: everything a journal holds, or ``now``: what comes after
-the start; a volume that appears later is read from its first record); ``buffersPerTask``.  The
+the start; a volume that appears later is read from its first record); ``volumes`` (letters with commas
+between: no other volume's state or buffers are read); ``buffersPerTask``.  The
 source keeps nothing that a commit could release; :func:`positions` reads what a checkpoint has committed.
 
 A record without a sequence number (broken, or of another version) belongs to the batch that
@@ -76,17 +77,18 @@ class JournalReader(DataSourceStreamReader):
         options = {k.lower(): v for k, v in options.items()}
         self.path, self.begin = options["path"], options.get("from", "first")
         self.buffers_per_task = int(options.get("bufferspertask", BUFFERS_PER_TASK))
+        self.volumes = frozenset(v.strip().upper() for v in options.get("volumes", "").split(",") if v.strip())
         if self.begin not in ("first", "now"):
             raise ValueError(f"from must be first or now, not {self.begin}")
 
     def initialOffset(self) -> dict:
-        return {v: {"journal": s.journal_id, "next": s.first_usn if self.begin == "first" else s.next_usn} for v, s in states(self.path).items() if s.active}
+        return {v: {"journal": s.journal_id, "next": s.first_usn if self.begin == "first" else s.next_usn} for v, s in states(self.path, self.volumes).items() if s.active}
 
     def latestOffset(self) -> dict:
-        return {v: {"journal": s.journal_id, "next": s.next_usn} for v, s in states(self.path).items() if s.active}
+        return {v: {"journal": s.journal_id, "next": s.next_usn} for v, s in states(self.path, self.volumes).items() if s.active}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        now, out = states(self.path), []
+        now, out = states(self.path, self.volumes), []
         for volume in sorted({*start, *end}):
             state = now.get(volume)
             upto = end.get(volume)
@@ -116,11 +118,13 @@ class JournalReader(DataSourceStreamReader):
                 yield pa.RecordBatch.from_arrays([pa.array([partition.volume] * n, pa.string()), pa.array([partition.journal_id] * n, pa.int64()), *batch.columns], schema=_ARROW)
 
 
-def states(path: str) -> dict[str, State]:
-    """The state of each volume below ``path``."""
+def states(path: str, volumes: frozenset[str] = frozenset()) -> dict[str, State]:
+    """The state of each volume below ``path``, or of those named."""
     system, root = located(path)
     out = {}
     for entry in system.get_file_info(fs.FileSelector(root, allow_not_found=True)):
+        if volumes and entry.base_name.upper() not in volumes:
+            continue
         name = f"{entry.path}/state.json"
         if entry.type == fs.FileType.Directory and system.get_file_info(name).type == fs.FileType.File:
             with system.open_input_file(name) as file:
