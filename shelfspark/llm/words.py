@@ -39,7 +39,7 @@ def _byte_values(seed: int, lower: bool) -> np.ndarray:
 
 #: Random values per byte; the second family serves where 64 bits are too few.
 PLAIN, PLAIN_2 = _byte_values(0x1234567, False), _byte_values(0x7654321, False)
-LOWER = _byte_values(0x1234567, True)
+LOWER, LOWER_2 = _byte_values(0x1234567, True), _byte_values(0x7654321, True)
 
 
 def _flags(is_separator) -> np.ndarray:

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from shelfspark.llm import collocations as C
 from shelfspark.llm import importance as I
 from shelfspark.llm import line_crf as L
-from shelfspark.llm.decontaminate import benchmark_hits
+from shelfspark.llm import words as W
+from shelfspark.llm.decontaminate import Index, benchmark_hits, words_of
 from shelfspark.llm.lm_scoring import class_model_scores
 from shelfspark.llm.mixing import sampled_copies
 
@@ -277,3 +278,32 @@ def test_very_long_texts_are_taken_whole(spark):
     assert (hits[1]["n_hit"], hits[1]["n_words"], hits[2]["n_hit"]) == (11, 1_200_011, 0)
     scores = {r["doc_id"]: r for r in class_model_scores(docs.drop("source"), F.col("doc_id") == 2, classes=4, core_share=0.01, suffixes=8).collect()}
     assert scores[1]["n_tokens"] == 1_200_012 and scores[2]["n_known"] == 4 and math.isfinite(scores[1]["score"])
+
+
+# ---- 7
+
+
+def test_runs_of_equal_first_hashes_are_told_apart(spark, monkeypatch):
+    """The first family maps all bytes of a class to one value, so many runs collide in it; the second one decides."""
+    blunt = W.LOWER.copy()
+    blunt[ord("a") : ord("z") + 1] = blunt[ord("A") : ord("Z") + 1] = blunt[ord("a")]
+    monkeypatch.setattr(W, "LOWER", blunt)
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abc") for _ in range(3))
+    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate((14, 12, 4, 3, 10))]
+    docs = [" ".join(word() for _ in range(200)) for _ in range(6)] + [" ".join([word(), t, word()]).upper() for _, t in items]
+    index = Index([i for i, _ in items], [t for _, t in items], 10, 5)
+    n_hit, doc, item = index.hits(words_of(pa.array(docs, pa.large_string())))
+    found = {(d, i) for d, i in zip(doc.tolist(), item.tolist(), strict=True)}
+    want, covered = set(), [set() for _ in docs]
+    for d, text in enumerate(docs):
+        words = text.lower().split()
+        for i, t in items:
+            own = t.split()
+            width = min(10, len(own))
+            runs = {tuple(own[j : j + width]) for j in range(len(own) - width + 1)}
+            for j in range(len(words) - width + 1):
+                if tuple(words[j : j + width]) in runs:
+                    want.add((d, i))
+                    covered[d] |= set(range(j, j + width))
+    assert found == want and n_hit.tolist() == [len(c) for c in covered] and len(want) >= len(items)
