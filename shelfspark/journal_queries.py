@@ -416,7 +416,7 @@ _PRESET_SQL = {"720p": "h >= 720", "1080p": "h >= 1080", "4k": "h >= 2160", "sho
 
 @query("search_presets", "WITH p AS (SELECT p_partkey AS idx, lower(p_name) AS n, p_size * 60 AS h, CAST(floor(p_retailprice * 300) AS BIGINT) AS d, p_partkey * 4000 AS m FROM part) " + " UNION ALL ".join(f"SELECT '{name}' AS preset, idx FROM p WHERE contains(n, 'e') AND {sql}" for name, sql in [*_PRESET_SQL.items(), ("1080p medium month", " AND ".join(_PRESET_SQL[k] for k in ("1080p", "medium", "month")))]))
 def search_presets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The hits of each preset, and of three at once, at a given moment."""
+    """All hits of each preset, and of three at once, at a given moment."""
     files, dirs, props = part_library(spark, sf_dir)
     files = files.withColumn("mtime", F.col("idx") * 4000)
     price = _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("idx"), F.floor(F.col("p_retailprice") * 300).cast("long").alias("duration_ms"))
@@ -426,7 +426,7 @@ def search_presets(spark: SparkSession, sf_dir: str) -> DataFrame:
     for names in [*((name,) for name in search.PRESETS), ("1080p", "medium", "month")]:
         filters = search.preset_filters(*names)
         days = filters.pop("within_days", 0)
-        options = search.SearchOptions(limit=search.MOST_LIMIT, modified_after=search.recency_cutoff(days, 8_640_000), **filters)
+        options = search.SearchOptions(limit=None, modified_after=search.recency_cutoff(days, 8_640_000), **filters)
         hits = search.search(files, dirs, "e", options, props).hits.select(F.lit(" ".join(names)).alias("preset"), "idx")
         out = hits if out is None else out.unionByName(hits)
     return out

@@ -30,7 +30,7 @@ BROADCAST_FOLDERS = 64 << 20
 
 @dataclass(frozen=True)
 class SearchOptions:
-    """What a search may be narrowed to; 0 or empty means no filter."""
+    """What a search may be narrowed to; 0 or empty means no filter. A ``limit`` is ``MOST_LIMIT`` at most; None serves every hit."""
 
     kinds: tuple[str, ...] = ()
     min_height: int = 0
@@ -38,7 +38,7 @@ class SearchOptions:
     max_duration_ms: int = 0
     modified_after: int = 0
     order: str = "relevance"
-    limit: int = LIMIT
+    limit: int | None = LIMIT
 
     @property
     def by_props(self) -> bool:
@@ -146,7 +146,7 @@ def planned_bytes(df: DataFrame) -> int:
 
 
 def ranked(files: DataFrame, dirs: DataFrame, tokens: list[str], floor: int, options: SearchOptions, props: DataFrame | None = None) -> DataFrame:
-    """The best ``limit`` files that match at least ``floor`` of the tokens, with matched, score and key."""
+    """The best ``limit`` files (None: all, in no order) that match at least ``floor`` of the tokens, with matched, score and key."""
     scored = _scored_folders(dirs, tokens)
     rows = _accepted(files, options, props).join(scored, "dir_id", "left")
     parts = [F.coalesce(name_score(F.col("folded"), t), F.col(f"d{i}")) for i, t in enumerate(tokens)]
@@ -156,7 +156,8 @@ def ranked(files: DataFrame, dirs: DataFrame, tokens: list[str], floor: int, opt
     points = reduce(lambda a, b: a + b, (F.coalesce(s, F.lit(0)) for s in names)) + length_bonus(F.col("folded"))
     rows = rows.where(F.col("matched") >= floor).withColumn("score", F.col("matched") * MATCHED_WEIGHT + points)
     key = F.col("mtime") if options.order == "newest" else F.col("score")
-    return rows.withColumn("key", key.cast("long")).drop(*(f"s{i}" for i in range(len(tokens)))).orderBy(F.desc("key"), "idx").limit(max(1, min(options.limit, MOST_LIMIT)))
+    rows = rows.withColumn("key", key.cast("long")).drop(*(f"s{i}" for i in range(len(tokens))))
+    return rows if options.limit is None else rows.orderBy(F.desc("key"), "idx").limit(max(1, min(options.limit, MOST_LIMIT)))
 
 
 @dataclass
@@ -194,7 +195,7 @@ def no_hits(files: DataFrame) -> DataFrame:
 def search(files: DataFrame, dirs: DataFrame, query: str, options: SearchOptions = SearchOptions(), props: DataFrame | None = None) -> SearchResult:
     """All tokens must match; if nothing does and there are three or more, the best partial matches of half of them."""
     tokens = query_tokens(query)
-    if not tokens or options.limit <= 0:
+    if not tokens or options.limit is not None and options.limit <= 0:
         return SearchResult(with_paths(no_hits(files), dirs), tokens)
     if len(tokens) < 3:
         return SearchResult(with_paths(ranked(files, dirs, tokens, len(tokens), options, props), dirs), tokens)
@@ -203,7 +204,7 @@ def search(files: DataFrame, dirs: DataFrame, query: str, options: SearchOptions
         strict = cut(ranked(files, dirs, tokens, len(tokens), options, props))
         if not strict.isEmpty():
             return SearchResult(with_paths(strict, dirs), tokens)
-    # By relevance the rows that match most come first, so one pass over the files serves both; what is kept is ``limit`` rows at most.
+    # By relevance the rows that match most come first, so one pass over the files serves both; what is kept is ``limit`` rows at most, unless all are asked for.
     rows = cut(ranked(files, dirs, tokens, half, options, props))
     best = rows.agg(F.max("matched").alias("m")).first()["m"]
     if best is not None:

@@ -124,15 +124,16 @@ class Engine:
         self.reload()
         return counts
 
-    def search(self, query: str, kinds: list[str] | None = None, limit: int = LIMIT, within_days: int = 0, order: str = "relevance", tag: str | None = None, supersedes: str | None = None, **filters: int) -> SearchResult:
+    def search(self, query: str, kinds: list[str] | None = None, limit: int | None = LIMIT, within_days: int = 0, order: str = "relevance", tag: str | None = None, supersedes: str | None = None, **filters: int) -> SearchResult:
         """Ranked hits. ``filters``: min_height, min_duration_ms, max_duration_ms. ``tag`` names the job for :meth:`cancel`.
+        Without a ``limit`` (None) every hit is served.
 
         Of searches that name the same ``supersedes`` (a search box), a newer one stops the older ones, whose
         hits are then empty; the hits of the newest are computed before it returns.
         """
         now = self._now()
         options = SearchOptions(kinds=parse_kinds(kinds or []), limit=limit, order=order, modified_after=recency_cutoff(within_days, int(time.time())), **filters)
-        run = lambda: search(now.files, now.dirs, query, replace(options, limit=max(1, limit)), self.props)
+        run = lambda: search(now.files, now.dirs, query, replace(options, limit=None if limit is None else max(1, limit)), self.props)
         if supersedes is None:
             with self._tagged(tag):
                 return run()

@@ -130,3 +130,14 @@ def test_the_plan_takes_the_top_without_a_full_sort(spark):
 
 def test_cutoff():
     assert recency_cutoff(0, 100) == 0 and recency_cutoff(1, 100_000) == 13_600 and recency_cutoff(30, 10) == 0
+
+
+def test_without_a_limit_every_hit_is_served(spark, monkeypatch):
+    """The most that a limit may ask for does not bound a search without one."""
+    from shelfspark.operators import search as module
+    from shelfspark.queries import ORACLE, QUERIES
+
+    from .test_queries import compare
+
+    monkeypatch.setattr(module, "MOST_LIMIT", 5)
+    compare(spark, QUERIES["search_presets"], ORACLE["search_presets"])
