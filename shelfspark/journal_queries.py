@@ -202,7 +202,8 @@ def _layered(spark: SparkSession, sf_dir: str) -> SnapshotStore:
     part = _read(spark, sf_dir, "part")
     key = F.col("p_partkey") + 1000
     rows = part.where("p_partkey % 50 < 2").select(F.col("p_partkey").alias("seq"), F.when(key % 50 == 0, "gone").otherwise("present").alias("op"), F.lit("D").alias("volume"), key.alias("frn"), (F.split("p_brand", "#")[1].cast("long") + 100).alias("parent_frn"), F.concat(F.lit("other "), "p_name", F.lit(".mp4")).alias("name"), F.lit(False).alias("is_dir"))
-    folders = [(-3, "present", "D", 7001, 5, "New", True), (-2, "present", "D", 7002, 7001, "Inner", True), (-1, "present", "D", 111, 7002, "Brand#11", True)]
+    new, inner = 1 << 46, (1 << 46) + 1  # beyond the numbers of all files
+    folders = [(-3, "present", "D", new, 5, "New", True), (-2, "present", "D", inner, new, "Inner", True), (-1, "present", "D", 111, inner, "Brand#11", True)]
     # The root is no folder of the parts: it is looked up.
     lookup = spark.createDataFrame([("D", 5, "path", "D:")], changes.LOOKUP)
     journal.merge_batch(store, rows.unionByName(spark.createDataFrame(folders, rows.schema)), lookup)

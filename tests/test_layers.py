@@ -102,3 +102,18 @@ def test_no_layer_empties_a_library(spark, tmp_path):
     assert store.current_epoch() == 1 and store.load().files.count() == 1
     now = store.load()
     assert not delta_of(now.files, now.dirs, spark.createDataFrame([], CHANGES)).changed
+
+
+@pytest.mark.parametrize("name", ["snapshot_layers", "snapshot_layer_rows"])
+def test_new_folders_share_no_number_with_files(spark, tmp_path, name):
+    """Parts with keys from 5,900 on, whose files would have the numbers 7,001 and 7,002."""
+    duckdb = pytest.importorskip("duckdb")
+    from shelfspark.queries import ORACLE, QUERIES
+
+    from .test_queries import DATA, TABLES, compare
+
+    for t in TABLES:
+        if t != "part":
+            (tmp_path / f"{t}.parquet").symlink_to(f"{DATA}/{t}.parquet")
+    duckdb.sql(f"COPY (SELECT * REPLACE (p_partkey + 5900 AS p_partkey) FROM '{DATA}/part.parquet') TO '{tmp_path}/part.parquet' (FORMAT parquet)")
+    compare(spark, QUERIES[name], ORACLE[name], str(tmp_path))
