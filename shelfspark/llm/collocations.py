@@ -52,6 +52,8 @@ FOUND = "lang string, phrase string, n long, partial boolean"
 SPLIT = 500_000
 #: Phrases of a language that one task of the ranking sorts first.
 RANKED = 200_000
+#: Spans whose bytes are gathered at once.
+GATHERED = 1 << 16
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -73,7 +75,7 @@ class Tokens(NamedTuple):
 def tokens_of(block: pa.Table) -> Tokens:
     data, bounds = W.text_bytes(block["text"])
     s = W.split(_LOWER[data], bounds, BETWEEN)
-    ended = np.cumsum(PIECE_ENDS[data])
+    ended = np.cumsum(PIECE_ENDS[data], dtype=np.int32)
     lang = pc.dictionary_encode(block["lang"].combine_chunks())
     word = pc.dictionary_encode(span_strings(s.data, s.starts, s.ends))
     doc = s.doc
@@ -83,8 +85,16 @@ def tokens_of(block: pa.Table) -> Tokens:
 def span_strings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     """The spans as strings."""
     offsets = np.concatenate(([0], np.cumsum(ends - starts)))
-    at = np.repeat(starts - offsets[:-1], ends - starts) + np.arange(offsets[-1])
-    return pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data[at])])
+    out = np.empty(offsets[-1], np.uint8)
+    for a, b in _slices(len(starts)):  # the places of bytes take eight times the bytes
+        at = np.repeat(starts[a:b] - offsets[a:b], ends[a:b] - starts[a:b]) + np.arange(offsets[a], offsets[b])
+        out[offsets[a] : offsets[b]] = data[at]
+    return pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(out)])
+
+
+def _slices(n: int) -> list[tuple[int, int]]:
+    """0 to ``n`` in slices of ``GATHERED``."""
+    return [(a, min(a + GATHERED, n)) for a in range(0, n, GATHERED)]
 
 
 def _numbered(keys: np.ndarray) -> np.ndarray:
@@ -92,14 +102,9 @@ def _numbered(keys: np.ndarray) -> np.ndarray:
     return pc.dictionary_encode(pa.array(keys)).indices.to_numpy().astype(np.int64)
 
 
-def runs(first: np.ndarray, most: int) -> list[np.ndarray]:
-    """For each length k up to ``most``, a number for the run of k words from each place: equal runs have equal numbers."""
-    out = [np.zeros(0, np.int64), first]
-    size = int(first.max()) + 1 if len(first) else 1
-    for k in range(2, most + 1):
-        n = max(len(first) - k + 1, 0)
-        out.append(_numbered(out[-1][:n] * size + first[k - 1 : k - 1 + n]))
-    return out
+def _longer(number: np.ndarray, first: np.ndarray, size: int, at: np.ndarray) -> np.ndarray:
+    """The number of each run with the word at ``at`` added: equal runs have equal numbers. ``first``: words below ``size``."""
+    return _numbered(number * size + first[at])
 
 
 def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -218,13 +223,17 @@ def fragments_of(table: pa.Table, answered: np.ndarray, least: int, most: int, b
     rank = _ranks(t, w, answered, least)[w.of]
     before, after = reach(rank, t.piece, most)
     size = before + after + 1
-    numbers = runs(w.of, 2 * most - 1)
     pivot, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    left = np.flatnonzero(size > 1)  # only fragments are numbered, each up to its own length
+    number = w.of[left - before[left]]
     for k in range(2, 2 * most):
-        at = np.flatnonzero(size == k)
-        first, count = _groups(numbers[k][at - before[at]] * most + before[at])
+        number = _longer(number, w.of, len(w.n), left - before[left] + k - 1)
+        whole = size[left] == k
+        at = left[whole]
+        first, count = _groups(number[whole] * most + before[at])
         pivot.append(at[first])
         n.append(count)
+        left, number = left[~whole], number[~whole]
     pivot, n = np.concatenate(pivot), np.concatenate(n)
     word = w.of[pivot]
     parts = 1 + answered[word] // split
@@ -251,16 +260,23 @@ def _hashes(strings: pa.Array) -> np.ndarray:
 
 def _joined(t: Tokens, first: np.ndarray, size: np.ndarray) -> pa.Array:
     """Runs of words as strings: one space between the words, a newline at the end."""
+    parts = [_joined_bytes(t, first[a:b], size[a:b]) for a, b in _slices(len(first))]
+    offsets = np.concatenate(([0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *(n for _, n in parts)])))).astype(np.int64)
+    out = np.concatenate([np.zeros(0, np.uint8), *(data for data, _ in parts)])
+    return pa.Array.from_buffers(pa.large_string(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(out)])
+
+
+def _joined_bytes(t: Tokens, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of the runs of :func:`_joined`, and how many each has."""
     ends = np.cumsum(size)
-    token = np.repeat(first - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+    token = np.repeat(first - (ends - size), size) + np.arange(ends[-1])
     length = t.ends[token] - t.starts[token] + 1
     after = np.cumsum(length)
-    at = np.repeat(t.starts[token] - (after - length), length) + np.arange(after[-1] if len(after) else 0)
-    out = np.append(t.data, np.uint8(0))[at]
+    at = np.repeat(t.starts[token] - (after - length), length) + np.arange(after[-1])
+    out = t.data[np.minimum(at, len(t.data) - 1)]
     out[after - 1] = 0x20
     out[after[ends - 1] - 1] = 0x0A
-    offsets = np.concatenate(([0], after[ends - 1]))
-    return pa.Array.from_buffers(pa.large_string(), len(size), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(out)])
+    return out, np.diff(after[ends - 1], prepend=0)
 
 
 def mine(table: pa.Table, least: int, most: int) -> pa.Table:
@@ -277,15 +293,17 @@ def mine(table: pa.Table, least: int, most: int) -> pa.Table:
     of = s.doc
     base = _numbered(code[of] * len(word.dictionary) + word.indices.to_numpy().astype(np.int64))
     pivot = s.offsets[:-1] + place
-    out = []
-    for k, number in enumerate(runs(base, most)):
-        if k < 2:
-            continue
-        at = np.arange(len(number))
-        at = at[(of[: len(number)] == of[k - 1 : k - 1 + len(number)]) & (at <= pivot[of[: len(number)]]) & (pivot[of[: len(number)]] < at + k)]
-        total = np.bincount(number[at], weights=count[of[at]], minlength=len(number)).astype(np.int64)
+    at = np.arange(len(base))
+    at = at[at <= pivot[of]]  # no other run holds the pivot
+    number, out = base[at], []
+    for k in range(2, most + 1):
+        at, number = at[going := at + k <= s.offsets[1:][of[at]]], number[going]
+        number = _longer(number, base, len(base), at + k - 1)
+        holds = pivot[of[at]] < at + k
+        held, mine_at = number[holds], at[holds]
+        total = np.bincount(held, weights=count[of[mine_at]], minlength=len(number)).astype(np.int64)
         example = np.zeros(len(total), np.int64)
-        example[number[at]] = at
+        example[held] = mine_at
         good = np.flatnonzero(total)
         partial = split[of[example[good]]]
         good, partial = good[keep := partial | (total[good] >= least)], partial[keep]

@@ -184,6 +184,17 @@ def test_collocations(spark, split):
     assert len(expected) > 60 and sorted(map(tuple, found.collect())) == expected
 
 
+def test_only_fragments_are_numbered(monkeypatch):
+    """Words of no fragment take no part in the numbering of runs, whose memory is then that of the fragments."""
+    table = pa.table({"doc_id": [1], "text": ["x y " + " ".join(f"w{i}" for i in range(500))], "lang": ["en"]})
+    words, sizes = C.distinct_words(C.tokens_of(table)), []
+    answered = np.array([100 if k.as_py() in ("en\tx", "en\ty") else 1 for k in words.keys])
+    numbered = C._numbered
+    monkeypatch.setattr(C, "_numbered", lambda keys: sizes.append(len(keys)) or numbered(keys))
+    found = C.fragments_of(table, answered, 50, 5, 3, 500_000)
+    assert b"".join(found["texts"].to_pylist()) == b"x y\n" and sizes[0] == 502 and max(sizes[1:]) <= 2
+
+
 def test_collocations_of_repeats_and_other_lengths(spark):
     rows = [(i, "a a a a a b a a. New York City New York City", "en") for i in range(9)] + [(50, "a,a;a b c", "fr")]
     docs = spark.createDataFrame(rows, DOCS)
