@@ -116,3 +116,17 @@ def test_unmeasured_files(spark):
 
 def test_shared_path_is_below_the_checkpoint_folder(spark):
     assert shared_path(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_a_cut_leaves_no_shuffle_files(spark):
+    """The steps of a chain of cuts take disk one after the other, not together."""
+    import os
+
+    from shelfspark.sources.snapshot import SHUFFLES_GO, cut
+
+    folders = [str(d) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    size = lambda: sum(os.path.getsize(os.path.join(top, n)) for d in folders for top, _, names in os.walk(d) for n in names if n.startswith("shuffle_"))
+    before = size()
+    assert cut(spark.range(200_000).selectExpr("id", "xxhash64(id) as h").repartition(3, "h")).count() == 200_000
+    assert size() - before < 100_000  # of more than two million bytes; the count has a shuffle of its own
+    assert spark.conf.get(SHUFFLES_GO) == "false"
