@@ -70,15 +70,15 @@ def _written(rows: DataFrame, folder: str, content) -> DataFrame:
     return cut(rows.mapInArrow(part, schema))
 
 
-def _media_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as media files of eight formats, without those of every fiftieth."""
+def _media_files(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """Documents as media files of eight formats below a folder, without those of every fiftieth."""
 
     def content(row):
         n = row["doc_id"]
         return None if n % 50 == 49 else _media_header(n % 8, 16 + n % 4000, 9 + n % 2200, n * 10 % 7_200_000) + bytes(100 + n % 700)
 
     docs = _read(spark, sf_dir, "documents").select("doc_id", F.concat(F.col("doc_id") % 100, F.lit("/"), "doc_id", F.lit(".bin")).alias("file"))
-    return _written(docs, f"{shared_path(spark)}/media", content)
+    return _written(docs, folder or f"{shared_path(spark)}/media", content)
 
 
 _PROPS = """SELECT doc_id AS idx, CASE WHEN there AND k < 7 THEN CAST(16 + doc_id % 4000 AS INT) ELSE 0 END AS width, CASE WHEN there AND k < 7 THEN CAST(9 + doc_id % 2200 AS INT) ELSE 0 END AS height,
@@ -95,9 +95,9 @@ def media_props(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("read_queue_batches", f"SELECT idx, CASE WHEN near THEN width ELSE 0 END AS width, CASE WHEN near THEN height ELSE 0 END AS height, CASE WHEN near THEN duration_ms ELSE 0 END AS duration_ms, near AS cached FROM (SELECT *, idx % 10 <> 0 AS near FROM ({_PROPS}))")
 def read_queue_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A library's queue of unread files in batches of 500, stopped after the first and taken up again; network volumes are left out."""
-    media = _media_files(spark, sf_dir)
+    """A library's queue of unread files in rounds of batches of 500, stopped after the first and taken up again; network volumes are left out."""
     root = shared_path(spark)
+    media = _media_files(spark, sf_dir, f"{root}/media")
     letter = F.when(F.col("doc_id") % 10 == 0, "N").otherwise("D")
     kind = F.when(F.col("doc_id") % 8 < 5, "image").when(F.col("doc_id") % 8 < 7, "video").otherwise("audio")
     name = F.concat("doc_id", F.lit(".bin"))
@@ -106,11 +106,11 @@ def read_queue_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     SnapshotStore(spark, f"{root}/library").publish(files, dirs)
     engine, store, asked = Engine(spark, f"{root}/library"), PropertyStore(spark, f"{root}/props"), []
     network = spark.createDataFrame([("N",)], "letter string")
-    at = media.select(F.col("doc_id").alias("idx"), F.col("path").alias("at"))
+    at = F.concat(F.lit(f"{root}/media/"), F.col("idx") % 100, F.lit("/"), "name")  # where a file of the library is
 
     def read(part: DataFrame) -> DataFrame:
         asked.append(1)
-        return read_media_properties(part.drop("at").join(at, "idx"), "at")
+        return read_media_properties(part.withColumn("at", at), "at")
 
     engine.read_properties(store, network, read, 500, stop=lambda: len(asked) > 0)
     engine.read_properties(store, network, read, 500)

@@ -20,6 +20,9 @@ from shelfspark.sources.properties import read_media_properties
 from shelfspark.sources.snapshot import EmptySnapshot, PropertyStore, Snapshot, SnapshotStore, carry_over, cut
 from shelfspark.streaming.journal import library_rows, merge_batch
 
+#: Seconds, about, after which a round of batches of properties is saved.
+ROUND_SECONDS = 30.0
+
 
 class Engine:
     """A library of media files kept as snapshots below one folder."""
@@ -212,19 +215,28 @@ class Engine:
         return dupes.duplicate_members(printed, groups, limit), dupes.totals(groups), dupes.counters(files, printed, printed)
 
     def read_properties(self, store: PropertyStore, network_volumes: DataFrame, read: Callable[[DataFrame], DataFrame] = read_media_properties, batch: int = 500, stop: Callable[[], bool] = lambda: False) -> int:
-        """Read the properties of queued files, ``batch`` at a time, saving each batch; returns how many were read.
+        """Read the properties of queued files by whole batches of ``batch``, saving each round; returns how many were read.
 
-        The queue is ordered and numbered once, and a batch is a range of its numbers, so the work is in
-        proportion to the queue.  ``read`` maps a batch of files to entries of the store.  It goes on until the
-        queue is done, ``stop()`` holds, or a newer snapshot is published; what was read is kept.
+        The queue is ordered and numbered once, and a round is a range of its numbers, so the work is in
+        proportion to the queue.  The first round is one batch; rounds double while they take less than half of
+        ``ROUND_SECONDS`` and halve beyond it, so a long queue does not take a few jobs for each batch.  ``read`` maps
+        the files of a round to entries of the store.  It goes on until the queue is done, ``stop()`` holds, or a newer
+        snapshot is published, asked before each round; what was read is kept.
         """
         done, epoch = 0, self._now().epoch
         numbered = enrich.numbered_queue(enrich.seed_from_store(self.paths(), store.load()), network_volumes)
         queue = cut(numbered.repartitionByRange("at").sortWithinPartitions("at"))
-        for first in range(0, queue.count(), batch):
+        first, size, total = 0, batch, queue.count()
+        while first < total:
             if stop() or self.store.current_epoch() != epoch:
                 break
-            done += store.append(read(queue.where(F.col("at").between(first, first + batch - 1))))
+            began = time.monotonic()
+            done += store.append(read(queue.where(F.col("at").between(first, first + size - 1))))
+            took, first = time.monotonic() - began, first + size
+            if took < ROUND_SECONDS / 2:
+                size *= 2
+            elif took > ROUND_SECONDS:
+                size = max(size // batch // 2, 1) * batch
         else:
             store.compact()
         self.props = enrich.seed_from_store(self.paths(), store.load())

@@ -11,7 +11,7 @@ from shelfspark.plans.engine import Engine
 from shelfspark.sources import records as R
 from shelfspark.sources import volumes
 from shelfspark.sources.contents import digest_of, fingerprint_paths
-from shelfspark.sources.snapshot import PropertyStore, shared_path
+from shelfspark.sources.snapshot import PropertyStore, SnapshotStore, shared_path
 
 
 def sparse(path, size, at=None, mark=b"x"):
@@ -82,6 +82,21 @@ def test_properties_are_read_in_batches_and_saved(spark, tmp_path):
     assert PropertyStore(spark, store.root, schema_version=7).load().count() == 0
 
 
+def test_rounds_of_batches_grow(spark, tmp_path):
+    """A long queue takes few rounds, the first of one batch; every file is read once."""
+    folder = spark.createDataFrame([(0, "D", "D:", "d:", 5)], "dir_id long, volume string, path string, folded string, frn long")
+    files = spark.range(20).selectExpr("id as idx", "concat('f', id, '.mp4') as name", "concat('f', id, '.mp4') as folded", "0L as dir_id", "'video' as kind", "'D' as volume", "id as frn", "1L as size", "1L as mtime")
+    SnapshotStore(spark, str(tmp_path / "library")).publish(files, folder)
+    store, asked = PropertyStore(spark, str(tmp_path / "props")), []
+
+    def read(part):
+        asked.append(part.count())
+        return part.select(F.lower("path").alias("path_key"), "size", "mtime", F.lit(640).alias("width"), F.lit(480).alias("height"), F.lit(1).alias("duration_ms"), F.lit(True).alias("attempted"))
+
+    assert Engine(spark, str(tmp_path / "library")).read_properties(store, spark.createDataFrame([], "letter string"), read, batch=2) == 20
+    assert asked[0] == 2 and len(asked) <= 6 and sum(asked) == 20 and store.load().count() == 20
+
+
 def test_update_plan(spark):
     stamps = spark.createDataFrame([("C", 1, 7, 100), ("D", 1, 7, 100), ("E", 1, 7, 100), ("F", 1, 7, 100), ("G", 1, 7, 100), ("H", 1, 7, None)], "letter string, serial long, journal_id long, next_usn long")
     now = spark.createDataFrame([("C", 1, 7, 50, 160), ("D", 1, 8, 50, 160), ("E", 1, 7, 101, 160), ("F", 2, 7, 50, 160), ("H", 1, 7, 0, 9), ("I", 1, None, None, None)], volumes.JOURNALS)
