@@ -160,12 +160,15 @@ def write_buffers(buffers: DataFrame, path: str) -> int:
 
     def part(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                system, folder = located(f"{path}/{row['volume']}/{row['journal_id']}")
+            *where, contents = batch.columns
+            for volume, journal_id, first, content in zip(*(c.to_pylist() for c in where), contents, strict=True):
+                system, folder = located(f"{path}/{volume}/{journal_id}")
                 system.create_dir(folder, recursive=True)
-                with system.open_output_stream(f"{folder}/{row['first_usn']:020d}.usn") as out:
-                    out.write(row["content"])
-            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+                with system.open_output_stream(f"{folder}/{first:020d}.usn") as out:
+                    out.write(content.as_buffer())  # not copied
+            n = batch.num_rows
+            batch = where = contents = content = None  # else they would stay while the next is read
+            yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
 
     return buffers.select("volume", "journal_id", "first_usn", "content").mapInArrow(part, "n long").groupBy().sum("n").first()[0] or 0
 

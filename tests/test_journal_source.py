@@ -97,3 +97,38 @@ def test_a_library_follows_its_journals(spark, tmp_path):
         source.finished(source.follow_journals(spark, f"{folder}/j", store, f"{folder}/c"))
     assert sorted((r["volume"], r["name"]) for r in store.load().files.collect()) == [("D", "f1.mp4"), ("D", "f2.mp4"), ("E", "f4.mp4")]
     assert store.current_epoch() == 2
+
+
+class Taken:
+    """Stands for a table: keeps the function that its tasks would run."""
+
+    def __init__(self, spark):
+        self.sparkSession = spark
+
+    def mapInArrow(self, function, schema):
+        self.function = function
+        return self
+
+    select = groupBy = sum = lambda self, *columns: self
+    first = lambda self: [0]
+
+
+def test_buffers_are_released_before_the_next_are_read(spark, tmp_path):
+    """A task holds one batch of buffers at a time, however many it decodes or writes."""
+    import weakref
+
+    import pyarrow as pa
+
+    from shelfspark.sources.records import decode
+
+    for run, columns in ((decode, {"source": ["x"]}), (lambda t: source.write_buffers(t, str(tmp_path)), {"volume": ["D"], "journal_id": [7], "first_usn": [3]})):
+        taken, made = Taken(spark), []
+
+        def batch(columns=columns, made=made):
+            assert all(r() is None for r in made)
+            found = pa.RecordBatch.from_pydict({**columns, "content": pa.array([record(1)], pa.binary())})
+            made.append(weakref.ref(found))
+            return found
+
+        run(taken)
+        assert sum(b.num_rows for b in taken.function(batch() for _ in range(3))) == 3
