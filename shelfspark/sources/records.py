@@ -114,6 +114,7 @@ def decode(buffers: DataFrame) -> DataFrame:
         for batch in batches:
             for source, content in zip(batch["source"].to_pylist(), batch["content"], strict=True):
                 yield from batches_of(source, content.as_buffer() if content.is_valid else b"")
+            batch = content = None  # else they would stay while the next is read
 
     return buffers.select("source", "content").mapInArrow(part, DECODED)
 
