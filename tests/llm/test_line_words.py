@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from shelfspark.llm import line_dedup
 from shelfspark.llm.line_dedup import removed_lines, without_repeated_lines
@@ -93,3 +94,17 @@ def test_query_removes_repeats_of_short_lines(spark, tmp_path):
     rows = [(1, "one\ntwo words\n\none"), (2, "Two  words\n\nthree"), (3, "one two three four\nfour three two one")]
     spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     assert {r["doc_id"]: r["removed_lines"] for r in op10_line_dedup(spark, str(tmp_path)).collect()} == {1: "3", 2: "0", 3: "1"}
+
+
+@pytest.mark.parametrize("words", [90, 180, 400])
+def test_long_lines_that_share_few_words_are_not_verified(spark, monkeypatch, words):
+    """120 long lines with thirty words in common; the signatures tell them apart, and a near copy is found."""
+    rng = random.Random(words)
+    lines = [[*(f"s{i}" for i in range(30)), *(f"w{rng.randrange(10**9)}" for _ in range(words - 30))] for _ in range(120)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(lines)] + [(500, " ".join([*lines[7][3:], "x", "y"]))]
+    seen, verified = [], line_dedup._verified
+    monkeypatch.setattr(line_dedup, "_verified", lambda pairs, *more: (seen.append(pairs.count()), verified(pairs, *more))[1])
+    monkeypatch.setattr(line_dedup, "rarity", lambda docs: F.split(F.lit(",".join(["0"] * line_dedup.CELLS)), ",").cast("array<long>"))
+    got = {r["doc_id"]: r["removed"] for r in removed_lines(spark.createDataFrame(rows, DOCS)).collect()}
+    assert {d for d, gone in got.items() if gone} == {500}
+    assert sum(seen) < 120
