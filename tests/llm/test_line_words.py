@@ -108,3 +108,19 @@ def test_long_lines_that_share_few_words_are_not_verified(spark, monkeypatch, wo
     got = {r["doc_id"]: r["removed"] for r in removed_lines(spark.createDataFrame(rows, DOCS)).collect()}
     assert {d for d, gone in got.items() if gone} == {500}
     assert sum(seen) < 120
+
+
+def test_a_group_of_near_copies_meets_its_middle_first(spark, monkeypatch):
+    """400 copies match a line that is not their earliest, and not each other; they are not paired with each other."""
+    rng = random.Random(1)
+    middle = [f"m{i}" for i in range(40)]
+    copies = []
+    for i in range(400):
+        at = rng.sample(range(40), 3)
+        copies.append([f"c{i}x{k}" if k in at else w for k, w in enumerate(middle)])
+    rows = [(i, " ".join(w)) for i, w in enumerate([copies[0], middle, *copies[1:]])]
+    seen, verified = [], line_dedup._verified
+    monkeypatch.setattr(line_dedup, "_verified", lambda pairs, *more: (seen.append(pairs.count()), verified(pairs, *more))[1])
+    got = {(r["doc_id"], i) for r in removed_lines(spark.createDataFrame(rows, DOCS)).collect() for i in r["removed"]}
+    assert got == gone_by_words(rows, 80, 1) and len(got) == 400
+    assert sum(seen) < 2_000
